@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality_rules, simhash
+from . import bpe, bradley_terry, html_extract, license_scan, mixing, multi_index, pii, quality_rules, simhash, suffix_dedup
 from ._common import read_table
 
 
@@ -17,6 +17,29 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_matches", "best_license", "best_score")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = multi_index.sign_codes(read_table(spark, sf_dir, "embeddings"))
+    return multi_index.search(codes, codes.where("id % 20 = 0"), k=10)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bradley_terry.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")

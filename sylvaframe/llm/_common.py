@@ -40,9 +40,11 @@ def release(spark: SparkSession) -> None:
     import gc
     import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    for _ in range(2):  # Python's handles first, then the JVM's plans, then the cleaner's turn
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.0)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

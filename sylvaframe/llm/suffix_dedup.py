@@ -4,7 +4,7 @@ A position's rank at length h is a 64-bit name of the h bytes that start there;
 pair of names at p and p + h), so no join fetches the partner's rank. Spark sorts (name, document) rows at growing lengths,
 and positions whose name is unique drop out, until the threshold length is reached:
 
-1. length 26, at sampled positions. Each 50-byte window is represented by the smallest 26-byte name inside it (its
+1. length 22, at sampled positions. Each 50-byte window is represented by the smallest 22-byte name inside it (its
    anchor); equal windows have equal anchors, so windows whose anchor is unique are unique and drop out without loss. An anchor whose
    whole run of windows equals that of a smaller document settles all of them at once.
 2. length 50, at every window of the anchors that are left.
@@ -131,7 +131,7 @@ def _binary(column: pa.Array) -> list[bytes]:
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (k, c, doc_id, span): anchor name, name of its whole run of windows."""
-    gram = length // 2 + 1
+    gram = max(1, length * 4 // 9)
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _binary(batch.column(1))
         for buf, start, rows in _chunks(ids, texts, length):

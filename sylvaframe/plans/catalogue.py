@@ -1,15 +1,512 @@
-"""Catalogue of the engine's queries and their SQL twins."""
+"""Catalogue of the engine's queries and, where SQL can express them, their DuckDB twins."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import metrics, scalars
+from ..operators import forest, partition, stats, weights
+from . import experiments, planner
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+# class statistics
+
+
+@query("select l_returnflag as class, count(*) as cnt from lineitem group by 1")
+def class_frequency_abs(spark, d):
+    return stats.class_frequency(_t(spark, d, "lineitem"), "l_returnflag").select("class", "cnt")
+
+
+@query("select l_returnflag as class, round(count(*) / sum(count(*)) over (), 6) as share from lineitem group by 1")
+def class_frequency_rel(spark, d):
+    return _rounded(stats.class_frequency(_t(spark, d, "lineitem"), "l_returnflag").select("class", "share"), "share")
+
+
+@query("""
+with c as (select cast(o_orderkey % 4 as int) as rank, o_orderpriority as class, count(*) as cnt from orders group by 1, 2)
+select r.rank, k.class, coalesce(c.cnt, 0)::bigint as cnt from (select unnest([0, 1, 2, 3, 4])::int as rank) r
+cross join (select distinct o_orderpriority as class from orders) k left join c on c.rank = r.rank and c.class = k.class""")
+def class_frequency_by_rank_dense(spark, d):
+    return stats.class_frequency_by_rank(_t(spark, d, "orders").withColumn("r", F.col("o_orderkey") % 4), "o_orderpriority", "r", 5)
+
+
+@query("""
+with c as (select lang, count(*) as n from documents group by 1), s as (select n, n / sum(n) over () as share from c)
+select count(*) as n_classes, round(max(share), 6) as max_share, round(min(share), 6) as min_share, round(max(n) / min(n), 6) as ratio from s""")
+def class_imbalance_summary(spark, d):
+    return _rounded(stats.class_imbalance(_t(spark, d, "documents"), "lang"), "max_share", "min_share", "ratio")
+
+
+# partitioning
+
+_POS = "row_number() over (partition by {by} order by md5(concat('{seed}', ':', cast({key} as varchar))), {key}) - 1"
+
+
+def _assigned(table: str, label: str, key: str, values: str, seed: int = 0) -> str:
+    """SQL: rank of each row by largest remainder, from VALUES (class, rank, w)."""
+    pos = _POS.format(by=label, seed=seed, key=key)
+    return f"""
+with w(class, rank, w) as (values {values}),
+n as (select {label} as class, count(*) as n from {table} group by 1),
+e as (select w.class, w.rank, w.w / sum(w.w) over (partition by w.class) * n.n as exact, n.n from w join n using (class)),
+f as (select class, rank, floor(exact)::bigint as base, exact - floor(exact) as rest, n from e),
+q as (select class, rank, base, row_number() over (partition by class order by round(rest, 9) desc, rank desc) as nth, n - sum(base) over (partition by class) as more from f),
+c as (select class, rank, base + case when nth <= more then 1 else 0 end as k from q),
+b as (select class, rank, sum(k) over (partition by class order by rank) as hi, k from c),
+p as (select *, {label} as class_, {pos} as pos from {table}),
+a as (select p.*, b.rank::int as rank from p join b on p.class_ = b.class and p.pos >= b.hi - b.k and p.pos < b.hi)"""
+
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _values(classes, matrix) -> str:
+    return ", ".join(f"('{c}', {r}, {float(w[i])!r}::double)" for r, w in enumerate(matrix) for i, c in enumerate(classes))
+
+
+_EVEN = _values(_PRIORITIES, [[1.0] * 5] * 4)
+
+
+@query(_assigned("orders", "o_orderpriority", "o_orderkey", _EVEN) + " select o_orderkey, rank from a")
+def balanced_partition_assign(spark, d):
+    return partition.balanced_partition(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 4).select("o_orderkey", "rank")
+
+
+@query(_assigned("orders", "o_orderpriority", "o_orderkey", _EVEN) + " select rank, class_ as class, count(*) as cnt from a group by 1, 2")
+def balanced_partition_counts(spark, d):
+    ranked = partition.balanced_partition(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 4)
+    return ranked.groupBy("rank", F.col("o_orderpriority").alias("class")).agg(F.count("*").alias("cnt"))
+
+
+_EVENTS = ("click", "login", "purchase", "search", "view")
+_WEIGHTS = [[0.5, 0.1, 0.2, 0.3, 0.4], [0.25, 0.3, 0.3, 0.3, 0.35], [0.25, 0.6, 0.5, 0.4, 0.25]]
+
+
+def _event_classes(spark, d) -> list[str]:
+    return sorted(r[0] for r in _t(spark, d, "events").select("event_type").distinct().collect())
+
+
+@query("""
+with k as (select event_type as class, row_number() over (order by event_type) - 1 as i, count(*) as n from events group by 1),
+w as (select k.class, r.rank, k.n, case r.rank when 0 then 0.5 when 1 then 0.3 else 0.2 end::double as w from k cross join (select unnest([0, 1, 2]) as rank) r),
+e as (select class, rank, n, w / sum(w) over (partition by class) * n as exact from w),
+q as (select class, rank, floor(exact)::bigint as base, row_number() over (partition by class order by round(exact - floor(exact), 9) desc, rank desc) as nth, n - sum(floor(exact)) over (partition by class) as more from e)
+select class, rank::int as rank, (base + case when nth <= more then 1 else 0 end)::bigint as cnt from q""")
+def weighted_partition_largest_remainder(spark, d):
+    events = _t(spark, d, "events").select("event_id", "event_type")
+    classes = _event_classes(spark, d)
+    ranked = partition.assign_ranks(events, "event_type", "event_id", 3, [[w] * len(classes) for w in (0.5, 0.3, 0.2)], classes=classes)
+    return ranked.groupBy(F.col("event_type").alias("class"), "rank").agg(F.count("*").alias("cnt"))
+
+
+_SKELLAM = {str(mu): weights.skellam_rank_weights(4, 5, mu) for mu in (0.5, 2.0, math.inf)}
+
+
+@query(" union all ".join(f"select * from ({_assigned('orders', 'o_orderpriority', 'o_orderkey', _values(_PRIORITIES, w))} select '{mu}' as mu, rank, class_ as class, count(*) as cnt from a group by 2, 3)" for mu, w in _SKELLAM.items()))
+def skellam_partition_counts(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    parts = [
+        partition.skellam_partition(orders, "o_orderpriority", "o_orderkey", 4, float(mu), classes=_PRIORITIES).groupBy(F.lit(mu).alias("mu"), "rank", F.col("o_orderpriority").alias("class")).agg(F.count("*").alias("cnt"))
+        for mu in _SKELLAM
+    ]
+    return experiments.union_runs(parts)
+
+
+@query()
+def skellam_constant_size_partition(spark, d):
+    """Each rank's size is within a unit per class of an equal share."""
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    sizes = partition.skellam_partition(orders, "o_orderpriority", "o_orderkey", 4, 2.0, True).groupBy("rank").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    return sizes.select("rank", (F.abs(F.col("n") - total / 4) <= 5).cast("int").alias("even"))
+
+
+_U = "(('0x' || substr(md5(concat('0', ':', cast(event_id as varchar))), 1, 8))::bigint / 4294967296.0)"
+
+
+@query(f"select event_type as class, least(3, floor({_U} * 4))::int as rank, count(*) as cnt from events group by 1, 2")
+def sampling_partition_counts(spark, d):
+    ranked = partition.sampled_partition(_t(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", 4)
+    return ranked.groupBy(F.col("event_type").alias("class"), "rank").agg(F.count("*").alias("cnt"))
+
+
+_ALL = _POS.format(by="1", seed=0, key="o_orderkey")
+
+
+@query(f"with p as (select *, {_ALL} as pos, count(*) over () as n from orders) select case when pos < ceil(round(n * 0.25, 9)) then 'test' else 'train' end as split, count(*) as cnt from p group by 1")
+def train_test_split_counts(spark, d):
+    return partition.train_test_split(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").groupBy("split").agg(F.count("*").alias("cnt"))
+
+
+@query(f"""
+with c as (select o_orderpriority as class, count(*) as n from orders group by 1),
+e as (select class, n, ceil(round(sum(n) over () * 0.25, 9)) as total, n / sum(n) over () * ceil(round(sum(n) over () * 0.25, 9)) as exact from c),
+q as (select class, floor(exact) as base, row_number() over (order by round(exact - floor(exact), 9) desc, class desc) as nth, total - sum(floor(exact)) over () as more from e),
+k as (select class, base + case when nth <= more then 1 else 0 end as k from q),
+p as (select o_orderpriority as class, {_POS.format(by="o_orderpriority", seed=0, key="o_orderkey")} as pos from orders)
+select class, case when pos < k then 'test' else 'train' end as split, count(*) as cnt from p join k using (class) group by 1, 2""")
+def train_test_split_stratified(spark, d):
+    split = partition.train_test_split(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", stratify="o_orderpriority")
+    return split.groupBy(F.col("o_orderpriority").alias("class"), "split").agg(F.count("*").alias("cnt"))
+
+
+@query("with o as materialized (select o_orderkey, o_orderpriority from (select *, " + _ALL + " as pos0, count(*) over () as n from orders) where pos0 >= ceil(round(n * 0.25, 9)))," + _assigned("o", "o_orderpriority", "o_orderkey", _EVEN).strip()[4:] + " select rank, count(*) as cnt from a group by 1")
+def split_then_partition(spark, d):
+    split = partition.train_test_split(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    ranked = partition.balanced_partition(split.where("split = 'train'"), "o_orderpriority", "o_orderkey", 4)
+    return ranked.groupBy("rank").agg(F.count("*").alias("cnt"))
+
+
+@query(_assigned("orders", "o_orderpriority", "o_orderkey", _EVEN) + f", s as (select rank, {_POS.format(by='rank', seed=0, key='o_orderkey')} as p, count(*) over (partition by rank) as n from a) select rank, case when p < ceil(round(n * 0.25, 9)) then 'test' else 'train' end as split, count(*) as cnt from s group by 1, 2")
+def partition_then_split(spark, d):
+    ranked = partition.balanced_partition(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 4)
+    return partition.train_test_split(ranked, "o_orderkey", within="rank").groupBy("rank", "split").agg(F.count("*").alias("cnt"))
+
+
+@query("""
+with s as (select avg(l_quantity) as m, stddev_pop(l_quantity) as s, avg(l_extendedprice) as mp, stddev_pop(l_extendedprice) as sp from lineitem where l_orderkey % 4 <> 0)
+select l_returnflag, round(avg((l_quantity - m) / s), 6) + 0.0 as q, round(avg((l_extendedprice - mp) / sp), 6) + 0.0 as p from lineitem, s group by 1""")
+def normalize_features(spark, d):
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    z = partition.normalize(lines, ["l_quantity", "l_extendedprice"], F.col("l_orderkey") % 4 != 0)
+    return z.groupBy("l_returnflag").agg((F.round(F.avg("l_quantity"), 6) + 0.0).alias("q"), (F.round(F.avg("l_extendedprice"), 6) + 0.0).alias("p"))
+
+
+@query("select r::int as rank, (1003 // 16 + case when r < 1003 % 16 then 1 else 0 end)::int as n_trees from (select unnest(range(16)) as r)")
+def tree_distribution(spark, d):
+    return spark.createDataFrame(list(enumerate(weights.tree_counts(1003, 16))), "rank int, n_trees int")
+
+
+# metrics
+
+_LABELS = "select quality::int as label, toxic::int as prediction, count(*) as cnt from labels group by 1, 2"
+_RULE = """select (substr(o_orderpriority, 1, 1)::int - 1)::int as label, (case when o_orderkey % 3 <> 0 then substr(o_orderpriority, 1, 1)::int - 1 else o_custkey % 5 end)::int as prediction, count(*) as cnt from orders group by 1, 2"""
+_PER = """, m as (select class, sum(tp) as tp, sum(t) as t, sum(p) as p from (select label as class, case when label = prediction then cnt else 0 end as tp, cnt as t, 0 as p from c union all select prediction, 0, 0, cnt from c) group by 1)"""
+
+
+def _labels(spark, d) -> DataFrame:
+    return metrics.confusion(_t(spark, d, "labels"), "quality", "toxic")
+
+
+def _rule(spark, d) -> DataFrame:
+    truth = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    return metrics.confusion(_t(spark, d, "orders").select(truth.alias("y"), F.when(F.col("o_orderkey") % 3 != 0, truth).otherwise(F.col("o_custkey") % 5).alias("p")), "y", "p")
+
+
+@query(_LABELS)
+def confusion_matrix(spark, d):
+    return _labels(spark, d)
+
+
+@query(f"with c as ({_RULE}), k as (select label as x from c union select prediction from c) select a.x as label, b.x as prediction, coalesce(c.cnt, 0)::bigint as cnt from k a cross join k b left join c on c.label = a.x and c.prediction = b.x")
+def confusion_matrix_dense(spark, d):
+    return metrics.confusion_dense(_rule(spark, d))
+
+
+@query(f"with c as ({_RULE}) select round(sum(case when label = prediction then cnt else 0 end) / sum(cnt), 6) as accuracy from c")
+def metric_accuracy(spark, d):
+    return _rounded(metrics.accuracy(_rule(spark, d)), "accuracy")
+
+
+@query(f"with c as ({_RULE}){_PER} select round(avg(tp / t), 6) as balanced_accuracy from m")
+def metric_balanced_accuracy(spark, d):
+    return _rounded(metrics.balanced_accuracy(_rule(spark, d)), "balanced_accuracy")
+
+
+def _prf(average, beta=1.0) -> Query:
+    def run(spark, d):
+        return _rounded(metrics.precision_recall_fbeta(_rule(spark, d), beta, average), "precision", "recall", "fbeta")
+
+    name = f"metric_precision_recall_f_{str(average).lower()}" if beta == 1.0 else "metric_fbeta_2"
+    run.__name__ = name
+    b2 = beta * beta
+    f = f"(1 + {b2}) * tp / ({b2} * t + p)"
+    columns = {
+        None: f"class, round(tp / p, 6) as precision, round(tp / t, 6) as recall, round({f}, 6) as fbeta",
+        "micro": "round(sum(tp) / sum(t), 6) as precision, round(sum(tp) / sum(t), 6) as recall, round(sum(tp) / sum(t), 6) as fbeta",
+        "macro": f"round(avg(tp / p), 6) as precision, round(avg(tp / t), 6) as recall, round(avg({f}), 6) as fbeta",
+        "weighted": f"round(sum(t * tp / p) / sum(t), 6) as precision, round(sum(t * tp / t) / sum(t), 6) as recall, round(sum(t * {f}) / sum(t), 6) as fbeta",
+    }[average]
+    return query(f"with c as ({_RULE}){_PER} select {columns} from m")(run)
+
+
+for _average in metrics.AVERAGES:
+    _prf(_average)
+_prf("macro", 2.0)
+
+
+def _agreement(of: str, table: str, make) -> None:
+    def run(spark, d):
+        return _rounded(metrics.agreement(make(spark, d)), "cohen_kappa", "matthews")
+
+    run.__name__ = f"metric_kappa_mcc_{of}"
+    query(f"""with c as ({table}){_PER}, x as (select sum(tp)::double as c, sum(t)::double as s, sum(t::double * p) as tp, sum(p::double * p) as pp, sum(t::double * t) as tt from m)
+    select round((c / s - tp / s / s) / (1 - tp / s / s), 6) as cohen_kappa, round((c * s - tp) / sqrt((s * s - pp) * (s * s - tt)), 6) as matthews from x""")(run)
+
+
+_agreement("labels", _LABELS, _labels)
+_agreement("rule", _RULE, _rule)
+
+
+@query("""
+with s as (select l.quality, d.n_chars::double as score from labels l join documents d using (doc_id)),
+g as (select score, sum(quality) as pos, sum(1 - quality) as neg from s group by 1),
+b as (select pos, neg, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from g)
+select round(sum(pos * (below + neg / 2)) / (sum(pos)::double * sum(neg)), 6) as auc from b""")
+def roc_auc(spark, d):
+    scored = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return _rounded(metrics.roc_auc(scored, "quality", "n_chars"), "auc")
+
+
+# forests
+
+#: A fixed forest of stumps over (l_quantity, l_discount, l_tax): rank, feature, threshold, class below, class above.
+_STUMPS = [(0, 0, 20.0, 0, 1), (0, 1, 0.05, 1, 2), (0, 2, 0.03, 2, 0), (1, 0, 35.0, 1, 2), (1, 1, 0.02, 0, 1), (1, 2, 0.06, 0, 2)]
+_X = ("l_quantity", "l_discount", "l_tax")
+
+
+def _stumps(spark) -> DataFrame:
+    leaf = lambda c: [float(i == c) for i in range(3)]
+    rows = [x for t, (r, f, s, a, b) in enumerate(_STUMPS) for x in ((r, t, 0, f, s, 1, 2, leaf(0)), (r, t, 1, -1, 0.0, -1, -1, leaf(a)), (r, t, 2, -1, 0.0, -1, -1, leaf(b)))]
+    return spark.createDataFrame(rows, forest.TREE_SCHEMA)
+
+
+def _stump_input(spark, d) -> DataFrame:
+    label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return _t(spark, d, "lineitem").select(F.array(*_X).alias("features"), label.alias("label"))
+
+
+def _votes_sql(ranks: tuple[int, ...] = (0, 1)) -> str:
+    return ", ".join("(" + " + ".join(f"case when (case when {_X[f]} <= {s} then {a} else {b} end) = {c} then 1 else 0 end" for r, f, s, a, b in _STUMPS if r in ranks) + f") as v{c}" for c in range(3))
+
+
+_PRED = "case when v0 >= v1 and v0 >= v2 then 0 when v1 >= v2 then 1 else 2 end"
+_TRUTH = "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as label"
+
+
+@query(f"with v as (select {_votes_sql()} from lineitem) select v0::int as v0, v1::int as v1, v2::int as v2, count(*) as cnt from v group by 1, 2, 3")
+def forest_vote_histogram(spark, d):
+    voted = forest.vote(_stump_input(spark, d), _stumps(spark), 3)
+    return voted.groupBy(*[F.col("votes")[c].cast("int").alias(f"v{c}") for c in range(3)]).agg(F.count("*").alias("cnt"))
+
+
+@query(f"with v as (select {_TRUTH}, {_votes_sql()} from lineitem) select label::int as label, ({_PRED})::int as prediction, count(*) as cnt from v group by 1, 2")
+def forest_predict_global(spark, d):
+    return metrics.confusion(forest.predict(_stump_input(spark, d), _stumps(spark), 3), "label", "prediction")
+
+
+@query(" union all ".join(f"(with v as (select {_votes_sql((r,))} from lineitem) select {r}::int as rank, ({_PRED})::int as prediction, count(*) as cnt from v group by 1, 2)" for r in (0, 1)))
+def forest_predict_local_by_rank(spark, d):
+    voted = forest.vote(_stump_input(spark, d), _stumps(spark), 3, by_rank=True)
+    return voted.select(F.posexplode("votes").alias("rank", "v")).groupBy("rank", forest.first_argmax(F.col("v")).alias("prediction")).agg(F.count("*").alias("cnt"))
+
+
+@query(" union all ".join(f"(with v as (select {_TRUTH}, {_votes_sql(r)} from lineitem) select '{n}' as scope, round(avg(case when {_PRED} = label then 1.0 else 0.0 end), 6) as accuracy from v)" for n, r in (("global", (0, 1)), ("local0", (0,)), ("local1", (1,)))))
+def forest_accuracy_local_global(spark, d):
+    e = forest.evaluate(_stump_input(spark, d), _stumps(spark), 3)
+    rows = [("global", e["acc_global"]), *[(f"local{r}", a) for r, a in e["acc_local"].items()]]
+    return _rounded(spark.createDataFrame(rows, "scope string, accuracy double"), "accuracy")
+
+
+_DEEP = [(0, 0, 25.0, 1, 2, None), (1, 1, 0.04, 3, 4, None), (2, 2, 0.05, 5, 6, None), (3, 0, 10.0, 7, 8, None), *[(i, -1, 0.0, -1, -1, c) for i, c in ((4, 2), (5, 1), (6, 0), (7, 0), (8, 1))]]
+
+
+@query("""
+select case when l_quantity <= 25 then case when l_discount <= 0.04 then case when l_quantity <= 10 then 0 else 1 end else 2 end else case when l_tax <= 0.05 then 1 else 0 end end::int as prediction,
+count(*) as cnt from lineitem group by 1""")
+def tree_traversal(spark, d):
+    nodes = [{"node_id": i, "feature": f, "threshold": s, "left": a, "right": b, "votes": None if c is None else [float(k == c) for k in range(3)]} for i, f, s, a, b, c in _DEEP]
+    return _t(spark, d, "lineitem").groupBy(F.expr(forest.case_of(nodes, _X)).cast("int").alias("prediction")).agg(F.count("*").alias("cnt"))
+
+
+_GINI = """
+with v as (select floor(o_totalprice / 1000) as x, o_orderstatus as y, count(*) as n from orders group by 1, 2),
+g as (select x, sum(n) filter (y = 'F') as f, sum(n) filter (y = 'O') as o, sum(n) filter (y not in ('F', 'O')) as p from v group by 1),
+c as (select x, sum(coalesce(f, 0)) over w as f, sum(coalesce(o, 0)) over w as o, sum(coalesce(p, 0)) over w as p, sum(coalesce(f, 0)) over () as tf, sum(coalesce(o, 0)) over () as tos, sum(coalesce(p, 0)) over () as tp from g window w as (order by x rows unbounded preceding)),
+s as (select x, (f*f + o*o + p*p) / (f + o + p) + ((tf-f)*(tf-f) + (tos-o)*(tos-o) + (tp-p)*(tp-p)) / (tf + tos + tp - f - o - p) as score from c where tf + tos + tp > f + o + p)
+select x::bigint as threshold, round(score, 4) as score from s order by round(score, 6) desc, x limit 1"""
+
+
+@query(_GINI)
+def gini_best_split(spark, d):
+    """Best cut of a binned numeric feature by the sum of squared class counts, from one histogram."""
+    status = F.when(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus")).otherwise("P")
+    hist = _t(spark, d, "orders").groupBy(F.floor(F.col("o_totalprice") / 1000).alias("x")).agg(*[F.sum((status == c).cast("double")).alias(c) for c in "FOP"])
+    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    run = hist.select("x", *[F.sum(c).over(w).alias(c) for c in "FOP"], *[F.sum(c).over(Window.partitionBy()).alias(f"t{c}") for c in "FOP"])
+    left, right = sum(F.col(c) for c in "FOP"), sum(F.col(f"t{c}") - F.col(c) for c in "FOP")
+    score = F.try_divide(sum(F.col(c) * F.col(c) for c in "FOP"), left) + F.try_divide(sum((F.col(f"t{c}") - F.col(c)) * (F.col(f"t{c}") - F.col(c)) for c in "FOP"), right)
+    best = run.withColumn("score", score).where(right > 0).orderBy(F.round("score", 6).desc(), "x").limit(1)
+    return best.select(F.col("x").cast("long").alias("threshold"), F.round("score", 4).alias("score"))
+
+
+def _embeddings(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("features"), F.col("label").cast("int").alias("label"))
+
+
+@query()
+def forest_train_evaluate(spark, d):
+    from .runner import run_experiment
+
+    results, _, _ = run_experiment(spark, _embeddings(spark, d), 10, 16, 4, "distributed", seed=3)
+    return results.select("comm_rank", "scope", F.round("accuracy_global_test", 6).alias("accuracy_global_test"), F.round("accuracy_local_test", 6).alias("accuracy_local_test"))
+
+
+@query()
+def checkpoint_roundtrip(spark, d):
+    """Vote differences between a model and its reloaded checkpoint: none."""
+    import tempfile
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sylvaframe-")
+    data = _embeddings(spark, d)
+    trees = forest.train(data, 10, 4, 2, 1)
+    forest.save(trees, f"{folder}/models", "roundtrip")
+    again = forest.load(spark, f"{folder}/models", "roundtrip", 2)
+    a, b = (forest.vote(data, t, 10).select("sample_id", "votes") for t in (trees, again))
+    return a.exceptAll(b).agg(F.count("*").alias("n_different"))
+
+
+def flagship(spark, d):
+    return forest_train_evaluate(spark, d)
+
+
+# experiment analytics
+
+_RUNS = "(select o_orderpriority as dataset, o_custkey % 3 as model_seed, o_orderkey % 8 + 1 as n_nodes, o_totalprice / 100 as t from orders)"
+
+
+def _runs(spark, d) -> DataFrame:
+    runs = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("dataset"), (F.col("o_custkey") % 3).alias("model_seed"), (F.col("o_orderkey") % 8 + 1).alias("n_nodes"), (F.col("o_totalprice") / 100).alias("t"))
+    return runs.groupBy("dataset", "model_seed", "n_nodes").agg(F.avg("t").alias("time_sec_training"))
+
+
+_MEANS = f"with r as (select dataset, model_seed, n_nodes, avg(t) as time_sec_training from {_RUNS} group by 1, 2, 3)"
+
+
+def _scaling(kind: str, weak: bool) -> None:
+    def run(spark, d):
+        runs = _runs(spark, d)
+        scaled = experiments.speedup(runs, runs.where("n_nodes = 1"), ["dataset", "model_seed"], ["time_sec_training"], weak)
+        return _rounded(scaled.select("dataset", "model_seed", "n_nodes", f"{kind}_training"), f"{kind}_training")
+
+    run.__name__ = f"{kind}_{'weak' if weak else 'strong'}"
+    query(f"{_MEANS} select r.dataset, r.model_seed, r.n_nodes, round(s.time_sec_training / r.time_sec_training, 6) as {kind}_training from r join r s on s.n_nodes = 1 and s.dataset = r.dataset and s.model_seed = r.model_seed")(run)
+
+
+_scaling("speedup", False)
+_scaling("efficiency", True)
+
+
+@query("""
+with x as (select event_id, nullif(event_type, 'click') as k, value as local_value from events), m as (select k, avg(local_value) as mean_local_value from x group by 1)
+select x.event_id, x.k, round(m.mean_local_value, 6) as mean_local_value from x join m on x.k is not distinct from m.k""")
+def null_safe_group_mean_join(spark, d):
+    x = _t(spark, d, "events").select("event_id", F.nullif("event_type", F.lit("click")).alias("k"), F.col("value").alias("local_value"))
+    return _rounded(experiments.with_group_means(x, ["k"], ["local_value"]).select("event_id", "k", "mean_local_value"), "mean_local_value")
+
+
+_T = ", ".join(repr(experiments.t_quantile_975(i)) for i in range(1, 200))
+
+
+@query(f"""{_MEANS}, g as (select dataset, n_nodes, count(*) as n, avg(time_sec_training) as m, stddev_samp(time_sec_training) as s from r group by 1, 2)
+select dataset, n_nodes, round(m, 6) as time_sec_training_mean, round(s, 6) as time_sec_training_std, round(case when n > 1 then s / sqrt(n) * ([{_T}])[n - 1] end, 6) as time_sec_training_ci95 from g""")
+def mean_std_ci95_by_seed(spark, d):
+    out = experiments.aggregate_by_seeds(_runs(spark, d), ["dataset", "n_nodes"], ["time_sec_training"])
+    return _rounded(out, *out.columns[2:])
+
+
+_LOG = "Job Wall-clock time: 1-02:03:04\nEnergy Consumed: 444240 Joule / 123.4 Watthours\nAverage node power draw: 350.5 Watt\nMemory Utilized: 1.5 TB"
+
+
+@query("select 'a' as run, 93784.0::double as wall_clock_sec, 123.4::double as energy_wh, 350.5::double as power_w, 1536.0::double as memory_gb union all select 'b', null, null, null, null")
+def parse_job_log(spark, d):
+    logs = spark.createDataFrame([("a", _LOG), ("b", "nothing")], "run string, value string")
+    return experiments.parse_run_log(logs).drop("value")
+
+
+@query("select 'COMPLETED' as state, 1000::bigint as n_samples, 10::bigint as n_features, 100::bigint as n_trees, 12.5::double as training_sec, 0.93::double as accuracy, 5000.0::double as joule, 42::bigint as job_id, 10000::bigint as data_entries union all select 'OUT OF MEMORY', null, null, null, null, null, null, null, null")
+def parse_job_output(spark, d):
+    text = "n_samples=1000 n_features=10 n_trees=100\nTime for training is 12.5 s.\nAccuracy is 0.93.\nEnergy Consumed: 5000 Joule\nJob ID: 42\nState: COMPLETED"
+    return experiments.parse_job_output(spark.createDataFrame([(text,), ("State: OUT_OF_MEMORY",)], "value string")).drop("value")
+
+
+@query("""select * from (values ('1-02:03:04', 93784.0::double), ('00:10:01', 601.0::double), ('x', null)) as v(text, seconds)""")
+def wallclock_to_seconds(spark, d):
+    return spark.createDataFrame([("1-02:03:04",), ("00:10:01",), ("x",)], "text string").withColumn("seconds", scalars.time_to_seconds(F.col("text")))
+
+
+@query("""select p_partkey, round(case p_size % 3 when 0 then p_retailprice * 1024 when 1 then p_retailprice / 1024 else p_retailprice end, 6) as gb from part""")
+def memory_to_gb(spark, d):
+    unit = F.element_at(F.array(F.lit("TB"), F.lit("MB"), F.lit("GB")), F.col("p_size") % 3 + 1)
+    return _t(spark, d, "part").select("p_partkey", F.round(scalars.to_gigabytes(F.col("p_retailprice"), unit), 6).alias("gb"))
+
+
+@query("select * from (values ('0041'), ('0042'), ('0016')) as v(node)")
+def expand_node_range(spark, d):
+    return spark.createDataFrame([("node[0041-0042,0016]",), ("node0001",)], "r string").select(F.explode(scalars.nodes_of(F.col("r"))).alias("node"))
+
+
+@query("select 16::int as n_tasks, 7::int as model_seed, 'new' as layout union all select 8, 3, 'old'")
+def parse_run_path(spark, d):
+    new = experiments.parse_run_path(spark.createDataFrame([("/x/n_nodes_16/0_7_12345/slurm.out",)], "path string"))
+    old = experiments.parse_run_path(spark.createDataFrame([("/x/nodes_8/12345_0_3/slurm.out",)], "path string"), updated=False)
+    return new.withColumn("layout", F.lit("new")).unionByName(old.withColumn("layout", F.lit("old"))).drop("path")
+
+
+@query("""
+with x as (select p_partkey, p_retailprice as serial, p_size as nodes from part)
+select p_partkey, round(serial * ((1 - 0.25) / nodes + 0.25), 6) as strong, round(serial * (1 + 0.01 * nodes), 6) as weak,
+least(2 * serial * ((1 - 0.25) / nodes + 0.25), 4320.0)::bigint as limit_min from x""")
+def runtime_estimate(spark, d):
+    serial, nodes = F.col("p_retailprice"), F.col("p_size")
+    strong = scalars.strong_runtime(serial, nodes)
+    return _t(spark, d, "part").select("p_partkey", F.round(strong, 6).alias("strong"), F.round(scalars.weak_runtime(serial, nodes), 6).alias("weak"), planner.time_limit(strong).alias("limit_min"))
+
+
+@query("""
+with b(n_trees, minutes) as (values (10, 5.0), (320, 15.0), (640, 30.0), (1280, 60.0), (2560, 120.0), (5120, 240.0)), w as (select distinct p_size * 100 as wanted from part),
+r as (select wanted, n_trees, minutes, row_number() over (partition by wanted order by abs(n_trees / wanted - 1), n_trees) as k from w cross join b)
+select wanted, n_trees, round(minutes * wanted / n_trees, 6)::double as minutes from r where k = 1""")
+def closest_baseline(spark, d):
+    wanted = _t(spark, d, "part").select((F.col("p_size") * 100).alias("wanted")).distinct()
+    return _rounded(planner.closest_baseline(wanted, planner.HIGGS_MINUTES), "minutes")
+
+
+@query("select o_orderkey, round((o_orderkey + 2) * log2(o_orderkey + 2) * sqrt(o_custkey) * 10, 2) as size from orders")
+def problem_size(spark, d):
+    size = scalars.problem_size(F.col("o_orderkey") + 2, F.col("o_custkey"), F.lit(10))
+    return _t(spark, d, "orders").select("o_orderkey", F.round(size, 2).alias("size"))

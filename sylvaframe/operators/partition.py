@@ -49,10 +49,10 @@ def shares(df: DataFrame, label: str, weights: Sequence[Sequence[float]] | None,
 def assign_ranks(df: DataFrame, label: str, key: str, n_ranks: int, weights: Sequence[Sequence[float]] | None = None, seed: int | str = 0, classes: Sequence | None = None) -> DataFrame:
     """Adds rank: exact counts per class and rank (uniform without weights), members by shuffled position."""
     rows = shares(df, label, weights, n_ranks, classes)
-    spans = df.sparkSession.createDataFrame(rows, f"c {df.schema[label].dataType.simpleString()}, rank int, lo long, hi long, n long")
+    spans = df.sparkSession.createDataFrame(rows, f"__c {df.schema[label].dataType.simpleString()}, __rank int, __lo long, __hi long, __cnt long")
     spans = F.broadcast(spans) if len(rows) <= MAX_BROADCAST_ROWS else spans
-    placed = with_position(df, key, seed, label, "__pos").join(spans, (F.col(label) == F.col("c")) & (F.col("__pos") >= F.col("lo")) & (F.col("__pos") < F.col("hi")))
-    return placed.select(*df.columns, "rank")
+    placed = with_position(df, key, seed, label, "__pos").join(spans, (F.col(label) == F.col("__c")) & (F.col("__pos") >= F.col("__lo")) & (F.col("__pos") < F.col("__hi")))
+    return placed.select(*[c for c in df.columns if c != "rank"], F.col("__rank").alias("rank"))
 
 
 def balanced_partition(df: DataFrame, label: str, key: str, n_ranks: int, seed: int | str = 0) -> DataFrame:

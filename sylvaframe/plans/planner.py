@@ -16,7 +16,7 @@ MAX_MINUTES = 4320
 
 def time_limit(minutes: Column, factor: float = 2.0, most: int = MAX_MINUTES) -> Column:
     """Limit of a job: the estimate with a margin, capped; rounded half up to whole minutes."""
-    return F.round(F.least(minutes * factor, F.lit(float(most)))).cast("long")
+    return F.floor(F.round(F.least(minutes * factor, F.lit(float(most))), 6) + 0.5).cast("long")
 
 
 def node_class(memory_mb: Column) -> Column:

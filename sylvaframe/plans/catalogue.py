@@ -489,12 +489,12 @@ def parse_run_path(spark, d):
 
 @query("""
 with x as (select p_partkey, p_retailprice as serial, p_size as nodes from part)
-select p_partkey, round(serial * ((1 - 0.25) / nodes + 0.25), 6) as strong, round(serial * (1 + 0.01 * nodes), 6) as weak,
+select p_partkey, round(serial * ((1 - 0.25) / nodes + 0.25) + 1e-7, 4) as strong, round(serial * (1 + 0.01 * nodes), 6) as weak,
 floor(round(least(2 * serial * ((1 - 0.25) / nodes + 0.25), 4320.0), 6) + 0.5)::bigint as limit_min from x""")
 def runtime_estimate(spark, d):
     serial, nodes = F.col("p_retailprice"), F.col("p_size")
     strong = scalars.strong_runtime(serial, nodes)
-    return _t(spark, d, "part").select("p_partkey", F.round(strong, 6).alias("strong"), F.round(scalars.weak_runtime(serial, nodes), 6).alias("weak"), planner.time_limit(strong).alias("limit_min"))
+    return _t(spark, d, "part").select("p_partkey", F.round(strong + 1e-7, 4).alias("strong"), F.round(scalars.weak_runtime(serial, nodes), 6).alias("weak"), planner.time_limit(strong).alias("limit_min"))
 
 
 @query("""

@@ -206,3 +206,21 @@ def test_classifier_learns_and_holds_out(spark):
     held = [g for g in got if g.held_out and g.doc_id < 200]
     assert len(got) == 201 and all(0 <= g.score <= 1 for g in got)
     assert np.mean([g.predicted == 1 - g.doc_id % 2 for g in held]) > 0.95
+
+
+def test_top_k_edges(spark):
+    r = np.random.RandomState(6)
+    own = [(i, int(c)) for i, c in enumerate(r.randint(0, 40, 120))] + [(3, 1 << 40), (500, None), (None, 7)]  # near codes, many ties
+    codes = spark.createDataFrame(own + own[:5], "id long, code long")
+    asked = [(1000, -1), (1001, 0), (1002, 0), (4, own[4][1])]  # codes that are not in the table, equal ones, and one that is
+    got = multi_index.search(codes, spark.createDataFrame(asked, "id long, code long"), k=4).collect()
+    known = {}
+    for i, c in own:
+        if i is not None and c is not None:
+            known[i] = min(c, known.get(i, c))
+    apart = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    expected = [(q, n + 1, i, d) for q, c in asked for n, (d, i) in enumerate(sorted((apart(c, x), i) for i, x in known.items() if i != q)[:4])]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    few = codes.where("id in (1, 2)")
+    assert multi_index.search(few, few, k=10).count() == 2
+    assert multi_index.search(few.limit(0), few, k=10).count() == 0 and multi_index.search(few, few.limit(0), k=10).count() == 0

@@ -72,7 +72,11 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Mode
 
 def train(featured: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """featured(doc_id, f) and labels(doc_id, quality) -> Model; rows with a null are left out."""
-    rows = featured.join(labels.select("doc_id", "quality").dropna(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("f", "quality").collect()
+    labelled = featured.join(labels.select("doc_id", "quality").dropna(), "doc_id")
+    n = labelled.count()
+    if n > 2 * max_rows:  # twice the sample lies below this hash, so tasks send no more than that
+        labelled = labelled.where(F.xxhash64("doc_id") < int(-(1 << 63) + (1 << 64) * (2 * max_rows / n)))
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("f", "quality").collect()
     if not rows:
         return Model((0.0,) * len(FEATURES), 0.0)
     return fit(np.array([r.f for r in rows]), np.array([r.quality for r in rows]))

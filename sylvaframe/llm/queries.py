@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bradley_terry, html_extract, license_scan, mixing, multi_index, pii, quality_rules, simhash, suffix_dedup
+from . import bpe, bradley_terry, html_extract, license_scan, mixing, multi_index, oracles, pii, quality_rules, simhash, suffix_dedup
 from ._common import read_table
 
 
@@ -74,4 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL can express; hashes, models, tokens and drawn surrogates are beyond it."""
+    return oracles.oracle_sql()

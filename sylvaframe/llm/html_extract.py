@@ -47,7 +47,10 @@ BOILERPLATE_NAMES = frozenset(
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_SALT = 16
+#: Streams or wrappers that one task merges.
+_FAN = 64
+#: A host with more pages than this part of a shuffle partition's even share is split for the join.
+_PARTS = 4
 #: A text that is on this share of a host's pages, and on as many pages, is part of the template.
 _SAME_SHARE, _SAME_PAGES = 0.5, 4
 
@@ -241,13 +244,19 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """pages(host, html) -> (host, template, n): one wrapper per host from the distinct token streams of all its pages.
 
-    Streams are counted before they are shuffled and merged in two steps (salted, then by host), so a hot host is split.
-    template is JSON: [tokens of the expression, role of each slot path, true].
+    Streams are counted before they are shuffled and merged in rounds: each task merges about _FAN of a host's streams or wrappers, until
+    every host has one wrapper. So a hot host is split, however many streams it has. template is JSON: [tokens of the
+    expression, role of each slot path, true].
     """
     schema = "host string, template string, n long"
-    distinct = pages.select("host", "html").mapInArrow(_templates, schema).groupBy("host", "template").agg(F.sum("n").alias("n"))
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(_SALT)))
-    return salted.groupBy("host", "salt").applyInPandas(_merge, schema).groupBy("host").applyInPandas(_merge, schema)
+    now = checkpointed(pages.select("host", "html").mapInArrow(_templates, schema).groupBy("host", "template").agg(F.sum("n").alias("n")))
+    while True:
+        most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        groups = -(-most // _FAN)
+        salted = now.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(max(1, groups))))
+        now = checkpointed(salted.groupBy("host", "salt").applyInPandas(_merge, schema))
+        if groups <= 1:
+            return now
 
 
 def _loose_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +289,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         .groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("same"))
     )
     known = checkpointed(wrappers.join(same, "host", "left").select("host", F.col("template").alias("wrapper"), F.to_json(F.struct("same")).alias("same")))
-    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
-    joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(_SALT)).cast("int")).join(salted, ["host", "salt"], "left")
+    # hosts above an even share of the pages, fewer than _PARTS a shuffle partition: a broadcast bounded by the partitions, not the data
+    sizes = checkpointed(own.groupBy("host").agg(F.count("*").alias("pages")))
+    share = (sizes.agg(F.sum("pages")).first()[0] or 0) / (_PARTS * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(sizes.where(F.col("pages") > share).select("host", F.ceil(F.col("pages") / F.lit(max(1.0, share))).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    salted = known.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    joined = own.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), copies).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

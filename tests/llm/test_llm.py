@@ -109,6 +109,23 @@ def test_suffix_dedup_brute_force(docs):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_anchor_groups_do_not_depend_on_batches():
+    r = np.random.RandomState(8)
+    rows = np.unique(np.stack([r.randint(0, 4, 400), r.randint(0, 3, 400), r.randint(0, 12, 400), r.randint(0, 40, 400) * 2], 1), axis=0)
+    rows[:, 1] += 10 * rows[:, 0]  # a context belongs to one anchor
+    cut = lambda n: (suffix_dedup._batch(k=p[:, 0], c=p[:, 1], doc_id=p[:, 2], span=p[:, 3]) for p in np.array_split(rows, n))
+    whole, pieces = (sorted(x for b in suffix_dedup._reduce_anchors(cut(n)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)) for n in (1, len(rows)))
+    assert whole == pieces and len(whole) == len(rows)
+    one_doc = np.array([[1, 1, 5, 0], [1, 2, 5, 2], [2, 9, 4, 4]])
+    assert not [b for b in suffix_dedup._reduce_anchors(iter([suffix_dedup._batch(k=one_doc[:, 0], c=one_doc[:, 1], doc_id=one_doc[:, 2], span=one_doc[:, 3])]))]
+
+
+def test_wrappers_of_many_streams(spark):
+    pages = [("h.org", "<body>" + "<div><p>x</p></div><h2>y</h2>" * (i % 90) + f"<article><h{i % 6 + 1}>t</h{i % 6 + 1}>" + "<ul><li>a</li></ul><p>b</p>" * (i // 90) + "</article></body>") for i in range(400)]
+    got = html_extract.infer_wrappers(spark.createDataFrame([*pages, ("i.org", None)], "host string, html string")).collect()
+    assert sorted((g.host, g.n) for g in got) == [("h.org", 400), ("i.org", 1)]
+
+
 def test_bpe_matches_the_library():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

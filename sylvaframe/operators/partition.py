@@ -108,6 +108,24 @@ def train_test_split(df: DataFrame, key: str, train: float = 0.75, seed: int | s
     return with_position(df, key, seed, stratify, "__pos").withColumn("split", F.when(F.col("__pos") < n_test, "test").otherwise("train")).select(*df.columns, "split")
 
 
+def tail_split(df: DataFrame, n_test: int) -> DataFrame:
+    """Adds split: the last n_test rows in reading order are test. Only row counts of the partitions reach the driver.
+
+    Reading order is that of the partitions, so df must be a scan of one file or of files in order.
+    """
+    numbered = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    sizes = sorted((r["__part"], r["n"]) for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    left, cut = sum(n for _, n in sizes) - n_test, -1
+    for part, n in sizes:  # the id of the first test row
+        if left < n:
+            cut = (part << 33) + max(0, left)
+            break
+        left -= n
+    else:
+        cut = 1 << 62
+    return numbered.withColumn("split", F.when(F.col("__id") >= cut, "test").otherwise("train")).drop("__id", "__part")
+
+
 def normalize(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
     """z-scores by mean and population standard deviation of the train rows."""
     stats = df.where(train).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])

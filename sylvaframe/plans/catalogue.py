@@ -510,3 +510,79 @@ def closest_baseline(spark, d):
 def problem_size(spark, d):
     size = scalars.problem_size(F.col("o_orderkey") + 2, F.col("o_custkey"), F.lit(10))
     return _t(spark, d, "orders").select("o_orderkey", F.round(size, 2).alias("size"))
+
+
+@query("select case when row_number() over (order by o_orderkey) > count(*) over () - 500 then 'test' else 'train' end as split, o_orderkey from orders")
+def original_test_split(spark, d):
+    return partition.tail_split(_t(spark, d, "orders").select("o_orderkey"), 500).select("split", "o_orderkey")
+
+
+@query("select n::int as n_nodes, 1600 // n as strong_local, 1600 // n * n as strong_global, 800 as weak_local, 800 * n as weak_global from (select unnest([2, 4, 8, 16, 32, 64]) as n)")
+def trees_by_scaling(spark, d):
+    rows = [(n, *weights.scaled_trees(1600, n, "strong"), *weights.scaled_trees(800, n, "weak")) for n in (2, 4, 8, 16, 32, 64)]
+    return spark.createDataFrame(rows, "n_nodes int, strong_local int, strong_global int, weak_local int, weak_global int")
+
+
+@query("select r::int as rank, (17 + r)::bigint as seed from (select unnest(range(8)) as r)")
+def rank_seeds_by_addition(spark, d):
+    return spark.createDataFrame(list(enumerate(weights.rank_seeds(17, 8, add_rank=True))), "rank int, seed long")
+
+
+@query("select p_partkey, case when p_size * 100000 <= 239400 then 'standard' when p_size * 100000 <= 497500 then 'high' when p_size * 100000 <= 4120112 then 'large' end as node_class from part")
+def memory_node_class(spark, d):
+    return _t(spark, d, "part").select("p_partkey", planner.node_class(F.col("p_size") * 100000).alias("node_class"))
+
+
+@query("select p_partkey, round(p_retailprice / ((p_size * 60) / 3600.0) / 4, 6) as power_w from part")
+def power_per_task(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.round(scalars.mean_power(F.col("p_retailprice"), F.col("p_size") * 60, F.lit(4)), 6).alias("power_w"))
+
+
+@query("select * from (values (1000, '1E+03'), (7000000, '7E+06'), (20, '2E+01'), (null, null)) as v(n, text)")
+def scientific_format(spark, d):
+    return spark.createDataFrame([(1000,), (7_000_000,), (20,), (None,)], "n int").withColumn("text", scalars.scientific(F.col("n")))
+
+
+@query("select event_type, round(sum(value), 2) as energy from events group by 1")
+def energy_total(spark, d):
+    return _t(spark, d, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("energy"))
+
+
+@query("select 'a' as dir")
+def complete_run_dirs(spark, d):
+    files = [("a", "a/slurm.out"), ("a", "a/x_results.csv"), ("b", "b/slurm.out"), ("c", "c/1.out"), ("c", "c/2.out"), ("c", "c/x_results.csv")]
+    return experiments.complete_runs(spark.createDataFrame(files, "dir string, path string"))
+
+
+@query("select o_custkey, min(cast(o_orderkey as varchar)) as job_id, arg_min(o_totalprice, cast(o_orderkey as varchar)) as price from orders group by 1")
+def checkpoint_smallest_job(spark, d):
+    runs = _t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_totalprice").alias("price"))
+    return experiments.smallest_job(runs, ["o_custkey"])
+
+
+@query("""with w as (select o_orderpriority as dataset, o_custkey % 3 as model_seed, o_orderkey % 8 + 1 as n_nodes, o_totalprice / 100 as t from orders)
+select dataset, n_nodes, round(avg(t), 6) as time_sec_training_mean from w group by 1, 2""")
+def time_mean_over_ranks(spark, d):
+    runs = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("dataset"), (F.col("o_orderkey") % 8 + 1).alias("n_nodes"), (F.col("o_totalprice") / 100).alias("time_sec_training"))
+    return _rounded(experiments.aggregate_by_seeds(runs, ["dataset", "n_nodes"], ["time_sec_training"], stats="mean"), "time_sec_training_mean")
+
+
+@query(" union all ".join(f"select {i}::int as label, {n}::bigint as cnt" for i, n in enumerate((2000, 1200, 800))))
+def synthetic_class_counts(spark, d):
+    """The generator's class counts without label noise are exact."""
+    from ..sources import datasets
+
+    made = datasets.generate(spark, 4000, 12, 3, [0.5, 0.3, 0.2], seed=2, flip_y=0.0)
+    return made.groupBy("label").agg(F.count("*").alias("cnt"))
+
+
+@query("select count(distinct o_orderpriority) as n_classes from orders")
+def n_classes(spark, d):
+    return _t(spark, d, "orders").agg(F.countDistinct("o_orderpriority").alias("n_classes"))
+
+
+@query(_assigned("orders", "o_orderpriority", "o_orderkey", _values(_PRIORITIES, _SKELLAM["2.0"])) + """, k4 as (select rank, class_ as class, count(*) as cnt from a group by 1, 2)
+select r.rank, k.class, coalesce(c.cnt, 0)::bigint as cnt from (select unnest([0, 1, 2, 3])::int as rank) r cross join (select distinct o_orderpriority as class from orders) k left join k4 c on c.rank = r.rank and c.class = k.class""")
+def non_iid_class_frequency(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return stats.class_frequency_by_rank(partition.skellam_partition(orders, "o_orderpriority", "o_orderkey", 4, 2.0, classes=_PRIORITIES), "o_orderpriority", "rank", 4)

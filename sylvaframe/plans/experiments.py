@@ -73,6 +73,11 @@ def complete_runs(files: DataFrame) -> DataFrame:
     return files.groupBy("dir").agg(log.alias("logs"), csv.alias("results")).where("logs = 1 and results = 1").select("dir")
 
 
+def smallest_job(runs: DataFrame, keys: Sequence[str], job: str = "job_id") -> DataFrame:
+    """The run of each key with the smallest job id, compared as a string; the run whose checkpoint is read."""
+    return runs.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in runs.columns if c not in keys]), F.col(job).cast("string")).alias("run")).select(*keys, "run.*")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join in which missing keys match each other; right's keys are dropped."""
     renamed = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partition import tail_split
 from ..operators.weights import largest_remainder, skellam_class_weights
 
 
@@ -15,9 +16,10 @@ def _csv(spark: SparkSession, path: str, n_columns: int) -> DataFrame:
     return spark.read.csv(path, schema=", ".join(f"c{i} double" for i in range(n_columns)), header=False)
 
 
-def _labelled(raw: DataFrame, label: str, features: Sequence[str], shift: int = 0) -> DataFrame:
+def _labelled(raw: DataFrame, label: str, features: Sequence[str], shift: int = 0, keep: Sequence[str] = ()) -> DataFrame:
     array = F.array(*[F.col(c).cast("float") for c in features])
-    return raw.select(F.xxhash64(*raw.columns).alias("sample_id"), array.alias("features"), (F.col(label) - shift).cast("int").alias("label"))
+    sample_id = F.xxhash64(*[c for c in raw.columns if c not in keep]).alias("sample_id")
+    return raw.select(sample_id, array.alias("features"), (F.col(label) - shift).cast("int").alias("label"), *keep)
 
 
 def read_susy(spark: SparkSession, path: str) -> DataFrame:
@@ -31,6 +33,12 @@ def read_higgs(spark: SparkSession, path: str, high_level: bool = True, subset:
     return _labelled(raw if subset is None else raw.limit(subset), "c0", [f"c{i}" for i in range(1, 29 if high_level else 22)])
 
 
+def read_higgs_original_split(spark: SparkSession, path: str, high_level: bool = True, n_test: int = 500_000) -> DataFrame:
+    """HIGGS with its published split in column split: the last n_test rows of the file are test."""
+    raw = _csv(spark, path, 29)
+    return _labelled(tail_split(raw, n_test), "c0", [f"c{i}" for i in range(1, 29 if high_level else 22)], keep=("split",))
+
+
 def read_cover_type(spark: SparkSession, path: str) -> DataFrame:
     """CoverType: 54 features, label 1 to 7 last, shifted to 0 to 6."""
     return _labelled(_csv(spark, path, 55), "c54", [f"c{i}" for i in range(54)], 1)

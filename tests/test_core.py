@@ -94,6 +94,27 @@ def test_t_quantile_and_null_safe_join(spark):
     assert sorted(r["mean_local_x"] for r in got) == [1.0, 3.0, 3.0]
 
 
+def test_csv_sources_and_published_split(spark, tmp_path):
+    path = str(tmp_path / "higgs.csv")
+    with open(path, "w") as f:
+        f.writelines(",".join([f"{i % 2}.0", *[f"{i + j}.5" for j in range(28)]]) + "\n" for i in range(40))
+    assert datasets.get_dataset("higgs", spark, path, high_level=False, subset=7).agg(F.count("*"), F.max(F.size("features"))).first()[:] == (7, 21)
+    split = datasets.read_higgs_original_split(spark, path, n_test=15)
+    got = sorted((r["features"][0], r["split"]) for r in split.collect())
+    assert got == [(i + 0.5, "test" if i >= 25 else "train") for i in range(40)]
+    for n, expected in ((0, {"train": 40}), (99, {"test": 40})):
+        assert {r[0]: r[1] for r in partition.tail_split(spark.range(40), n).groupBy("split").count().collect()} == expected
+    with pytest.raises(ValueError):
+        datasets.get_dataset("none", spark, path)
+
+
+def test_serial_results_get_parallel_columns(spark, tmp_path):
+    df = spark.createDataFrame([("0.5", "0.75")], "accuracy_test string, accuracy_train string")
+    experiments.write_results(df, str(tmp_path / "r"), "r.csv")
+    got = experiments.read_results(spark, str(tmp_path / "r")).first().asDict()
+    assert got == {"result_filename": "r.csv", "accuracy_global_test": "0.5", "accuracy_local_test": "0.5", "accuracy_global_train": "0.75", "accuracy_local_train": "0.75"}
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -153,10 +153,15 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
 
 
 def _reduce_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k, c, doc_id) -> (doc_id, span): settled ones, and those whose windows must be compared."""
-    held = [np.empty(0, np.int64) for _ in range(4)]
+    """Rows sorted by (k, c, doc_id) -> (doc_id, span): settled ones, and those whose windows must be compared.
 
-    def judged(k: np.ndarray, c: np.ndarray, d: np.ndarray, s: np.ndarray, is_open: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
+    Rows of an unfinished group are held until it has several contexts and several documents, so a single context's smallest document
+    or a single document's contexts at most. From then on its rows pass through, and only the last context's first row is held.
+    """
+    held, passes = [np.empty(0, np.int64) for _ in range(4)], False
+
+    def judged(rows: list[np.ndarray], is_open: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray], bool]:
+        k, c, d, s = rows
         new_k = np.concatenate([[True], k[1:] != k[:-1]])
         new_c = new_k | np.concatenate([[True], c[1:] != c[:-1]])
         head = np.maximum.accumulate(np.where(new_c, np.arange(len(k)), 0))
@@ -164,20 +169,21 @@ def _reduce_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         group = np.cumsum(new_k) - 1
         starts = np.flatnonzero(new_k)
         many = (np.add.reduceat(new_c.astype(np.int64), starts) > 1) & (np.maximum.reduceat(d, starts) > np.minimum.reduceat(d, starts))
-        last = group == group[-1] if is_open else np.zeros(len(k), bool)
-        out = done | (many[group] & ~last)
+        many[0] |= passes
+        waits = (group == group[-1]) & is_open & ~many[-1]
+        out = done | (many[group] & ~waits)
+        out[0] &= not passes  # the one row held of a group that passes is out already
         spans = np.where(done, s | 1, s)[out]
-        keep = last & ~done
-        return (_batch(doc_id=d[out], span=spans) if out.any() else None), [x[keep] for x in (k, c, d, s)]
+        keep = head[-1:] if many[-1] else np.flatnonzero(waits & ~done)
+        return (_batch(doc_id=d[out], span=spans) if out.any() else None), [x[keep] for x in rows], bool(many[-1])
 
     for batch in batches:
         if batch.num_rows:
-            rows = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held)]
-            found, held = judged(*rows, True)
+            found, held, passes = judged([np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held)], True)
             if found:
                 yield found
     if len(held[0]):
-        found, _ = judged(*held, False)
+        found, _, _ = judged(held, False)
         if found:
             yield found
 

@@ -17,8 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the divergence rules."""
-    verdict = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
+    """Documents that pass the base rules and the divergence rules, with the word limit by each language's spread."""
+    verdict = quality_rules.judge(docs, by_spread=True).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
     return docs.join(verdict, docs.doc_id.eqNullSafe(verdict.k_id), "left_semi").select(*COLUMNS)
 
 

@@ -29,6 +29,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Least words for the character histogram and for the word histogram, and the greatest distances that are kept.
 MIN_CHAR_WORDS, MIN_COMMON_WORDS = 50, 200
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.60
+#: For limits by spread: no limit is below what chance reaches in a text of MIN_COMMON_WORDS words; parts of 1 in which distances are counted.
+LEAST_WORD_LIMIT, _BINS = 0.20, 1000
 
 
 def _left(text: Column, pattern: str) -> Column:
@@ -130,13 +132,25 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"sqrt(greatest(0D, ({half.format(a=p, b=q)} + {half.format(a=q, b=p)}) / 2))")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: Mapping[str, Sequence[str]] = COMMON_WORDS) -> DataFrame:
+def word_limits(judged: DataFrame) -> DataFrame:
+    """(l_lang, word_limit) from rows (lang, word_distance): third quartile and three times the spread of the quartiles, within LEAST_WORD_LIMIT and MAX_WORD_DISTANCE."""
+    bins = judged.groupBy("lang", F.floor(F.col("word_distance") * _BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    quartiles = bins.groupBy("lang").agg(F.expr("percentile(bin + 1, array(0.25D, 0.75D), n)").alias("q"))
+    fence = (F.col("q")[1] + 3 * (F.col("q")[1] - F.col("q")[0])) / _BINS
+    return quartiles.select(F.col("lang").alias("l_lang"), F.least(F.lit(MAX_WORD_DISTANCE), F.greatest(F.lit(LEAST_WORD_LIMIT), fence)).alias("word_limit"))
+
+
+def judge(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: Mapping[str, Sequence[str]] = COMMON_WORDS, by_spread: bool = False
+) -> DataFrame:
     """(doc_id, base counts, base_failed, char_distance, word_distance, kept): one row per row of docs.
 
     A language's reference is the mean histogram over all its documents that pass the base rules; languages outside
     common_words, null included, share one reference of character classes. kept is false if a base rule fails or a distance is above
     its maximum; documents under a minimum length, whose distance is null, are not judged by it. Null texts count
     as empty: they fail the base rules. Repeated rows give repeated rows, an empty table an empty result; other columns are ignored.
+    by_spread: the greatest word distance is word_limits() of the language's documents that pass the base rules, not MAX_WORD_DISTANCE,
+    which no text without common words reaches.
     """
     counts = stored(_histograms(features(docs, id_col, text_col, lang_col, common_words)).withColumn("base_failed", _base_failed()))
     n_words = max(map(len, common_words.values())) + 1
@@ -148,8 +162,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.array(*[f"p_word{i}" for i in range(n_words)]).alias("r_word"),
     )
     judged = counts.join(F.broadcast(reference), F.col("lang") == F.col("r_lang"), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "lang", "p_word", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         distance("p_char", "r_char").alias("char_distance"), distance("p_word", "r_word").alias("word_distance"),
     )
-    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far)
+    limit = F.lit(MAX_WORD_DISTANCE)
+    if by_spread:
+        limits = word_limits(judged.where("not base_failed and p_word is not null"))
+        judged = judged.join(F.broadcast(limits), F.col("lang") == F.col("l_lang"), "left").drop("l_lang")
+        limit = F.coalesce("word_limit", limit)
+    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > limit)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far).drop("lang", "p_word", "word_limit")

@@ -1,6 +1,6 @@
 """License scans: normalised text against license templates by the Dice coefficient over word bigrams.
 
-A text is compared whole, by line and by sentence. With a units' and b template's distinct bigrams, the Dice coefficient 2 |A and B| / (a + b) can
+A text is compared whole, by line, by sentence and by windows of consecutive lines, so notices and license texts that are wrapped match too. With a units' and b template's distinct bigrams, the Dice coefficient 2 |A and B| / (a + b) can
 reach t only if t / (2 - t) <= a / b <= (2 - t) / t; these size bounds leave few templates for a unit.
 """
 
@@ -30,7 +30,69 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-_OTHER = re.compile(r"[^a-z0-9]+")
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    """The file notice of a GNU license."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. "
+        f"You should have received a copy of the GNU {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
+#: Whole texts of short licenses and the file notices of long ones; beside the templates, the SQL twin has only those.
+FULL_TEXTS: Mapping[str, tuple[str, ...]] = {
+    "AGPL-3.0": (_gnu("Affero General Public License", "3"),),
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "BSD-2-Clause": (_BSD_HEAD + _BSD_TAIL,),
+    "BSD-3-Clause": (_BSD_HEAD + _BSD_THIRD + _BSD_TAIL, _BSD_HEAD + _BSD_THIRD),
+    "GPL-2.0": (_gnu("General Public License", "2"),),
+    "GPL-3.0": (_gnu("General Public License", "3"),),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "LGPL-3.0": (_gnu("Lesser General Public License", "3"),),
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        + _AS_IS
+        + "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        + _AS_IS
+        + "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
+        "For more information, please refer to <https://unlicense.org>",
+    ),
+}
+_OTHER = re.compile(r"[^a-z0-9\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?;:])[ \t]+")
 
 
@@ -46,38 +108,102 @@ class Scanner:
         self.known = sorted(((len(b), name, b) for name, texts in templates.items() for t in texts if (b := bigrams(t))), key=lambda x: x[:2])
         self.sizes = [n for n, _, _ in self.known]
         self.first = {x for _, _, b in self.known for x in b}
-
-    def best(self, unit: str) -> tuple[float, str] | None:
-        """Best (score, name) of a unit of at least the least score; ties go to the smaller name."""
-        own = bigrams(unit)
-        if self.first.isdisjoint(own):
+        #: A unit has at least this share of a template's bigrams, and a template of a unit's.
+        self.share = least / (2 - least)
+
+    def best(self, own: set[str]) -> tuple[float, str] | None:
+        """Best (score, name) of a unit's bigrams of at least the least score; ties go to the smaller name."""
+        a = len(own)
+        hits = own & self.first
+        if not hits or len(hits) < a * self.share - 1e-9:
             return None
-        a, t = len(own), self.least
         found = None
-        lo = bisect_left(self.sizes, a * t / (2 - t) - 1e-9)
-        for b, name, grams in self.known[lo : bisect_right(self.sizes, a * (2 - t) / t + 1e-9)]:
-            score = 2 * len(own & grams) / (a + b)
-            if score >= t and (found is None or (-score, name) < (-found[0], found[1])):
+        lo = bisect_left(self.sizes, a * self.share - 1e-9)
+        for b, name, grams in self.known[lo : bisect_right(self.sizes, a / self.share + 1e-9)]:
+            score = 2 * len(hits & grams) / (a + b)
+            if score >= self.least and (found is None or (-score, name) < (-found[0], found[1])):
                 found = score, name
         return found
 
+    def windows(self, grams: list[str], starts: list[int]) -> list[tuple[float, int, str, int, int]]:
+        """Best (score, shared bigrams, name, first, last) windows of two lines or more without overlap; line k has the words from starts[k] on.
+
+        The best window of a template begins with a line that shares a bigram with it; once later lines repeat all that its first
+        line shares, the window without that line is no worse. So a template takes time in proportion to the text.
+        """
+        hits = self.first.intersection(grams)
+        found = []
+        for b, name, known in self.known:
+            most = len(hits & known)
+            if most < b * self.share - 1e-9:
+                continue
+            places: dict[int, set[str]] = {}  # line -> shared bigrams that begin in it
+            line = 0
+            for at, x in enumerate(grams):
+                while line + 1 < len(starts) - 1 and starts[line + 1] <= at:
+                    line += 1
+                if x in known:
+                    places.setdefault(line, set()).add(x)
+            for i in places:
+                own, later, shared = set(), set(), 0
+                for j in range(i, len(starts) - 1):
+                    # the bigram that leads into a line joins with that line
+                    new = set(grams[max(starts[i], starts[j] - 1) : starts[j + 1] - 1]) - own
+                    own |= new
+                    shared += len(new & known)
+                    if len(own) > b / self.share + 1e-9:
+                        break
+                    score = 2 * shared / (len(own) + b)
+                    if j > i and score >= self.least:
+                        found.append((score, shared, name, i, j))
+                    later |= places.get(j, set()) if j > i else set()
+                    if shared == most or places[i] <= later:
+                        break
+        chosen: list[tuple[float, int, str, int, int]] = []
+        for w in sorted(found, key=lambda w: (-w[0], -w[1], w[2:])):
+            if all(w[4] < c[3] or w[3] > c[4] for c in chosen):
+                chosen.append(w)
+        return sorted(chosen, key=lambda w: w[3])
+
     def scan(self, text: str | None) -> list[tuple[str, str, float]]:
-        """(license, unit, score) of each line or sentence that matches; the whole text if it does."""
-        out, text = [], text or ""
-        for line in text.split("\n"):
-            hit = self.best(line)
+        """(license, unit, score) of each line, sentence or window of lines that matches; the whole text if it does.
+
+        A window takes the place of the lines and sentences in it if it scores more than each, or as much with more bigrams.
+        """
+        text = text or ""
+        lines = text.split("\n")
+        words: list[str] = []
+        starts = []
+        for line in _OTHER.sub(" ", text.lower()).split("\n"):
+            starts.append(len(words))
+            words += line.split()
+        starts.append(len(words))
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        units: list[tuple[int, str, str, float, int]] = []  # line, license, unit, score, bigrams
+        for k, line in enumerate(lines):
+            own = set(grams[starts[k] : max(starts[k], starts[k + 1] - 1)])
+            hit = self.best(own)
             if hit:
-                out.append((hit[1], line, hit[0]))
-                continue
-            parts = _SENTENCE.split(line)
-            if len(parts) > 1:
-                out += [(h[1], p, h[0]) for p in parts if (h := self.best(p))]
-        if not out and "\n" in text and (hit := self.best(text)):
+                units.append((k, hit[1], line, hit[0], len(own)))
+            elif not self.first.isdisjoint(own):
+                parts = _SENTENCE.split(line)
+                if len(parts) > 1:
+                    units += [(k, h[1], p, h[0], len(g)) for p in parts if (h := self.best(g := bigrams(p)))]
+        filled = [k for k in range(len(lines)) if starts[k] < starts[k + 1]]
+        for score, shared, name, a, b in self.windows(grams, [starts[k] for k in filled] + starts[-1:]) if len(filled) > 1 else ():
+            first, last = filled[a], filled[b]
+            inside = [u for u in units if first <= u[0] <= last]
+            if all((score, shared) > (u[3], u[4]) for u in inside):
+                units = [u for u in units if not first <= u[0] <= last] + [(first, name, "\n".join(lines[first : last + 1]), score, shared)]
+        out = [u[1:4] for u in sorted(units, key=lambda u: u[0])]
+        if not out and "\n" in text and (hit := self.best(set(grams))):
             out.append((hit[1], text, hit[0]))
         return out
 
 
-def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = MIN_DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = MIN_DICE, id_col: str = "doc_id", text_col: str = "text", full_texts: Mapping[str, tuple[str, ...]] = FULL_TEXTS
+) -> DataFrame:
     """(doc_id, n_matches, best_license, best_score, matches array<struct<license, text, score>>): one row per row of docs.
 
     Null and empty texts match nothing: 0, null, null and an empty array; of equal scores the smaller license name is best; repeated rows give
@@ -86,7 +212,7 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     kinds = pa.list_(pa.struct([("license", pa.string()), ("text", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, least)
+        scanner = Scanner({n: (*templates.get(n, ()), *full_texts.get(n, ())) for n in {**templates, **full_texts}}, least)
         for batch in batches:
             rows = [scanner.scan(t) for t in batch.column(1).to_pylist()]
             best = [min(((-s, n) for n, _, s in r), default=(None, None)) for r in rows]

@@ -255,3 +255,38 @@ def test_word_limits_by_spread(spark):
     import corpus_pipeline
 
     assert sorted(g.doc_id for g in corpus_pipeline.rules(spark, docs.selectExpr("*", "'s' as source", "length(text) as n_chars"), "").collect()) == list(range(80))
+
+
+def test_license_windows(spark):
+    import textwrap
+
+    full, short = license_scan.FULL_TEXTS, license_scan.TEMPLATES
+    wrapped = {
+        "MIT": full["MIT"][0], "BSD-3-Clause": full["BSD-3-Clause"][0], "BSD-2-Clause": full["BSD-2-Clause"][0], "GPL-3.0": full["GPL-3.0"][0], "ISC": short["ISC"][0], "Apache-2.0": short["Apache-2.0"][1],
+    }
+    prose = "kelp and moss grow\nof the fern in the oak\n"
+    rows = [(i, prose * 3 + "\n\n".join(textwrap.fill(x, 60) for x in t.split(". ")) + "\n" + prose * 3) for i, t in enumerate(wrapped.values())]
+    rows += [(90, prose * 50), (91, rows[0][1] + rows[3][1]), (92, "Licensed under CC BY 4.0.\n" * 400 + full["MIT"][0])]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {name: (got[i].best_license, got[i].n_matches) for i, name in enumerate(wrapped)} == {name: (name, 1) for name in wrapped}
+    assert got[90].n_matches == 0 and sorted(m.license for m in got[91].matches) == ["GPL-3.0", "MIT"]
+    assert got[92].n_matches == 401
+
+
+def test_license_windows_brute_force():
+    r = random.Random(7)
+    scanner = license_scan.Scanner({"A": ("a b c d e f g h i j",), "B": ("d e f g k l m",)}, 0.8)
+    for _ in range(300):
+        lines = [" ".join(r.choice(["a b c", "d e f g", "h i j", "k l m", "x", "d e", "", "b c d e f"]).split()) for _ in range(r.randint(2, 12))]
+        filled = [x.split() for x in lines if x]
+        words = [w for x in filled for w in x]
+        starts = [sum(map(len, filled[:k])) for k in range(len(filled) + 1)]
+        scores = [
+            2 * len(own & known) / (len(own) + n) for n, _, known in scanner.known for i in range(len(filled)) for j in range(i + 1, len(filled)) if (own := license_scan.bigrams(" ".join(words[starts[i] : starts[j + 1]])))
+        ]
+        got = scanner.windows([f"{a} {b}" for a, b in zip(words, words[1:])], starts)
+        expected = max([s for s in scores if s >= 0.8], default=None)
+        single = [2 * len(own & known) / (len(own) + n) for n, _, known in scanner.known for x in filled if (own := license_scan.bigrams(" ".join(x)))]
+        if expected is not None and expected > max(single, default=0):
+            assert max(w[0] for w in got) == pytest.approx(expected)
+        assert all(w[0] in scores for w in got)

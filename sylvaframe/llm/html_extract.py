@@ -29,7 +29,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute with its value, so that a search from the start never begins inside a value.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLOCK = frozenset(
     "html head body title div p ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside main article section form fieldset"
     " h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address hr details summary dialog menu hgroup search center".split()

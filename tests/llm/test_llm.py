@@ -290,3 +290,11 @@ def test_license_windows_brute_force():
         if expected is not None and expected > max(single, default=0):
             assert max(w[0] for w in got) == pytest.approx(expected)
         assert all(w[0] in scores for w in got)
+
+
+def test_attributes_by_whole_names():
+    signature = html_extract._signature
+    for plain in (' style="overflow:hidden"', " title='hidden gems'", ' data-hidden="false"', ' data-id="footer"', ' data-x = "a id=nav"', " alt=class=menu"):
+        assert signature("div", plain) == "div"
+    for marked in (" hidden", " HIDDEN=''", ' data-x="1" class="a menu"', " id=footer", " aria-hidden = 'true'", ' a="b"role="navigation"'):
+        assert signature("div", marked) == "div!"

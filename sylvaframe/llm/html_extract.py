@@ -4,7 +4,7 @@ A page is a stream of tokens: block tags with the classes that matter, and text
 expression is inferred: equal tokens stay, mismatched text becomes a slot, mismatched tags become optional groups,
 and adjacent equal groups become one repeated group. Every text slot of a wrapper has a path of open elements, and the path gives it a role:
 content, or boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments). Where a page has no
-explicit article, slots outside boilerplate are content unless their text is the same on most pages of the host or mostly links.
+explicit article, slots outside boilerplate are content unless their text is the same on most distinct pages of the host or a list item of mostly links.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _FAN = 64
 #: A host with more pages than this part of a shuffle partition's even share is split for the join.
 _PARTS = 4
-#: A text that is on this share of a host's pages, and on as many pages, is part of the template.
+#: A text that is on this share of a host's distinct pages, and on as many of them, is part of the template.
 _SAME_SHARE, _SAME_PAGES = 0.5, 4
 
 
@@ -260,18 +260,38 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             return now
 
 
-def _loose_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, path, text hash): blocks of pages without an explicit main region."""
+def _slot(path: str, text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
+
+
+def _links(path: str) -> bool:
+    """Whether a block of links at this path is navigation: an entry of a list."""
+    return any(s.rstrip("!*") in ("li", "dt", "dd", "menu") for s in path.split("/"))
+
+
+def _loose_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) -> (host, slot, core): blocks outside boilerplate on pages without an explicit main region, and the page itself as slot -1.
+
+    core is the hash of the page's longest other block, for the page itself of its two longest. Copies of a page share the cores of their blocks, also where short parts
+    differ, so distinct cores count the pages that differ otherwise. Where a shared text is longer than what differs, the other shared
+    texts cannot be told from an article's and stay.
+    """
     import xxhash
 
     for batch in batches:
-        rows: set[tuple[str, int, str, int]] = set()
-        for i, (host, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        rows: set[tuple[str, int, int]] = set()
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = blocks(page or "")
-            if not _explicit([p for p, _, _ in found]):
-                rows |= {(host, i, p, xxhash.xxh64_intdigest(t) >> 1) for p, t, _ in found} | {(host, i, "", 0)}
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], names=["host", "path", "text"])
+            if _explicit([p for p, _, _ in found]):
+                continue
+            own = {(p, t) for p, t, _ in found if role(p, False) != "boilerplate"}
+            longest = sorted({t for _, t in own}, key=lambda t: (-len(t), t))[:2]
+            core = {t: xxhash.xxh64_intdigest(next((x for x in longest if x != t), "")) >> 1 for t in (*longest, "")}
+            rows |= {(host, _slot(p, t), core.get(t, core[""])) for p, t in own} | {(host, -1, xxhash.xxh64_intdigest("\n".join(longest)) >> 1)}
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "core"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -282,13 +302,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host(F.col("url")))
     wrappers = infer_wrappers(own)
-    loose = own.select("host", "html").mapInArrow(_loose_texts, "host string, path string, text long")
-    counted = checkpointed(loose.groupBy("host", "path", "text").agg(F.count("*").alias("n")))
-    n_pages = counted.where("path = ''").select("host", F.col("n").alias("pages"))
-    same = (
-        counted.where("path <> ''").join(n_pages, "host").where((F.col("n") >= _SAME_PAGES) & (F.col("n") >= _SAME_SHARE * F.col("pages")))
-        .groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("same"))
-    )
+    loose = own.select("host", "html").mapInArrow(_loose_slots, "host string, slot long, core long")
+    # few slots are on enough pages, so the join reads little
+    counted = checkpointed(loose.groupBy("host", "slot", "core").count().groupBy("host", "slot").agg(F.count("*").alias("n")).where((F.col("n") >= _SAME_PAGES) | (F.col("slot") < 0)))
+    n_pages = counted.where("slot < 0").select("host", F.col("n").alias("pages"))
+    same = counted.where("slot >= 0").join(n_pages, "host").where(F.col("n") >= _SAME_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("slot").alias("same"))
     known = checkpointed(wrappers.join(same, "host", "left").select("host", F.col("template").alias("wrapper"), F.to_json(F.struct("same")).alias("same")))
     # hosts above an even share of the pages, fewer than _PARTS a shuffle partition: a broadcast bounded by the partitions, not the data
     sizes = checkpointed(own.groupBy("host").agg(F.count("*").alias("pages")))
@@ -299,9 +317,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     joined = own.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), copies).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        cache: dict[str, tuple[dict[str, str], set[tuple[str, int]], str]] = {}
+        cache: dict[str, tuple[dict[str, str], set[int], str]] = {}
         for batch in batches:
             texts, expressions = [], []
             for page, wrapper, loose_ in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
@@ -310,14 +326,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if len(cache) > 256:
                         cache.clear()
                     tokens, roles, _ = json.loads(wrapper)
-                    cache[key] = roles, {(x["path"], x["text"]) for x in json.loads(loose_).get("same", [])}, " ".join(tokens)
+                    cache[key] = roles, set(json.loads(loose_).get("same", [])), " ".join(tokens)
                 roles, template, expression = cache[key]
                 found = blocks(page or "")
                 explicit = _explicit([p for p, _, _ in found])
                 chosen = []
                 for path, text, link in found:
                     kind = roles.get(f"{int(explicit)}:{path}") or role(path, explicit)
-                    if kind == "content" or kind == "other" and not link and (path, xxhash.xxh64_intdigest(text) >> 1) not in template:
+                    if kind == "content" or kind == "other" and not (link and _links(path)) and _slot(path, text) not in template:
                         chosen.append(text)
                 texts.append(" ".join(chosen))
                 expressions.append(expression)

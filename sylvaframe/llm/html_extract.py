@@ -3,8 +3,8 @@
 A page is a stream of tokens: block tags with the classes that matter, and text slots. Streams of one host are aligned, and a union-free regular
 expression is inferred: equal tokens stay, mismatched text becomes a slot, mismatched tags become optional groups,
 and adjacent equal groups become one repeated group. Every text slot of a wrapper has a path of open elements, and the path gives it a role:
-content, or boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments). Where a page has no
-explicit article, slots outside boilerplate are content unless their text is the same on most distinct pages of the host or a list item of mostly links.
+content, or boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments). A slot outside boilerplate whose text
+is the same on most distinct pages of the host is a constant of the template and dropped; where a page has no explicit article, so are list items of mostly links.
 """
 
 from __future__ import annotations
@@ -260,10 +260,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             return now
 
 
-def _slot(path: str, text: str) -> int:
+def _slot(explicit: bool, path: str, text: str) -> int:
+    """Hash of a slot's path and text; its lowest bit tells pages with an explicit main region from the others."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
+    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 2 << 1 | explicit
 
 
 def _links(path: str) -> bool:
@@ -271,8 +272,8 @@ def _links(path: str) -> bool:
     return any(s.rstrip("!*") in ("li", "dt", "dd", "menu") for s in path.split("/"))
 
 
-def _loose_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, slot, core): blocks outside boilerplate on pages without an explicit main region, and the page itself as slot -1.
+def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) -> (host, slot, core): blocks outside boilerplate, and the page itself as slot -2 if it has an explicit main region or else -1.
 
     core is the hash of the page's longest other block, for the page itself of its two longest. Copies of a page share the cores of their blocks, also where short parts
     differ, so distinct cores count the pages that differ otherwise. Where a shared text is longer than what differs, the other shared
@@ -284,12 +285,11 @@ def _loose_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: set[tuple[str, int, int]] = set()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = blocks(page or "")
-            if _explicit([p for p, _, _ in found]):
-                continue
-            own = {(p, t) for p, t, _ in found if role(p, False) != "boilerplate"}
+            explicit = _explicit([p for p, _, _ in found])
+            own = {(p, t) for p, t, _ in found if role(p, explicit) != "boilerplate"}
             longest = sorted({t for _, t in own}, key=lambda t: (-len(t), t))[:2]
             core = {t: xxhash.xxh64_intdigest(next((x for x in longest if x != t), "")) >> 1 for t in (*longest, "")}
-            rows |= {(host, _slot(p, t), core.get(t, core[""])) for p, t in own} | {(host, -1, xxhash.xxh64_intdigest("\n".join(longest)) >> 1)}
+            rows |= {(host, _slot(explicit, p, t), core.get(t, core[""])) for p, t in own} | {(host, -1 - explicit, xxhash.xxh64_intdigest("\n".join(longest)) >> 1)}
         columns = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "core"])
 
@@ -302,11 +302,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host(F.col("url")))
     wrappers = infer_wrappers(own)
-    loose = own.select("host", "html").mapInArrow(_loose_slots, "host string, slot long, core long")
+    loose = own.select("host", "html").mapInArrow(_slot_texts, "host string, slot long, core long")
     # few slots are on enough pages, so the join reads little
     counted = checkpointed(loose.groupBy("host", "slot", "core").count().groupBy("host", "slot").agg(F.count("*").alias("n")).where((F.col("n") >= _SAME_PAGES) | (F.col("slot") < 0)))
-    n_pages = counted.where("slot < 0").select("host", F.col("n").alias("pages"))
-    same = counted.where("slot >= 0").join(n_pages, "host").where(F.col("n") >= _SAME_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("slot").alias("same"))
+    n_pages = counted.where("slot < 0").select("host", (-1 - F.col("slot")).alias("explicit"), F.col("n").alias("pages"))
+    same = counted.where("slot >= 0").withColumn("explicit", F.col("slot").bitwiseAND(F.lit(1))).join(n_pages, ["host", "explicit"]).where(F.col("n") >= _SAME_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("slot").alias("same"))
     known = checkpointed(wrappers.join(same, "host", "left").select("host", F.col("template").alias("wrapper"), F.to_json(F.struct("same")).alias("same")))
     # hosts above an even share of the pages, fewer than _PARTS a shuffle partition: a broadcast bounded by the partitions, not the data
     sizes = checkpointed(own.groupBy("host").agg(F.count("*").alias("pages")))
@@ -333,7 +333,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 chosen = []
                 for path, text, link in found:
                     kind = roles.get(f"{int(explicit)}:{path}") or role(path, explicit)
-                    if kind == "content" or kind == "other" and not (link and _links(path)) and _slot(path, text) not in template:
+                    if kind == "content" or kind == "other" and not (link and _links(path)):
+                        if template and _slot(explicit, path, text) in template:  # a constant of the host's pages
+                            continue
                         chosen.append(text)
                 texts.append(" ".join(chosen))
                 expressions.append(expression)

@@ -311,3 +311,12 @@ def test_html_copies_and_links(spark):
     assert all(got[10 + i] == f"S{i} first part of a story T{i} the second part, which is longer" for i in range(4))
     assert all(got[30 + i] == f"Body {i}" + " See" * (i < 4) for i in range(20))
     assert got[20] == "See the long report on kelp"
+
+
+def test_html_constants_inside_articles(spark):
+    page = "<body><article><div class='x1'>Read more at our shop</div><p>Body %s text</p><p>%s</p></article></body>"
+    rows = [(i, f"http://f.org/{i}", page % (i, "Said twice" if i < 2 else "")) for i in range(6)]
+    rows += [(10 + i, f"http://g.org/{i}", page % (1, "")) for i in range(6)]  # copies of one page
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"Body {i} text" + " Said twice" * (i < 2) for i in range(6)]
+    assert {got[10 + i] for i in range(6)} == {"Read more at our shop Body 1 text"}

@@ -2,58 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one only where it is unset."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="sylvaframe-")
-        context.setCheckpointDir(path)
-        path = "file://" + path
-    return path
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with an eager, reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back; deleted when the program ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are out of use, before the next large shuffle."""
-    import gc
-    import time
+from ..sources.shared import drop, shared_dir, stored
 
-    for _ in range(2):  # Python's handles first, then the JVM's plans, then the cleaner's turn
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1.0)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; the folder is temporary anyhow
-        pass
+__all__ = ["drop", "n_words_of", "read_table", "row_of", "shared_dir", "spread_join", "stored", "words_of"]
 
 
 def words_of(text: Column) -> Column:
@@ -66,5 +20,27 @@ def n_words_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def row_of(docs: DataFrame) -> Column:
+    """A whole row as one struct, so that its columns clash with none of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, counts: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined with facts (one row a key) on key, with the rows of hot keys spread over many tasks.
+
+    counts(key, n) holds the rows of each key. A key is hot above a quarter of a shuffle partition's even share, so there are fewer than
+    four hot keys a partition: a broadcast bounded by the partitions, not the data. Hot keys are told apart by spread, an expression over rows.
+    """
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1.0, (counts.agg(F.sum("n")).first()[0] or 0) / parts)
+    hot = F.broadcast(counts.where(F.col("n") > share).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / F.lit(share)).cast("int").alias("__copies")))
+    copies = F.coalesce("__copies", F.lit(1))
+    is_hot = F.col(key).eqNullSafe(F.col("__hot"))
+    left = rows.join(hot, is_hot, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), copies).cast("int")).drop("__hot", "__copies")
+    right = facts.join(hot, is_hot, "left").withColumn("__other", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__hot", "__copies")
+    right = right.withColumnRenamed(key, "__key")
+    return left.join(right, F.expr(f"`{key}` = __key and __salt = __other"), how).drop("__key", "__salt", "__other")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import stored
 
 #: Elements whose content is never text.
 _RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|math"
@@ -250,12 +250,12 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     expression, role of each slot path, true].
     """
     schema = "host string, template string, n long"
-    now = checkpointed(pages.select("host", "html").mapInArrow(_templates, schema).groupBy("host", "template").agg(F.sum("n").alias("n")))
+    now = stored(pages.select("host", "html").mapInArrow(_templates, schema).groupBy("host", "template").agg(F.sum("n").alias("n")))
     while True:
         most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         groups = -(-most // _FAN)
         salted = now.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(max(1, groups))))
-        now = checkpointed(salted.groupBy("host", "salt").applyInPandas(_merge, schema))
+        now = stored(salted.groupBy("host", "salt").applyInPandas(_merge, schema))
         if groups <= 1:
             return now
 
@@ -304,12 +304,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     wrappers = infer_wrappers(own)
     loose = own.select("host", "html").mapInArrow(_slot_texts, "host string, slot long, core long")
     # few slots are on enough pages, so the join reads little
-    counted = checkpointed(loose.groupBy("host", "slot", "core").count().groupBy("host", "slot").agg(F.count("*").alias("n")).where((F.col("n") >= _SAME_PAGES) | (F.col("slot") < 0)))
+    counted = stored(loose.groupBy("host", "slot", "core").count().groupBy("host", "slot").agg(F.count("*").alias("n")).where((F.col("n") >= _SAME_PAGES) | (F.col("slot") < 0)))
     n_pages = counted.where("slot < 0").select("host", (-1 - F.col("slot")).alias("explicit"), F.col("n").alias("pages"))
     same = counted.where("slot >= 0").withColumn("explicit", F.col("slot").bitwiseAND(F.lit(1))).join(n_pages, ["host", "explicit"]).where(F.col("n") >= _SAME_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("slot").alias("same"))
-    known = checkpointed(wrappers.join(same, "host", "left").select("host", F.col("template").alias("wrapper"), F.to_json(F.struct("same")).alias("same")))
+    known = stored(wrappers.join(same, "host", "left").select("host", F.col("template").alias("wrapper"), F.to_json(F.struct("same")).alias("same")))
     # hosts above an even share of the pages, fewer than _PARTS a shuffle partition: a broadcast bounded by the partitions, not the data
-    sizes = checkpointed(own.groupBy("host").agg(F.count("*").alias("pages")))
+    sizes = stored(own.groupBy("host").agg(F.count("*").alias("pages")))
     share = (sizes.agg(F.sum("pages")).first()[0] or 0) / (_PARTS * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot = F.broadcast(sizes.where(F.col("pages") > share).select("host", F.ceil(F.col("pages") / F.lit(max(1.0, share))).cast("int").alias("copies")))
     copies = F.coalesce("copies", F.lit(1))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import stored
 
 BITS = 64
 #: Rows of a batch of probes.
@@ -113,20 +113,20 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | No
     # smallest ids of each code: ranked first, so that a hot code's list stays short
     by_salt = Window.partitionBy("code", "salt").orderBy("id")
     ranked = one_code(codes).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(by_salt))
-    held = checkpointed(ranked.where(F.col("n") <= k + 1).groupBy("code").agg(ids.alias("list")))
+    held = stored(ranked.where(F.col("n") <= k + 1).groupBy("code").agg(ids.alias("list")))
     m = segments or segments_for(held.count())
     index = held.select(F.col("code").alias("found"), F.col("list")[0].alias("first"), F.size("list").alias("ids"), F.explode(_index_keys(m)).alias("key"))
     # merge joins: index and held grow with the data, so neither is ever broadcast
-    asked = checkpointed(one_code(queries))
+    asked = stored(one_code(queries))
     # equal query codes are searched once; k + 1 ids of the nearest codes serve all of them, whichever id is their own
-    active = checkpointed(asked.select("code", F.lit(BITS).alias("far")).distinct())
+    active = stored(asked.select("code", F.lit(BITS).alias("far")).distinct())
     waiting = None
     done = []
     for radius in range(math.ceil(BITS / m) + 1):
         apart = F.expr("bit_count(code ^ found)")
         hits = _probes(active, m, radius).join(index.hint("merge"), "key").where((apart <= F.col("far")) & F.expr(_met_first(m, radius))).withColumn("distance", apart)
         pool = hits.select("code", "found", "distance", "first", "ids")
-        nearest = checkpointed(_nearest(pool if waiting is None else pool.unionByName(waiting), k))
+        nearest = stored(_nearest(pool if waiting is None else pool.unionByName(waiting), k))
         covered = m * (radius + 1) - 1
         if covered >= BITS:
             done.append(nearest)
@@ -136,7 +136,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | No
         waiting = nearest.where(~is_done).select("code", "found", "distance", "first", "ids")
         reach = nearest.select("code", "total", "far").distinct()
         state = active.select("code").join(reach, "code", "left").where(~is_done)
-        active = checkpointed(state.select("code", F.when(F.col("total") > k, F.col("far")).otherwise(BITS).alias("far")))
+        active = stored(state.select("code", F.when(F.col("total") > k, F.col("far")).otherwise(BITS).alias("far")))
         if active.isEmpty():
             break
     found = done[0].select("code", "found", "distance")

@@ -75,10 +75,8 @@ def top_k_sql(k: int = 10) -> str:
 
 
 def quality_rules_sql() -> str:
-    common, classes = quality_rules.COMMON_WORDS, quality_rules.CLASSES
-    width = max(map(len, common.values()))
-    listed = " ".join(f"when {_text(lang)} then {_list(words)}" for lang, words in common.items())
-    counts = ", ".join(f"len(list_filter(w, lambda x: x = listed[{k + 1}]))" for k in range(width))
+    classes, width = quality_rules.CLASSES, quality_rules.N_COMMON
+    counts = ", ".join(f"case when len(listed) > {k} then len(list_filter(w, lambda x: x = listed[{k + 1}])) else 0 end" for k in range(width))
     without = lambda pattern: f"(length(text) - length(regexp_replace(text, '{pattern}', '', 'g')))"
     mark = r"[!\"''()+,\-./:;=?@\[\\\]^_`{}~0-9]"
     half = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: case when {a}[i] > 0 then {a}[i] * log2(2 * {a}[i] / ({a}[i] + {b}[i])) else 0 end))"
@@ -86,22 +84,27 @@ def quality_rules_sql() -> str:
     mean = lambda name, n: "[" + ", ".join(f"avg({name}[{i + 1}])" for i in range(n)) + "]"
     shares = ", ".join(f"{c} / length(text)" for c in classes)
     return f"""
-    with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text, case when lang in ({", ".join(map(_text, common))}) then lang else '{quality_rules.OTHER}' end as lang,
-      regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+    with large as (select lang from documents where lang is not null group by 1 having count(*) >= greatest({quality_rules.MIN_LANG_DOCS}, {quality_rules.MIN_LANG_SHARE} * (select count(*) from documents))),
+    texts as (select row_number() over () as row, doc_id, coalesce(text, '') as text, lang, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+    vocabulary as (select lang, word, count(*) as n from (select lang, unnest(list_distinct(w)) as word from texts join large using (lang)) group by 1, 2),
+    lists as (select lang, list(word order by n desc, word) as listed from (select * from vocabulary qualify row_number() over (partition by lang order by n desc, word) <= {width}) group by 1),
+    d as (select row, doc_id, text, w, coalesce(l.lang, '{quality_rules.OTHER}') as lang, coalesce(listed, []::varchar[]) as listed from texts t left join lists l on l.lang = t.lang),
     grams as (select row, p, w[p:p + 2] as g from (select row, w, unnest(range(1, len(w) - 1)) as p from d)),
     twice as (select row, p from (select row, p, count(*) over (partition by row, g) as n from grams) where n > 1),
     covered as (select row, count(distinct p + o) as n from twice cross join (select unnest([0, 1, 2]) as o) group by 1),
     base as (select d.row, doc_id, text, lang, w, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, {without(quality_rules.SYMBOLS)}::bigint as n_symbol,
-      {without(r"\p{Lu}")} as n_upper, {without(mark)} as n_mark, coalesce(n, 0)::bigint as n_repeat_words, case lang {listed} else []::varchar[] end as listed,
+      {without(r"\p{Lu}")} as n_upper, {without(mark)} as n_mark, coalesce(n, 0)::bigint as n_repeat_words, listed,
       list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines from d left join covered using (row)),
     counted as (select *, word_chars - n_symbol - n_upper - n_mark as n_lower, length(text) - word_chars as n_space, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
       [{counts}] as common, n_words < {quality_rules.MIN_WORDS} or 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words as base_failed from base),
     shares as (select *, case when n_words >= {quality_rules.MIN_CHAR_WORDS} then [{shares}] end as p,
       case when n_words >= {quality_rules.MIN_COMMON_WORDS} and lang <> '{quality_rules.OTHER}' then list_transform(list_append(common, n_words - list_sum(common)), lambda x: x / n_words) end as q from counted),
     means as (select lang, {mean("p", len(classes))} as rp, {mean("q", width + 1)} as rq from shares where not base_failed group by 1),
-    judged as (select s.*, case when p is not null then {js("p", "rp")} end as dp, case when q is not null then {js("q", "rq")} end as dq from shares s left join means using (lang))
+    judged as (select s.*, case when p is not null then {js("p", "rp")} end as dp, case when q is not null then {js("q", "rq")} end as dq from shares s left join means using (lang)),
+    quartiles as (select lang, quantile_cont(floor(dq * {quality_rules.BINS})::int + 1, [0.25, 0.75]) as z from judged where not base_failed and q is not null group by 1),
+    limits as (select lang, greatest({quality_rules.LEAST_WORD_LIMIT}, (z[2] + 3 * (z[2] - z[1])) / {quality_rules.BINS}) as word_limit from quartiles)
     select doc_id, n_words, word_chars, n_symbol as n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and coalesce(dp, 0) <= {quality_rules.MAX_CHAR_DISTANCE} and coalesce(dq, 0) <= {quality_rules.MAX_WORD_DISTANCE} as kept from judged"""
+    not base_failed and coalesce(dp, 0) <= {quality_rules.MAX_CHAR_DISTANCE} and coalesce(dq <= word_limit, true) as kept from judged left join limits using (lang)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, stored
+from ._common import stored, stored
 
 #: Title -> gender and script; given names by gender and script; parts that family names are built from.
 TITLES = {
@@ -140,7 +140,7 @@ def _render() -> Column:
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities(kind, canon), distinct -> (kind, canon, surrogate), surrogates distinct within a kind and no entity of it."""
-    drawn = checkpointed(_drawn(entities.withColumn("attempt", F.lit(0)), key))
+    drawn = stored(_drawn(entities.withColumn("attempt", F.lit(0)), key))
     real = entities.select(F.col("kind").alias("r_kind"), F.col("canon").alias("r_canon")).distinct()
     for _ in range(MAX_ATTEMPTS):
         # the smallest canonical form keeps a shared surrogate; one that is a real entity is never kept
@@ -154,7 +154,7 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
         if not judged.where("bad").limit(1).count():
             return drawn.select("kind", "canon", "surrogate")
         again = _drawn(judged.where("bad").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key)
-        drawn = checkpointed(judged.where("not bad").drop("bad").unionByName(again))
+        drawn = stored(judged.where("not bad").drop("bad").unionByName(again))
     raise RuntimeError(f"surrogates are not distinct after {MAX_ATTEMPTS} draws")
 
 
@@ -180,7 +180,7 @@ def pseudonymize(docs: DataFrame, key: str = "surrogates", text_col: str = "text
     found = marked.select("__k1", "__k2", F.posexplode(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))).alias("at", "raw"))
     hits = stored(found.dropDuplicates(["__k1", "__k2", "at"]).withColumn("kind", _type_of(F.col("raw"))))
     forms = hits.select("kind", "raw").distinct().withColumn("canon", _canonical(F.col("kind"), F.col("raw")))
-    surrogates = assign_surrogates(checkpointed(forms.select("kind", "canon").distinct()), key)
+    surrogates = assign_surrogates(stored(forms.select("kind", "canon").distinct()), key)
     shown = forms.join(surrogates, ["kind", "canon"]).select("raw", _render().alias("shown"))
     salted = shown.select("raw", "shown", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))).alias("salt"))
     placed = hits.withColumn("salt", F.pmod("__k2", F.lit(_SALT)).cast("int")).join(salted, ["raw", "salt"])

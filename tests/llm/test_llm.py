@@ -146,18 +146,6 @@ def test_mix(docs):
         own = [r for r in got if r.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 1 + min(r.size for r in own if r.size)
     assert all(0 <= r.copies <= 3 and r.taken == r.size * r.copies for r in got)
-    assert mixing.water_fill([10, 10, 100], [5, 2, 1]) == pytest.approx([30, 30, 60])
-
-
-def test_fit_budget_is_close():
-    r = np.random.RandomState(3)
-    for _ in range(30):
-        lengths = np.unique(r.randint(1, 400, 12))
-        counts = r.randint(1, 9, len(lengths))
-        budget = int(r.randint(0, (lengths * counts).sum() + 1))
-        take = mixing.fit_budget(lengths, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all()
-        assert 0 <= budget - (lengths * take).sum() <= 2 * lengths.min()
 
 
 def test_pii(spark):
@@ -243,20 +231,6 @@ def test_top_k_edges(spark):
     assert multi_index.search(few.limit(0), few, k=10).count() == 0 and multi_index.search(few, few.limit(0), k=10).count() == 0
 
 
-def test_word_limits_by_spread(spark):
-    r = random.Random(4)
-    prose = lambda lang: " ".join(r.choice(quality_rules.COMMON_WORDS[lang]) if r.random() < 0.4 else f"w{r.randint(0, 10**6)}" for _ in range(400))
-    rows = [(i, prose(lang), lang) for i, lang in enumerate(["en"] * 40 + ["de"] * 40)]
-    rows += [(100, " ".join(f"w{i}" for i in range(500)), "en"), (101, prose("de"), "en"), (102, "Kelp and moss.", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {g.doc_id: g.kept for g in quality_rules.judge(docs, by_spread=True).collect()}
-    assert len(got) == len(rows) and [i for i, kept in got.items() if not kept] == [100, 101, 102]
-    assert {g.doc_id for g in quality_rules.judge(docs).where("kept").collect()} >= {100, 101}  # the fixed limit of the SQL twin
-    import corpus_pipeline
-
-    assert sorted(g.doc_id for g in corpus_pipeline.rules(spark, docs.selectExpr("*", "'s' as source", "length(text) as n_chars"), "").collect()) == list(range(80))
-
-
 def test_license_windows(spark):
     import textwrap
 

@@ -11,6 +11,10 @@ from . import bpe, bradley_terry, html_extract, license_scan, mixing, multi_inde
 from ._common import read_table
 
 
+#: Key of the surrogates on the synthetic tables; give an own, secret one for real data.
+SURROGATE_KEY = "key-of-the-synthetic-tables"
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -47,7 +51,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs).select("doc_id", "text", "n_entities")
+    return pii.pseudonymize(docs, key=SURROGATE_KEY).select("doc_id", "text", "n_entities")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

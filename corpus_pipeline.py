@@ -11,43 +11,56 @@ from pyspark.sql import functions as F
 
 from sylvaframe.llm import bpe, mixing, pii, quality_rules, simhash
 from sylvaframe.llm._common import read_table, stored
-from sylvaframe.llm.queries import tokenizer_path
+from sylvaframe.llm.queries import SURROGATE_KEY, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the divergence rules, with the word limit by each language's spread."""
-    verdict = quality_rules.judge(docs, by_spread=True).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(verdict, docs.doc_id.eqNullSafe(verdict.k_id), "left_semi").select(*COLUMNS)
+    """Rows that pass the base rules and the divergence rules.
+
+    Each row is judged by its own text and language, whatever its doc_id is: null and repeated ids and repeated rows are rows like any
+    other. Null and short texts fail. An empty table gives an empty result; columns beside COLUMNS are dropped.
+    """
+    return quality_rules.judge(docs.select(*COLUMNS), with_row=True).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of repeated rows one."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(keep, docs.doc_id == keep.k_id, "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of linked fingerprints: that with the smallest doc_id, null last, and of those the one whose row hashes lowest.
+
+    Null texts are empty and one group. Rows without doc_id stay where their group has no other. An empty table gives an empty
+    result; columns beside COLUMNS are dropped.
+    """
+    return simhash.representatives(docs.select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities replaced by surrogates; n_chars follows the text."""
-    return pii.pseudonymize(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Entities replaced by surrogates; n_chars follows the text.
+
+    Rows are replaced by their text alone, so null and repeated ids and repeated rows need no care; null texts stay null, with n_chars
+    null. An empty table gives an empty result; columns beside COLUMNS are dropped.
+    """
+    return pii.pseudonymize(docs.select(*COLUMNS), key=SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("k_id"), "copies")
-    repeated = docs.join(taken, docs.doc_id == taken.k_id).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*COLUMNS)
+    """Each row as often as the mix takes it.
+
+    Copies are decided for rows, so null and repeated ids and repeated rows are rows of their own; texts without a word are never taken. An
+    empty table gives an empty result; columns beside COLUMNS are dropped.
+    """
+    taken = mixing.mix(docs.select(*COLUMNS), with_row=True).where("copies > 0")
+    return taken.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each row: (doc_id, n_tokens, ids_sha256, decoded_sha256, ids); null texts have none, an empty table gives an empty result."""
     return bpe.encode_documents(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [("rules", rules), ("near_duplicates", near_duplicates), ("private", private), ("mix", mix), ("tokens", tokens)]
 
-#: Tokens and hash draws are beyond SQL; the stages are tested against brute-force versions.
+#: Tokens and hash draws are beyond SQL; tests/llm holds run() and each stage against brute-force versions.
 ORACLE_SQL = None
 
 

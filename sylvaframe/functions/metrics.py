@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bins of distinct scores.
+_BINS = 256
 AVERAGES = ("micro", "macro", "weighted", None)
 
 
@@ -98,12 +100,19 @@ def agreement(table: DataFrame) -> DataFrame:
     return sums.select(kappa.alias("cohen_kappa"), mcc.alias("matthews"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve of a binary label: Mann-Whitney with ties counted half, over the distinct scores."""
-    from pyspark.sql import Window
-
-    y = F.col(label).cast("long")
-    by_score = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by_score.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2.0)).alias("won"))
-    return won.agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+def roc_auc(df: DataFrame, label: str, score: str, by: str | None = None) -> DataFrame:
+    """Area under the ROC curve of a binary label, of each group by if given: Mann-Whitney with ties counted half, over the distinct scores.
+
+    Distinct scores are cut at their quantiles into bins, in which they are ordered, so no group is ordered in one task. NULL where one class is absent.
+    """
+    y, g = F.col(label).cast("long"), F.col(by) if by else F.lit(1)
+    by_score = df.groupBy(g.alias("g"), F.col(score).cast("double").alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    cuts = by_score.agg(F.percentile_approx("score", [i / _BINS for i in range(1, _BINS)], 10_000).alias("cuts"))  # one row
+    binned = by_score.crossJoin(cuts).select("g", "score", "pos", "neg", F.size(F.filter("cuts", lambda c: c < F.col("score"))).alias("bin"))
+    starts = binned.groupBy("g", "bin").agg(F.sum("neg").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = binned.join(starts.select(F.col("g").alias("s_g"), F.col("bin").alias("s_bin"), before.alias("start")), F.expr("g <=> s_g and bin = s_bin"))
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("g", "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = placed.select("g", "pos", "neg", (F.col("pos") * (F.col("start") + inside + F.col("neg") / 2.0)).alias("won"))
+    auc = F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc")
+    return won.groupBy(F.col("g").alias(by)).agg(auc) if by else won.agg(auc)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,9 @@ def strong_runtime(serial: Column, nodes: Column, overhead: float = 0.25) -> Col
 
 def weak_runtime(serial: Column, nodes: Column, overhead: float = 0.01) -> Column:
     return serial * (1 + F.lit(overhead) * nodes)
+
+
+def mapped(value: Column, names: Mapping[str, str], other: str | None = None) -> Column:
+    """A value by a dictionary; other for values that are not in it."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, value), F.lit(other))

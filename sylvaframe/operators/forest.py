@@ -6,19 +6,21 @@ Global voting and a shared model are one relational plan over the same table, lo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..sources.shared import stored
 from .weights import rank_seeds, tree_counts
 
 TREE_SCHEMA = "rank int, tree_id int, node_id int, feature int, threshold double, left int, right int, votes array<double>"
-#: Nodes of a model up to which it is sent to the workers.
-MAX_MODEL_NODES = 5_000_000
+#: Nodes of a part of the model that is sent to the workers at once; larger models vote part by part.
+PART_NODES = 1_000_000
 
 
 def grow_tree(x: np.ndarray, y: np.ndarray, n_classes: int, rng: np.random.RandomState, bootstrap: bool = True) -> list[tuple]:
@@ -60,51 +62,61 @@ def grow_tree(x: np.ndarray, y: np.ndarray, n_classes: int, rng: np.random.Rando
     return [tuple(n) for n in nodes]
 
 
-def train(df: DataFrame, n_classes: int, n_trees: int, n_ranks: int = 1, seed: int | None = 0, replicated: bool = True, features: str = "features", label: str = "label", rank: str = "rank", chunks: int = 4) -> DataFrame:
+def train(df: DataFrame, n_classes: int, n_trees: int, n_ranks: int = 1, seed: int | None = 0, replicated: bool = True, features: str = "features", label: str = "label", rank: str = "rank", add_rank: bool = False) -> DataFrame:
     """Tree table of n_trees over n_ranks. replicated: every rank sees all rows; otherwise only its own.
 
-    A rank's rows are one group: sub-forests are local by definition. Its trees are grown in `chunks` tasks.
+    A rank's rows are one group, sent once: sub-forests are local by definition, so a rank must fit in a worker, and more data takes more
+    ranks. Rows are ordered by all their values before trees are grown, so the result does not depend on the order of arrival.
     """
-    counts, seeds = tree_counts(n_trees, n_ranks), rank_seeds(seed, n_ranks)
+    counts, seeds = tree_counts(n_trees, n_ranks), rank_seeds(seed, n_ranks, add_rank)
     offsets = np.concatenate([[0], np.cumsum(counts)]).tolist()
     ranks = F.explode(F.sequence(F.lit(0), F.lit(n_ranks - 1))) if replicated else F.col(rank)
     rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"), ranks.alias("rank"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
-        r, chunk = int(part["rank"].iloc[0]), int(part["chunk"].iloc[0])
+        r = int(part["rank"].iloc[0])
         x, y = np.stack(part["x"].to_numpy()), part["y"].to_numpy()
-        order = np.lexsort([*x.T[:4], y])  # the result must not depend on the order of arrival
+        order = np.lexsort([*x.T, y])  # rows that are equal in all of these are interchangeable
         x, y = x[order], y[order]
         out = []
-        for t in range(chunk, counts[r], chunks):
+        for t in range(counts[r]):
             rng = np.random.RandomState(None if seeds[r] is None else (seeds[r] + 7919 * t) % 2**32)
             out += [(r, offsets[r] + t, *n) for n in grow_tree(x, y, n_classes, rng)]
         return pd.DataFrame(out, columns=["rank", "tree_id", "node_id", "feature", "threshold", "left", "right", "votes"])
 
-    return rows.groupBy("rank", "chunk").applyInPandas(grow, TREE_SCHEMA)
+    return rows.groupBy("rank").applyInPandas(grow, TREE_SCHEMA)
 
 
-def vote(df: DataFrame, trees: DataFrame, n_classes: int, features: str = "features", by_rank: bool = False, voting: str = "rounded") -> DataFrame:
-    """df with votes array (by_rank: one array of arrays per rank), dense over the classes.
+def shared_model(trees: DataFrame) -> DataFrame:
+    """The trees of all ranks in the order of a shared model: the first tree of each rank, the second of each, and so on."""
+    nth = F.dense_rank().over(Window.partitionBy("rank").orderBy("tree_id"))
+    return trees.withColumn("local_tree", nth - 1).orderBy("local_tree", "rank", "node_id")
 
-    rounded: per-rank sums of leaf shares, rounded half to even; soft: not rounded; hard: one vote per tree.
-    """
-    if voting not in ("rounded", "soft", "hard"):
-        raise ValueError(voting)
-    if trees.count() > MAX_MODEL_NODES:
-        raise ValueError("the model is too large to send; vote by parts of the tree table and add the votes")
-    model = trees.orderBy("tree_id", "node_id").toPandas()
+
+def _parts(trees: DataFrame) -> Iterator[DataFrame]:
+    """The model in runs of whole trees of about PART_NODES nodes; one row a tree reaches the driver."""
+    sizes = trees.groupBy("tree_id").agg(F.count("*").alias("n")).orderBy("tree_id").collect()
+    first, size = None, 0
+    for i, r in enumerate(sizes):
+        first = r.tree_id if first is None else first
+        size += r.n
+        if i + 1 == len(sizes) or size + sizes[i + 1].n > PART_NODES:
+            yield trees.where(F.col("tree_id").between(first, r.tree_id))
+            first, size = None, 0
+
+
+def _add_votes(df: DataFrame, part: DataFrame, n_ranks: int, n_classes: int, features: str, hard: bool) -> DataFrame:
+    """df(row, sums): the votes of one part of the model added to sums, ranks times classes."""
+    model = part.orderBy("tree_id", "node_id").toPandas()
     forest = [(int(g["rank"].iloc[0]), *(g[c].to_numpy() for c in ("feature", "threshold", "left", "right")), np.stack(g["votes"].to_numpy())) for _, g in model.groupby("tree_id")]
-    n_ranks = max([f[0] for f in forest], default=-1) + 1
     sent = df.sparkSession.sparkContext.broadcast(forest)
 
-    def run(parts):
-        for part in parts:
-            if not len(part):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(part[features].to_numpy()).astype(float)
-            sums = np.zeros((n_ranks, len(x), n_classes))
+            x = np.array(batch.column(1).to_pylist(), float)
+            sums = np.array(batch.column(2).to_pylist(), float).reshape(len(x), n_ranks, n_classes)
             for r, feature, threshold, left, right, share in sent.value:
                 at = np.zeros(len(x), int)
                 while (inner := left[at] >= 0).any():
@@ -112,14 +124,31 @@ def vote(df: DataFrame, trees: DataFrame, n_classes: int, features: str = "featu
                     down = x[i, feature[at[i]]] <= threshold[at[i]]
                     at[i] = np.where(down, left[at[i]], right[at[i]])
                 leaf = share[at]
-                sums[r] += np.eye(n_classes)[leaf.argmax(axis=1)] if voting == "hard" else leaf
-            votes = np.rint(sums) if voting == "rounded" else sums
-            values = votes.transpose(1, 0, 2) if by_rank else votes.sum(axis=0)
-            yield part.assign(votes=[v.tolist() for v in values])
+                sums[:, r] += np.eye(n_classes)[leaf.argmax(axis=1)] if hard else leaf
+            votes = pa.array(sums.reshape(len(x), -1).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), votes], names=["row", "x", "sums"])
+
+    return df.mapInArrow(run, df.schema)
 
-    kind = "array<array<double>>" if by_rank else "array<double>"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, votes {kind}")
+
+def vote(df: DataFrame, trees: DataFrame, n_classes: int, features: str = "features", by_rank: bool = False, voting: str = "rounded") -> DataFrame:
+    """df with votes array (by_rank: one array of arrays per rank), dense over the classes.
+
+    rounded: per-rank sums of leaf shares, rounded half to even; soft: not rounded; hard: one vote per tree. The model is sent in parts, whose
+    votes add up, so it may have any number of trees.
+    """
+    if voting not in ("rounded", "soft", "hard"):
+        raise ValueError(voting)
+    n_ranks = (trees.agg(F.max("rank")).first()[0] or 0) + 1
+    columns = [c for c in df.columns if c != "votes"]
+    zeros = F.array_repeat(F.lit(0.0), n_ranks * n_classes)
+    voted = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(features).cast("array<double>").alias("x"), zeros.alias("sums"))
+    for i, part in enumerate(_parts(trees)):
+        voted = _add_votes(stored(voted) if i else voted, part, n_ranks, n_classes, features, voting == "hard")
+    value = (lambda x: F.rint(x)) if voting == "rounded" else (lambda x: x)
+    ranks = F.array(*[F.transform(F.slice("sums", r * n_classes + 1, n_classes), value) for r in range(n_ranks)])
+    total = F.expr(f"transform(sequence(0, {n_classes - 1}), c -> aggregate(v, 0D, (a, x) -> a + x[c]))")
+    return voted.withColumn("v", ranks).select(*[F.col(f"row.`{c}`") for c in columns], (F.col("v") if by_rank else total).alias("votes"))
 
 
 def first_argmax(votes: Column) -> Column:
@@ -135,18 +164,31 @@ def score(df: DataFrame, trees: DataFrame, n_classes: int, label: str = "label")
     return predict(df, trees, n_classes).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
 
 
-def evaluate(df: DataFrame, trees: DataFrame, n_classes: int, label: str = "label", features: str = "features") -> dict:
-    """acc_global, acc_local (per rank, on the rows of df), auc for two classes, and the global confusion table."""
-    voted = vote(df, trees, n_classes, features, by_rank=True)
+def evaluate(df: DataFrame, trees: DataFrame, n_classes: int, label: str = "label", features: str = "features", private: bool = False, shared_model: bool = True) -> dict[str, DataFrame]:
+    """Tables of an evaluation: scores(rank, n, acc_local, acc_global_local, acc_global[, auc_local, auc_global]) and confusion(scope, rank, label, prediction, cnt).
+
+    private: df has a column rank and each rank is judged on its own rows; otherwise every rank on all rows. acc_local judges a rank's own trees,
+    acc_global_local all trees on the rank's rows (NULL without a shared model), acc_global all trees on all rows. auc_ columns for two
+    classes only; NULL where a rank's rows are of one class. A rank without rows has no row in scores.
+    """
+    if private and not shared_model:
+        raise ValueError("a private test set needs a shared model")
+    voted = vote(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([label, features, *["rank"] * private])]), trees, n_classes, features, by_rank=True)
     total = F.expr(f"transform(sequence(0, {n_classes - 1}), c -> aggregate(votes, 0D, (a, v) -> a + v[c]))")
-    judged = voted.withColumn("total", total).withColumn("prediction", first_argmax(F.col("total"))).cache()
-    table = metrics.confusion(judged, label, "prediction")
-    local = judged.select(label, F.posexplode("votes").alias("rank", "v")).groupBy("rank").agg(F.avg((first_argmax(F.col("v")) == F.col(label)).cast("double")).alias("accuracy"))
-    out = {"confusion": table.orderBy("label", "prediction").collect(), "acc_global": metrics.accuracy(table).first()[0], "acc_local": {r["rank"]: r["accuracy"] for r in local.collect()}}
+    ranks = F.expr("array(struct(rank as r, get(votes, rank) as v))") if private else F.expr("transform(votes, (v, i) -> struct(i as r, v as v))")
+    cut = voted.select(F.col(f"`{label}`").cast("int").alias("label"), total.alias("total"), ranks.alias("own"))
+    judged = stored(cut.withColumn("prediction", first_argmax(F.col("total"))))
+    local = judged.select("label", "prediction", "total", F.explode("own").alias("o")).select("label", "prediction", "total", F.col("o.r").cast("int").alias("rank"), F.col("o.v").alias("v")).where("v is not null")
+    local = local.withColumn("local", first_argmax(F.col("v")))
+    right = lambda c: F.avg((F.col(c) == F.col("label")).cast("double"))
+    scores = local.groupBy("rank").agg(F.count("*").alias("n"), right("local").alias("acc_local"), (right("prediction") if shared_model else F.lit(None).cast("double")).alias("acc_global_local"))
+    scores = scores.crossJoin(judged.agg(right("prediction").alias("acc_global")))  # one row
     if n_classes == 2:
-        out["auc"] = metrics.roc_auc(judged.withColumn("s", F.col("total")[1]), label, "s").first()[0]
-    judged.unpersist()
-    return out
+        by_rank = metrics.roc_auc(local.withColumn("s", F.col("v")[1]), "label", "s", "rank").withColumnsRenamed({"rank": "a_rank", "auc": "auc_local"})
+        scores = scores.join(by_rank, F.col("rank") == F.col("a_rank"), "left").drop("a_rank").crossJoin(metrics.roc_auc(judged.withColumn("s", F.col("total")[1]), "label", "s").withColumnRenamed("auc", "auc_global"))
+    cells = local.groupBy("rank", "label", F.col("local").alias("prediction")).agg(F.count("*").alias("cnt")).select(F.lit("local").alias("scope"), "rank", "label", "prediction", "cnt")
+    whole = metrics.confusion(judged, "label", "prediction").select(F.lit("global").alias("scope"), F.lit(None).cast("int").alias("rank"), "label", "prediction", "cnt")
+    return {"scores": stored(scores), "confusion": stored(cells.unionByName(whole))}
 
 
 def save(trees: DataFrame, path: str, run_uid: str) -> None:

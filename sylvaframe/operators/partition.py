@@ -1,20 +1,20 @@
 """Splitting and partitioning labelled tables over logical ranks.
 
-The shuffle order is md5(seed:key), so it is the same on every engine and cluster. Positions in it are counted in 256 hash ranges per class, so a
-class that holds most rows is never ordered in one task.
+The shuffle order is md5(seed:key), so it is the same on every engine and cluster. Positions in it are counted in 4096 hash ranges per class, so a
+class that holds most rows is never ordered in one task. Classes are compared null-safe: NULL is a class like any other. Counts stay
+in tables that are joined; only the caller's own weights come from the driver.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .weights import constant_size_weights, largest_remainder, skellam_rank_weights
+from .weights import constant_size_weights, skellam_rank_weights
 
-#: Rows of a driver-made table of shares up to which it is broadcast.
+#: Rows of a driver-made table of weights up to which it is broadcast.
 MAX_BROADCAST_ROWS = 10_000
 
 
@@ -22,90 +22,179 @@ def shuffle_key(key: str | Column, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
+def _placed(df: DataFrame, key: str, seed: int | str, by: str | None) -> DataFrame:
+    """(row, class, pos, n): each row as a struct, its group, its 0-based place in the group's shuffled order and the group's size."""
+    group = F.col(f"`{by}`") if by else F.lit(1)
+    hashed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), group.alias("class"), shuffle_key(F.col(f"`{key}`"), seed).alias("hash"), F.col(f"`{key}`").alias("key"))
+    hashed = hashed.withColumn("range", F.substring("hash", 1, 3))
+    counts = hashed.groupBy("class", "range").agg(F.count("*").alias("k"))
+    of_class = Window.partitionBy("class")
+    before = F.coalesce(F.sum("k").over(of_class.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("class").alias("s_class"), F.col("range").alias("s_range"), before.alias("start"), F.sum("k").over(of_class).alias("n"))
+    joined = hashed.join(starts, F.col("class").eqNullSafe(F.col("s_class")) & (F.col("range") == F.col("s_range")))
+    nth = F.row_number().over(Window.partitionBy("class", "range").orderBy("hash", "key"))
+    return joined.select("row", "class", (F.col("start") + nth - 1).cast("long").alias("pos"), "n")
+
+
+def _flat(df: DataFrame, columns: Sequence[str], name: str, value: Column) -> DataFrame:
+    """The columns of the rows, and value as name in place of one of that name."""
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c != name], value.alias(name))
+
+
 def with_position(df: DataFrame, key: str, seed: int | str, by: str | None = None, name: str = "pos") -> DataFrame:
     """Adds the 0-based position of each row in the shuffled order, within by if given."""
-    by_col = F.col(by) if by else F.lit(1)
-    hashed = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__by", by_col).withColumn("__r", F.substring("__h", 1, 2))
-    counts = hashed.groupBy("__by", "__r").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__by").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("__by").alias("__b"), F.col("__r").alias("__q"), before.alias("__start"))
-    joined = hashed.join(starts, F.col("__by").eqNullSafe(F.col("__b")) & (F.col("__r") == F.col("__q")))
-    nth = F.row_number().over(Window.partitionBy("__by", "__r").orderBy("__h", key))
-    return joined.withColumn(name, (F.col("__start") + nth - 1).cast("long")).drop("__h", "__by", "__r", "__b", "__q", "__start")
-
-
-def shares(df: DataFrame, label: str, weights: Sequence[Sequence[float]] | None, n_ranks: int, classes: Sequence | None = None) -> list[tuple]:
-    """(class, rank, lo, hi, cnt): how many of each class every rank gets, by largest remainder; weights is ranks x classes."""
-    counts = {r["class"]: r["cnt"] for r in df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("cnt")).collect()}
-    out = []
-    for i, c in enumerate(classes if classes is not None else sorted(counts)):
-        at = 0
-        for rank, n in enumerate(largest_remainder(counts.get(c, 0), [w[i] for w in weights] if weights is not None else [1.0] * n_ranks)):
-            out.append((c, rank, at, at + n, n))
-            at += n
-    return out
+    return _flat(_placed(df, key, seed, by), df.columns, name, F.col("pos"))
+
+
+def _class_table(df: DataFrame, label: str, classes: Sequence, rows: list[tuple], fields: str) -> DataFrame:
+    """A table of the caller's weights by class; raises if df has rows of a class that is not in classes."""
+    kind = df.schema[label].dataType.simpleString()
+    spark = df.sparkSession
+    known = spark.createDataFrame([(c,) for c in classes], f"k {kind}")
+    other = df.select(F.col(f"`{label}`").alias("class")).distinct().join(known, F.col("class").eqNullSafe(F.col("k")), "left_anti").limit(3).collect()
+    if other:
+        raise RuntimeError(f"rows of classes that have no weights would stay unassigned, such as {[r[0] for r in other]}")
+    table = spark.createDataFrame(rows, f"w_class {kind}, {fields}")
+    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_ROWS else table
+
+
+def _classes_of(df: DataFrame, label: str, n: int) -> list:
+    """The classes of df in order, NULL last, for weights that name none; there are as many as weights."""
+    found = [r[0] for r in df.select(f"`{label}`").distinct().limit(n + 1).collect()]
+    if len(found) != n:
+        raise RuntimeError(f"weights are for {n} classes; name the classes that they stand for")
+    return sorted((c for c in found if c is not None)) + [None] * (None in found)
+
+
+def partition_class_wise(df: DataFrame, label: str, key: str, n_ranks: int, partitioner: Callable[[Column, Column, Column], Column], seed: int | str = 0) -> DataFrame:
+    """Adds rank by a strategy: partitioner(class, pos, n) is the rank of the row at place pos of n in its class's shuffled order.
+
+    A row that it gives no rank of 0 to n_ranks - 1 raises.
+    """
+    rank = partitioner(F.col("class"), F.col("pos"), F.col("n")).cast("int")
+    placed = _placed(df, key, seed, label).withColumn("rank", rank)
+    if not placed.where(F.col("rank").isNull() | ~F.col("rank").between(0, n_ranks - 1)).isEmpty():
+        raise RuntimeError("the partitioner leaves rows without a rank")
+    return _flat(placed, df.columns, "rank", F.col("rank"))
+
+
+def even_rank(pos: Column, n: Column, n_ranks: int) -> Column:
+    """Rank of a place among n in equal shares; the units left over go to the last ranks."""
+    base = F.floor(n / F.lit(n_ranks))
+    more = n - base * n_ranks
+    cut = (n_ranks - more) * base
+    return F.when(pos < cut, F.floor(pos / base)).otherwise(n_ranks - more + F.floor((pos - cut) / (base + 1))).cast("int")
+
+
+def shares(df: DataFrame, label: str, weights: Sequence[Sequence[float]], classes: Sequence) -> DataFrame:
+    """(w_class, w_rank, lo, hi): the places of each class that each rank gets, by largest remainder; weights is ranks x classes.
+
+    Of equal remainders the higher ranks are served first. A class with rows but without a positive weight raises.
+    """
+    if bad := [c for i, c in enumerate(classes) if sum(w[i] for w in weights) <= 0]:
+        if not df.where(F.coalesce(F.col(f"`{label}`").isin(*[c for c in bad if c is not None]), F.lit(None in bad))).isEmpty():
+            raise ValueError("a class has no rank with a positive weight")
+    rows = [(c, r, float(w[i])) for r, w in enumerate(weights) for i, c in enumerate(classes) if c not in bad]
+    table = _class_table(df, label, classes, rows, "w_rank int, w double")
+    counts = df.groupBy(F.col(f"`{label}`").alias("class")).agg(F.count("*").alias("n"))
+    of_class = Window.partitionBy("w_class")
+    exact = F.col("w") / F.sum("w").over(of_class) * F.col("n")
+    based = counts.join(table, F.col("class").eqNullSafe(F.col("w_class"))).withColumn("exact", exact).withColumn("base", F.floor("exact"))
+    nth = F.row_number().over(of_class.orderBy(F.round(F.col("exact") - F.col("base"), 9).desc(), F.col("w_rank").desc()))
+    cnt = F.col("base") + (nth <= F.col("n") - F.sum("base").over(of_class)).cast("long")
+    hi = F.sum("cnt").over(of_class.orderBy("w_rank").rowsBetween(Window.unboundedPreceding, 0))
+    return based.withColumn("cnt", cnt).withColumn("hi", hi).select("w_class", "w_rank", (F.col("hi") - F.col("cnt")).alias("lo"), "hi")
 
 
 def assign_ranks(df: DataFrame, label: str, key: str, n_ranks: int, weights: Sequence[Sequence[float]] | None = None, seed: int | str = 0, classes: Sequence | None = None) -> DataFrame:
-    """Adds rank: exact counts per class and rank (uniform without weights), members by shuffled position."""
-    rows = shares(df, label, weights, n_ranks, classes)
-    spans = df.sparkSession.createDataFrame(rows, f"__c {df.schema[label].dataType.simpleString()}, __rank int, __lo long, __hi long, __cnt long")
-    spans = F.broadcast(spans) if len(rows) <= MAX_BROADCAST_ROWS else spans
-    placed = with_position(df, key, seed, label, "__pos").join(spans, (F.col(label) == F.col("__c")) & (F.col("__pos") >= F.col("__lo")) & (F.col("__pos") < F.col("__hi")))
-    return placed.select(*[c for c in df.columns if c != "rank"], F.col("__rank").alias("rank"))
+    """Adds rank: exact counts per class and rank (uniform without weights), members by shuffled position.
+
+    With weights every class of df must be among classes (default: the classes of df in order, NULL last), else RuntimeError.
+    """
+    placed = _placed(df, key, seed, label)
+    if weights is None:
+        return _flat(placed, df.columns, "rank", even_rank(F.col("pos"), F.col("n"), n_ranks))
+    classes = list(classes) if classes is not None else _classes_of(df, label, len(weights[0]))
+    spans = shares(df, label, weights, classes)
+    spans = F.broadcast(spans) if n_ranks * len(classes) <= MAX_BROADCAST_ROWS else spans
+    inside = F.col("class").eqNullSafe(F.col("w_class")) & (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))
+    return _flat(placed.join(spans, inside), df.columns, "rank", F.col("w_rank"))
 
 
 def balanced_partition(df: DataFrame, label: str, key: str, n_ranks: int, seed: int | str = 0) -> DataFrame:
     return assign_ranks(df, label, key, n_ranks, None, seed)
 
 
-def skellam_partition(df: DataFrame, label: str, key: str, n_ranks: int, mu: float | str, constant_size: bool = False, seed: int | str = 0, classes: Sequence | None = None) -> DataFrame:
-    """Ranks whose class weights peak at evenly spaced classes; constant_size makes the ranks equally large."""
-    counts = dict(df.groupBy(label).count().collect())
-    classes = list(classes if classes is not None else sorted(counts))
+def skellam_weights(df: DataFrame, label: str, n_ranks: int, mu: float | str, constant_size: bool, classes: Sequence) -> list[list[float]]:
+    """ranks x classes weights; constant_size fits them to equal rank sizes by the counts of the classes."""
     weights = skellam_rank_weights(n_ranks, len(classes), mu)
-    if constant_size:
+    if constant_size:  # one count a class of the driver's own matrix
+        listed = [c for c in classes if c is not None]
+        own = F.col(f"`{label}`").isin(*listed) if listed else F.lit(False)
+        counts = dict(df.where(own | F.col(f"`{label}`").isNull()).groupBy(f"`{label}`").count().collect())
         weights = constant_size_weights(weights, [counts.get(c, 0) for c in classes])
-    return assign_ranks(df, label, key, n_ranks, weights.tolist(), seed, classes)
+    return weights.tolist()
+
+
+def skellam_partition(df: DataFrame, label: str, key: str, n_ranks: int, mu: float | str, constant_size: bool = False, seed: int | str = 0, classes: Sequence | None = None) -> DataFrame:
+    """Ranks whose class weights peak at evenly spaced classes; constant_size makes the ranks equally large."""
+    if classes is None:
+        classes = _classes_of(df, label, df.select(f"`{label}`").distinct().count())
+    classes = list(classes)
+    return assign_ranks(df, label, key, n_ranks, skellam_weights(df, label, n_ranks, mu, constant_size, classes), seed, classes)
 
 
 def uniform_draw(key: str, seed: int | str) -> Column:
     """A number in [0, 1) from the first 8 hex digits of the shuffle key."""
-    return F.conv(F.substring(shuffle_key(key, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return F.conv(F.substring(shuffle_key(F.col(f"`{key}`"), seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def sampled_partition(df: DataFrame, label: str, key: str, n_ranks: int, weights: Sequence[Sequence[float]] | None = None, seed: int | str = 0, classes: Sequence | None = None) -> DataFrame:
-    """Adds rank drawn independently per row by its class's weights (uniform without weights)."""
+    """Adds rank drawn independently per row by its class's weights (uniform without weights). Rows of a class without weights raise."""
     u = uniform_draw(key, seed)
     if weights is None:
         return df.withColumn("rank", F.least(F.lit(n_ranks - 1), F.floor(u * n_ranks)).cast("int"))
-    rank = F.lit(None).cast("int")
+    classes = list(classes) if classes is not None else _classes_of(df, label, len(weights[0]))
+    rows = []
     for i, c in enumerate(classes):
-        total, at, pick = sum(w[i] for w in weights), 0.0, F.lit(n_ranks - 1)
-        bounds = []
-        for w in weights:
+        total, at, bounds = sum(w[i] for w in weights), 0.0, []
+        if total <= 0:
+            raise ValueError("a class has no rank with a positive weight")
+        for w in weights[:-1]:
             at += w[i] / total
             bounds.append(at)
-        for r in reversed(range(n_ranks - 1)):
-            pick = F.when(u < bounds[r], r).otherwise(pick)
-        rank = F.when(F.col(label) == c, pick).otherwise(rank)
-    return df.withColumn("rank", rank.cast("int"))
+        rows.append((c, bounds))
+    table = _class_table(df, label, classes, rows, "bounds array<double>")
+    drawn = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{label}`").alias("class"), u.alias("u"))
+    joined = drawn.join(table, F.col("class").eqNullSafe(F.col("w_class")))
+    return _flat(joined, df.columns, "rank", F.size(F.filter("bounds", lambda b: b <= F.col("u"))))
+
+
+def local_subset(ranked: DataFrame, rank: int) -> DataFrame:
+    """The rows of one rank."""
+    return ranked.where(F.col("rank") == rank)
+
+
+def indices_by_rank(ranked: DataFrame, key: str) -> DataFrame:
+    """(rank, indices): the sorted keys of each rank as one array, so a rank must fit in memory, as it does where a forest is grown."""
+    return ranked.groupBy("rank").agg(F.sort_array(F.collect_list(f"`{key}`")).alias("indices"))
 
 
 def train_test_split(df: DataFrame, key: str, train: float = 0.75, seed: int | str = 0, stratify: str | None = None, within: str | None = None) -> DataFrame:
-    """Adds split: ceil((1 - train) n) rows are test, exactly; stratify shares them over classes by largest remainder, within splits each group."""
-    if stratify is None:
-        counts = df.groupBy(*([within] if within else [])).agg(F.count("*").alias("__n"))
-        counted = df.join(counts, within) if within else df.crossJoin(counts)  # one row
-        n_test = F.ceil(F.round(F.col("__n") * (1 - train), 9))
-        return with_position(counted, key, seed, within, "__pos").withColumn("split", F.when(F.col("__pos") < n_test, "test").otherwise("train")).select(*df.columns, "split")
-    counts = sorted((r[0], r[1]) for r in df.groupBy(stratify).count().collect())
-    total = sum(n for _, n in counts)
-    tests = dict(zip([c for c, _ in counts], largest_remainder(math.ceil(round(total * (1 - train), 9)), [n for _, n in counts]), strict=True))
-    n_test = F.lit(0)
-    for c, n in tests.items():
-        n_test = F.when(F.col(stratify) == c, n).otherwise(n_test)
-    return with_position(df, key, seed, stratify, "__pos").withColumn("split", F.when(F.col("__pos") < n_test, "test").otherwise("train")).select(*df.columns, "split")
+    """Adds split: ceil((1 - train) n) rows are test, exactly; stratify shares them over classes by largest remainder, within splits each group. NULL is a class and a group."""
+    placed = _placed(df, key, seed, stratify or within)
+    n_test = F.ceil(F.round(F.col("n") * (1 - train), 9))
+    if stratify is not None:
+        counts = df.groupBy(F.col(f"`{stratify}`").alias("c")).agg(F.count("*").alias("k"))  # one row a class
+        whole = Window.partitionBy()
+        total = F.sum("k").over(whole)
+        tests = F.ceil(F.round(total * (1 - train), 9))
+        based = counts.withColumn("tests", tests).withColumn("exact", F.col("k") / total * F.col("tests")).withColumn("base", F.floor("exact"))
+        nth = F.row_number().over(whole.orderBy(F.round(F.col("exact") - F.col("base"), 9).desc(), F.col("c").desc_nulls_last()))
+        k_test = F.col("base") + (nth <= F.col("tests") - F.sum("base").over(whole)).cast("long")
+        placed = placed.join(based.select("c", k_test.alias("n_test")), F.col("class").eqNullSafe(F.col("c")))
+        n_test = F.col("n_test")
+    return _flat(placed, df.columns, "split", F.when(F.col("pos") < n_test, "test").otherwise("train"))
 
 
 def tail_split(df: DataFrame, n_test: int) -> DataFrame:
@@ -131,3 +220,12 @@ def normalize(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame
     stats = df.where(train).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     scaled = df.crossJoin(stats)  # one row
     return scaled.select(*[F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def normalize_features(df: DataFrame, train: Column, features: str = "features") -> DataFrame:
+    """z-scores of the elements of a feature array by mean and population standard deviation of the train rows; constant features become NULL."""
+    width = df.select(F.size(features)).first()
+    n = width[0] if width else 0
+    stats = df.where(train).agg(F.array(*[F.avg(F.col(features)[i]) for i in range(n)]).alias("__m"), F.array(*[F.stddev_pop(F.col(features)[i]) for i in range(n)]).alias("__s"))
+    z = F.transform(features, lambda x, i: F.try_divide(x - F.col("__m")[i], F.col("__s")[i]).cast("float"))
+    return df.crossJoin(stats).select(*[z.alias(c) if c == features else F.col(f"`{c}`") for c in df.columns])  # one row

@@ -85,3 +85,8 @@ def rank_seeds(seed: int | None, n_ranks: int, add_rank: bool = False) -> list[i
     if add_rank:
         return [seed + r for r in range(n_ranks)]
     return np.random.RandomState(seed).randint(0, 2**32 - 1, n_ranks, dtype=np.uint32).astype(int).tolist()
+
+
+def model_base_seed(data_seed: int, model_seed: int | None = None) -> int:
+    """Seed of the model: the given one, or else the first number drawn from the data's generator."""
+    return model_seed if model_seed is not None else int(np.random.RandomState(data_seed).randint(0, 2**32 - 1, dtype=np.uint32))

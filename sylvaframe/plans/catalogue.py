@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, scalars
 from ..operators import forest, partition, stats, weights
-from . import experiments, planner
+from ..sources import datasets
+from ..sources.shared import remove, shared_dir, stored
+from . import experiments, planner, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,7 +116,6 @@ def balanced_partition_counts(spark, d):
     return ranked.groupBy("rank", F.col("o_orderpriority").alias("class")).agg(F.count("*").alias("cnt"))
 
 
-_EVENTS = ("click", "login", "purchase", "search", "view")
 _WEIGHTS = [[0.5, 0.1, 0.2, 0.3, 0.4], [0.25, 0.3, 0.3, 0.3, 0.35], [0.25, 0.6, 0.5, 0.4, 0.25]]
 
 
@@ -146,13 +149,14 @@ def skellam_partition_counts(spark, d):
     return experiments.union_runs(parts)
 
 
-@query()
+_FITTED = weights.constant_size_weights(weights.skellam_rank_weights(4, 5, 2.0), [3, 1, 4, 1, 5])
+
+
+@query(_assigned("orders", "o_orderpriority", "o_orderkey", _values(_PRIORITIES, _FITTED)) + " select rank, class_ as class, count(*) as cnt from a group by 1, 2")
 def skellam_constant_size_partition(spark, d):
-    """Each rank's size is within a unit per class of an equal share."""
+    """Weights fitted to equal rank sizes for fixed class counts; tests hold that fitting to the real counts evens the ranks."""
     orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    sizes = partition.skellam_partition(orders, "o_orderpriority", "o_orderkey", 4, 2.0, True).groupBy("rank").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return sizes.select("rank", (F.abs(F.col("n") - total / 4) <= 5).cast("int").alias("even"))
+    return partition.assign_ranks(orders, "o_orderpriority", "o_orderkey", 4, _FITTED.tolist(), classes=_PRIORITIES).groupBy("rank", F.col("o_orderpriority").alias("class")).agg(F.count("*").alias("cnt"))
 
 
 _U = "(('0x' || substr(md5(concat('0', ':', cast(event_id as varchar))), 1, 8))::bigint / 4294967296.0)"
@@ -164,6 +168,51 @@ def sampling_partition_counts(spark, d):
     return ranked.groupBy(F.col("event_type").alias("class"), "rank").agg(F.count("*").alias("cnt"))
 
 
+_BOUNDS = {c: [_WEIGHTS[0][i], _WEIGHTS[0][i] + _WEIGHTS[1][i]] for i, c in enumerate(_PRIORITIES)}
+_V = _U.replace("event_id", "o_orderkey")
+
+
+@query(f"select o_orderpriority as class, (case o_orderpriority {' '.join(f'when {c!r} then case when {_V} < {a} then 0 when {_V} < {b} then 1 else 2 end' for c, (a, b) in _BOUNDS.items())} end)::int as rank, count(*) as cnt from orders group by 1, 2")
+def sampling_partition_weighted(spark, d):
+    ranked = partition.sampled_partition(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 3, _WEIGHTS, classes=_PRIORITIES)
+    return ranked.groupBy(F.col("o_orderpriority").alias("class"), "rank").agg(F.count("*").alias("cnt"))
+
+
+_NULLED = "(select o_orderkey, nullif(o_orderpriority, '5-LOW') as c from orders)"
+_NULL_POS = _POS.format(by="c", seed=0, key="o_orderkey")
+
+
+@query(f"""with p as (select c, {_NULL_POS} as pos, count(*) over (partition by c) as n from {_NULLED}), b as (select *, n // 4 as base, n % 4 as more from p)
+select c, (case when pos < (4 - more) * base then pos // base else 4 - more + (pos - (4 - more) * base) // (base + 1) end)::int as rank, count(*) as cnt from b group by 1, 2""")
+def null_class_partition(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("c"))
+    return partition.balanced_partition(orders, "c", "o_orderkey", 4).groupBy("c", "rank").agg(F.count("*").alias("cnt"))
+
+
+@query(f"""with c as (select c as class, count(*) as n from {_NULLED} group by 1),
+e as (select class, n, ceil(round(sum(n) over () * 0.25, 9)) as total, n / sum(n) over () * ceil(round(sum(n) over () * 0.25, 9)) as exact from c),
+q as (select class, floor(exact) as base, row_number() over (order by round(exact - floor(exact), 9) desc, class desc nulls last) as nth, total - sum(floor(exact)) over () as more from e),
+k as (select class, base + case when nth <= more then 1 else 0 end as k from q), p as (select c as class, {_NULL_POS} as pos from {_NULLED})
+select p.class, case when pos < k then 'test' else 'train' end as split, count(*) as cnt from p join k on p.class is not distinct from k.class group by 1, 2""")
+def null_class_split(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("c"))
+    return partition.train_test_split(orders, "o_orderkey", stratify="c").groupBy(F.col("c").alias("class"), "split").agg(F.count("*").alias("cnt"))
+
+
+@query(f"with p as (select o_orderpriority as class, {_POS.format(by='o_orderpriority', seed=0, key='o_orderkey')} as pos from orders) select class, (pos % 3)::int as rank, count(*) as cnt from p group by 1, 2")
+def custom_partitioner(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    ranked = partition.partition_class_wise(orders, "o_orderpriority", "o_orderkey", 3, lambda c, pos, n: pos % 3)
+    return ranked.groupBy(F.col("o_orderpriority").alias("class"), "rank").agg(F.count("*").alias("cnt"))
+
+
+@query(_assigned("orders", "o_orderpriority", "o_orderkey", _EVEN) + " select rank, count(*) as n, min(o_orderkey) as lowest, sum(o_orderkey)::bigint as total from a group by 1")
+def indices_by_rank(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    lists = partition.indices_by_rank(partition.balanced_partition(orders, "o_orderpriority", "o_orderkey", 4), "o_orderkey")
+    return lists.select("rank", F.size("indices").cast("long").alias("n"), F.col("indices")[0].alias("lowest"), F.aggregate("indices", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 _ALL = _POS.format(by="1", seed=0, key="o_orderkey")
 
 
@@ -337,9 +386,51 @@ def forest_predict_local_by_rank(spark, d):
 
 @query(" union all ".join(f"(with v as (select {_TRUTH}, {_votes_sql(r)} from lineitem) select '{n}' as scope, round(avg(case when {_PRED} = label then 1.0 else 0.0 end), 6) as accuracy from v)" for n, r in (("global", (0, 1)), ("local0", (0,)), ("local1", (1,)))))
 def forest_accuracy_local_global(spark, d):
-    e = forest.evaluate(_stump_input(spark, d), _stumps(spark), 3)
-    rows = [("global", e["acc_global"]), *[(f"local{r}", a) for r, a in e["acc_local"].items()]]
-    return _rounded(spark.createDataFrame(rows, "scope string, accuracy double"), "accuracy")
+    scores = forest.evaluate(_stump_input(spark, d), _stumps(spark), 3)["scores"]
+    local = scores.select(F.concat(F.lit("local"), F.col("rank").cast("string")).alias("scope"), F.col("acc_local").alias("accuracy"))
+    return _rounded(local.unionByName(scores.agg(F.first("acc_global").alias("accuracy")).withColumn("scope", F.lit("global"))), "accuracy")
+
+
+def _private(spark, d) -> dict[str, DataFrame]:
+    label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    own = _t(spark, d, "lineitem").select(F.array(*_X).alias("features"), label.alias("label"), (F.col("l_orderkey") % 2).cast("int").alias("rank"))
+    return forest.evaluate(own, _stumps(spark), 3, private=True)
+
+
+def _own(columns: str) -> str:
+    """SQL: by rank over its own rows, with its own votes (l0, l1, l2) and those of all ranks (v0, v1, v2)."""
+    parts = [f"select {r}::int as rank, {_TRUTH}, ({_PRED})::int as mine, whole from (select *, {_votes_sql((r,))} from (select *, ({_PRED})::int as whole from (select *, {_votes_sql()} from lineitem)) where l_orderkey % 2 = {r})" for r in (0, 1)]
+    return f"with j as ({' union all '.join(p.replace('select *, ' + _votes_sql((i,)), 'select * exclude (v0, v1, v2), ' + _votes_sql((i,))) for i, p in enumerate(parts))}) {columns}"
+
+
+@query(_own("select rank, count(*) as n, round(avg((mine = label)::int), 6) as acc_local, round(avg((whole = label)::int), 6) as acc_global_local, round((select avg((whole = label)::int) from j), 6) as acc_global from j group by 1"))
+def forest_accuracy_private(spark, d):
+    return _rounded(_private(spark, d)["scores"], "acc_local", "acc_global_local", "acc_global")
+
+
+@query(_own("select 'local' as scope, rank, label::int as label, mine as prediction, count(*) as cnt from j group by all union all select 'global', null, label::int, whole, count(*) from j group by all"))
+def forest_confusion_by_rank(spark, d):
+    return _private(spark, d)["confusion"]
+
+
+@query("select o_orderstatus, (case when v1 * 2 >= 3 then 1 else 0 end)::int as prediction, count(*) as cnt from (select o_orderstatus, (o_totalprice > 100000)::int + (o_custkey > 500)::int + (o_orderkey > 3000)::int as v1 from orders) group by 1, 2")
+def forest_votes_in_parts(spark, d):
+    """A model that is sent tree by tree votes like a whole one."""
+    leaf = lambda c: [float(i == c) for i in range(2)]
+    rows = [x for t, (f, s) in enumerate([(0, 100000.0), (1, 500.0), (2, 3000.0)]) for x in ((0, t, 0, f, s, 1, 2, leaf(0)), (0, t, 1, -1, 0.0, -1, -1, leaf(0)), (0, t, 2, -1, 0.0, -1, -1, leaf(1)))]
+    data = _t(spark, d, "orders").select("o_orderstatus", F.array("o_totalprice", F.col("o_custkey").cast("double"), F.col("o_orderkey").cast("double")).alias("features"))
+    before, forest.PART_NODES = forest.PART_NODES, 3
+    try:
+        judged = forest.predict(data, spark.createDataFrame(rows, forest.TREE_SCHEMA), 2)
+    finally:
+        forest.PART_NODES = before
+    return judged.groupBy("o_orderstatus", "prediction").agg(F.count("*").alias("cnt"))
+
+
+@query("select * from (values (0, 0, 0), (1, 1, 3), (2, 0, 1), (3, 1, 4), (4, 0, 2), (5, 1, 5)) as v(place, rank, tree_id)")
+def shared_model_order(spark, d):
+    roots = forest.shared_model(_stumps(spark)).where("node_id = 0").select("local_tree", "rank", "tree_id")
+    return roots.select((F.row_number().over(Window.orderBy("local_tree", "rank")) - 1).alias("place"), "rank", "tree_id")
 
 
 _DEEP = [(0, 0, 25.0, 1, 2, None), (1, 1, 0.04, 3, 4, None), (2, 2, 0.05, 5, 6, None), (3, 0, 10.0, 7, 8, None), *[(i, -1, 0.0, -1, -1, c) for i, c in ((4, 2), (5, 1), (6, 0), (7, 0), (8, 1))]]
@@ -380,24 +471,33 @@ def _embeddings(spark, d) -> DataFrame:
 
 @query()
 def forest_train_evaluate(spark, d):
-    from .runner import run_experiment
+    from .runner import Experiment, run_experiment
 
-    results, _, _ = run_experiment(spark, _embeddings(spark, d), 10, 16, 4, "distributed", seed=3)
+    results = run_experiment(spark, _embeddings(spark, d), Experiment(10, 16, 4, "distributed", seed=3)).results
     return results.select("comm_rank", "scope", F.round("accuracy_global_test", 6).alias("accuracy_global_test"), F.round("accuracy_local_test", 6).alias("accuracy_local_test"))
 
 
-@query()
-def checkpoint_roundtrip(spark, d):
-    """Vote differences between a model and its reloaded checkpoint: none."""
-    import tempfile
+@query("select count(*) as n, 6.0::double as votes from embeddings")
+def forest_votes_total(spark, d):
+    """Every sample of a trained forest gets a vote of each of its 6 trees."""
+    data = _embeddings(spark, d)
+    trees = stored(forest.train(partition.balanced_partition(data, "label", "sample_id", 3), 10, 6, 3, 1, replicated=False))
+    voted = forest.vote(data, trees, 10).select(F.aggregate("votes", F.lit(0.0), lambda a, x: a + x).alias("votes"))
+    return voted.groupBy("votes").agg(F.count("*").alias("n"))
+
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sylvaframe-")
+@query("select 0::bigint as n_lost, 0::bigint as n_new, 4::bigint as n_trees")
+def checkpoint_roundtrip(spark, d):
+    """Vote differences between a model and its reloaded checkpoint, both ways: none."""
     data = _embeddings(spark, d)
-    trees = forest.train(data, 10, 4, 2, 1)
-    forest.save(trees, f"{folder}/models", "roundtrip")
-    again = forest.load(spark, f"{folder}/models", "roundtrip", 2)
-    a, b = (forest.vote(data, t, 10).select("sample_id", "votes") for t in (trees, again))
-    return a.exceptAll(b).agg(F.count("*").alias("n_different"))
+    trees = stored(forest.train(data, 10, 4, 2, 1))
+    folder, uid = f"{shared_dir(spark)}/models", uuid.uuid4().hex
+    forest.save(trees, folder, uid)
+    atexit.register(remove, spark, f"{folder}/run_uid={uid}")
+    again = forest.load(spark, folder, uid, 2)
+    a, b = (stored(forest.vote(data, t, 10).select("sample_id", "votes")) for t in (trees, again))
+    lost, new = a.exceptAll(b).agg(F.count("*").alias("n_lost")), b.exceptAll(a).agg(F.count("*").alias("n_new"))
+    return lost.crossJoin(new).crossJoin(again.agg(F.countDistinct("tree_id").alias("n_trees")))  # one row each
 
 
 def flagship(spark, d):
@@ -564,14 +664,13 @@ def checkpoint_smallest_job(spark, d):
 select dataset, n_nodes, round(avg(t), 6) as time_sec_training_mean from w group by 1, 2""")
 def time_mean_over_ranks(spark, d):
     runs = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("dataset"), (F.col("o_orderkey") % 8 + 1).alias("n_nodes"), (F.col("o_totalprice") / 100).alias("time_sec_training"))
-    return _rounded(experiments.aggregate_by_seeds(runs, ["dataset", "n_nodes"], ["time_sec_training"], stats="mean"), "time_sec_training_mean")
+    means = runner.mean_over_ranks(runs, ["dataset", "n_nodes"]).withColumnRenamed("time_sec_training", "time_sec_training_mean")
+    return _rounded(means, "time_sec_training_mean")
 
 
 @query(" union all ".join(f"select {i}::int as label, {n}::bigint as cnt" for i, n in enumerate((2000, 1200, 800))))
 def synthetic_class_counts(spark, d):
     """The generator's class counts without label noise are exact."""
-    from ..sources import datasets
-
     made = datasets.generate(spark, 4000, 12, 3, [0.5, 0.3, 0.2], seed=2, flip_y=0.0)
     return made.groupBy("label").agg(F.count("*").alias("cnt"))
 
@@ -586,3 +685,168 @@ select r.rank, k.class, coalesce(c.cnt, 0)::bigint as cnt from (select unnest([0
 def non_iid_class_frequency(spark, d):
     orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     return stats.class_frequency_by_rank(partition.skellam_partition(orders, "o_orderpriority", "o_orderkey", 4, 2.0, classes=_PRIORITIES), "o_orderpriority", "rank", 4)
+
+
+@query("select w as workload, n::int as n_nodes, s::int as model_seed from (select unnest(['higgs', 'susy']) as w) cross join (select unnest([2, 4, 8]) as n) cross join (select unnest([1, 2]) as s)")
+def job_grid(spark, d):
+    return planner.job_grid(spark, ["higgs", "susy"], [2, 4, 8], [1, 2])
+
+
+_BASELINES = ", ".join(f"('{w}', {n}, {m}::double)" for w, by in planner.SERIAL_MINUTES.items() for n, m in by.items())
+
+
+@query(f"""
+with b(workload, n_trees, minutes) as (values {_BASELINES}), w as (select distinct b.workload, p_size * 50 as wanted from part, b),
+r as (select w.workload, wanted, n_trees, minutes, row_number() over (partition by w.workload, wanted order by abs(n_trees / wanted - 1), n_trees) as k from w join b on b.workload = w.workload)
+select workload, wanted, n_trees::bigint as n_trees, round(minutes * wanted / n_trees, 6)::double as minutes from r where k = 1""")
+def closest_baselines_by_workload(spark, d):
+    workloads = spark.createDataFrame([(w,) for w in planner.SERIAL_MINUTES], "workload string")
+    wanted = _t(spark, d, "part").select((F.col("p_size") * 50).alias("wanted")).distinct().crossJoin(workloads)  # seven workloads
+    return _rounded(planner.closest_baselines(wanted), "minutes")
+
+
+@query("select o_orderkey, coalesce(case o_orderstatus when 'F' then 'green' when 'O' then 'blue' end, 'grey') as colour from orders")
+def map_by_dictionary(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", scalars.mapped(F.col("o_orderstatus"), {"F": "green", "O": "blue"}, "grey").alias("colour"))
+
+
+@query("select distinct o_orderstatus as n_samples, o_orderpriority as n_features from orders")
+def distinct_sizes(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderstatus").alias("n_samples"), F.col("o_orderpriority").alias("n_features")).dropDuplicates(["n_samples", "n_features"])
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then 1.5::double else o_totalprice end as o_totalprice, case when o_orderstatus = 'F' then 'x' end as note from orders")
+def conditional_update(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return experiments.set_where(orders, F.col("o_orderstatus") == "F", {"o_totalprice": F.lit(1.5), "note": F.lit("x")}).drop("o_orderstatus")
+
+
+@query("select o_orderkey, o_orderpriority as dataset, o_custkey as comm_size from orders order by o_orderpriority, o_custkey desc, o_orderkey limit 25")
+def sorted_results(spark, d):
+    runs = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("dataset"), F.col("o_custkey").alias("comm_size"))
+    return experiments.in_order(runs, "dataset", "-comm_size", "model_seed", "o_orderkey").limit(25)
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey % 8 = 0 and o_orderstatus = 'F'")
+def completed_global_rows(spark, d):
+    return _t(spark, d, "orders").where((F.col("o_orderkey") % 8 == 0) & (F.col("o_orderstatus") == "F")).select("o_orderkey", "o_totalprice")
+
+
+@query(f"""{_MEANS}, g as (select dataset, n_nodes, count(*) as n, avg(time_sec_training) as m, stddev_samp(time_sec_training) as s from r group by 1, 2), h as (select *, case when n > 1 then s / sqrt(n) * ([{_T}])[n - 1] end as half from g)
+select dataset, n_nodes, round(m, 6) as mean, round(m - half, 6) as low, round(m + half, 6) as high from h""")
+def plot_lines(spark, d):
+    return _rounded(experiments.plot_lines(_runs(spark, d), "n_nodes", "time_sec_training", ["dataset"]), "mean", "low", "high")
+
+
+@query("select p_size as n_samples, (p_partkey % 3) as n_features, max(p_partkey) as n_trees, arg_max(p_retailprice, p_partkey) as accuracy from part where p_retailprice is not null group by 1, 2")
+def plot_capacity(spark, d):
+    runs = _t(spark, d, "part").select(F.col("p_size").alias("n_samples"), (F.col("p_partkey") % 3).alias("n_features"), F.col("p_partkey").alias("n_trees"), F.col("p_retailprice").alias("accuracy"))
+    return experiments.plot_capacity(runs, "accuracy")
+
+
+def _folder(spark) -> str:
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+@query("""with c as (select (o_orderkey % 3)::int as rank, (o_custkey % 4)::int as class, count(*) as cnt from orders group by 1, 2)
+select 'local' as scope, rank, class, cnt from c union all select 'global', null, class, sum(cnt)::bigint from c group by class
+union all select 'local', 3, class, 0 from (select distinct class from c)""")
+def class_frequency_files(spark, d):
+    """Class counts by rank and of all ranks, dense, written as CSV and read again; rank 3 is empty."""
+    path = _folder(spark)
+    orders = _t(spark, d, "orders").select((F.col("o_custkey") % 4).alias("y"), (F.col("o_orderkey") % 3).alias("r"))
+    experiments.write_class_frequencies(stats.class_frequency_dense(orders, "y", "r", 4, 4), path)
+    return spark.read.schema("class int, cnt long, scope string, rank int").csv(path, header=True).select("scope", "rank", "class", "cnt")
+
+
+@query(f"with c as ({_RULE}) select label, coalesce(sum(cnt) filter (prediction = 0), 0)::bigint as p0, coalesce(sum(cnt) filter (prediction = 4), 0)::bigint as p4 from c group by 1")
+def confusion_files(spark, d):
+    """A confusion matrix written as CSV and read again."""
+    path = _folder(spark)
+    whole = _rule(spark, d).select(F.lit("global").alias("scope"), F.lit(None).cast("int").alias("rank"), "label", "prediction", "cnt")
+    experiments.write_confusion(whole, path, 5)
+    return spark.read.schema("label int, `0` long, `1` long, `2` long, `3` long, `4` long, scope string, rank int").csv(path, header=True).select("label", F.col("0").alias("p0"), F.col("4").alias("p4"))
+
+
+@query("select o_orderpriority as dataset, count(*) as n_trees, round(avg(o_totalprice), 6) as accuracy_global_test, round(avg(o_totalprice), 6) as accuracy_local_test from orders group by 1")
+def results_file(spark, d):
+    """Serial results written as one CSV file and read again with the columns of parallel ones, typed."""
+    path = _folder(spark)
+    table = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("dataset")).agg(F.count("*").alias("n_trees"), F.avg("o_totalprice").alias("accuracy_test"))
+    written = experiments.write_results(table, f"{path}/serial_results")
+    return _rounded(experiments.read_results(spark, written).drop("result_filename"), "accuracy_global_test", "accuracy_local_test")
+
+
+_RUN_LOG = "Job Wall-clock time: 00:10:00\nEnergy Consumed: 1 Joule / {wh} Watthours\nAverage node power draw: 350.5 Watt\nMemory Utilized: 512 MB"
+
+
+@query("""select * from (values ('d', 1, 7, 8, 8.0::double, 40.0::double, 0.5::double, 600.0::double, 60.0::double, 1.0::double), ('d', 4, 7, 8, 2.0, 20.0, 0.75, 600.0, 30.0, 2.0)) as
+v(dataset, n_nodes, model_seed, n_trees, trees_per_node, time_sec_training, accuracy_mean_local_test, wall_clock_sec, exp_node_power_draw, speedup_training)""")
+def experiment_folder_to_scaling_table(spark, d):
+    """Run folders with a log and a result file each become one scaling table; a folder without a log is left out."""
+    root = _folder(spark)
+    for nodes, seconds, accuracies, wh in ((1, 40.0, [0.5], 10.0), (4, 20.0, [0.5, 1.0], 20.0), (2, 1.0, [0.0], None)):
+        rows = [(str(r), 8, None, a) for r, a in enumerate(accuracies)] + [("global", 8, seconds, None)]
+        run = f"{root}/n_nodes_{nodes}/0_7_12345"
+        experiments.write_results(spark.createDataFrame(rows, "comm_rank string, n_trees int, time_sec_training double, accuracy_local_test double").withColumn("dataset", F.lit("d")), f"{run}/x_results")
+        if wh is not None:
+            of, context = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext
+            out = of(run).getFileSystem(context._jsc.hadoopConfiguration()).create(of(f"{run}/slurm-1.out"))
+            out.write(bytearray(_RUN_LOG.format(wh=wh).encode()))
+            out.close()
+    table = experiments.scaling_table(experiments.run_results(spark, root), "strong")
+    columns = ["dataset", "n_nodes", "model_seed", "n_trees", "trees_per_node", "time_sec_training", "accuracy_mean_local_test", "wall_clock_sec", "exp_node_power_draw", "speedup_training"]
+    return table.select(*[F.col(c).cast("int").alias(c) if c in ("n_nodes", "model_seed", "n_trees") else F.col(c) for c in columns])
+
+
+_FEATURES = [f"((l_orderkey * {j + 3} + l_partkey) % 97)::double" for j in range(54)]
+
+
+def _csv_of(spark, d, columns: list) -> str:
+    path = _folder(spark)
+    _t(spark, d, "lineitem").select(*columns).write.csv(path)
+    return path
+
+
+@query(f"select (l_orderkey % 2)::int as label, count(*) as n, sum({_FEATURES[0]}) as first, sum({_FEATURES[17]}) as last from lineitem group by 1")
+def susy_file(spark, d):
+    feature = lambda j: ((F.col("l_orderkey") * (j + 3) + F.col("l_partkey")) % 97).cast("double").alias(f"f{j}")
+    path = _csv_of(spark, d, [(F.col("l_orderkey") % 2).alias("y"), *[feature(j) for j in range(18)]])
+    return datasets.get_dataset("susy", spark, path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("features")[0].cast("double")).alias("first"), F.sum(F.element_at("features", -1).cast("double")).alias("last"))
+
+
+@query(f"select (l_orderkey % 7)::int as label, count(*) as n, sum({_FEATURES[0]}) as first, sum({_FEATURES[53]}) as last from lineitem group by 1")
+def cover_type_file(spark, d):
+    feature = lambda j: ((F.col("l_orderkey") * (j + 3) + F.col("l_partkey")) % 97).cast("double").alias(f"f{j}")
+    path = _csv_of(spark, d, [*[feature(j) for j in range(54)], (F.col("l_orderkey") % 7 + 1).alias("y")])
+    return datasets.get_dataset("cover_type", spark, path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("features")[0].cast("double")).alias("first"), F.sum(F.element_at("features", -1).cast("double")).alias("last"))
+
+
+_PEAKED = weights.largest_remainder(3000, weights.skellam_class_weights(2.0, 5, 1).tolist())
+
+
+@query(" union all ".join(f"select {i}::int as label, {n}::bigint as cnt" for i, n in enumerate(_PEAKED)))
+def synthetic_skellam_counts(spark, d):
+    made = datasets.generate_skellam(spark, 3000, 12, 5, 2.0, 1, seed=2, flip_y=0.0, n_clusters_per_class=2, n_repeated=2, hypercube=False, shift=1.0, scale=2.0)
+    return made.groupBy("label").agg(F.count("*").alias("cnt"))
+
+
+@query("""select * from (values (0, 'train', 300), (1, 'train', 300), (2, 'train', 300), (null, 'test', 300)) as v(rank, split, cnt)""")
+def generate_and_distribute(spark, d):
+    """A shared test set is split off before the train rows are partitioned."""
+    made = datasets.generate_and_distribute(spark, 1200, 12, 3, 3, seed=1, flip_y=0.0, stratified=True)
+    return made.groupBy("rank", "split").agg(F.count("*").cast("int").alias("cnt"))
+
+
+@query("select 'abcdef12' as uid, '0100_0_1_05_20' as folder")
+def checkpoint_lookup(spark, d):
+    """The folder of the smallest job id with these parameters, and the run's uid from its results file."""
+    base = _folder(spark)
+    for job in ("0100", "0200"):
+        run = f"{base}/breaking_iid/n4_m2/nodes_16/{job}_0_1_05_20"
+        experiments.write_results(spark.range(1), f"{run}/2026-01-02--03-04-05-x-{'abcdef12' if job == '0100' else 'ffffffff'}_results")
+        forest.save(_stumps(spark), run, "abcdef12")
+    folder, uid = experiments.find_checkpoint(spark, base, 4, 2, 0.5, "2.0", 0, 1)
+    return spark.createDataFrame([(uid, folder.rsplit("/", 1)[-1])], "uid string, folder string")

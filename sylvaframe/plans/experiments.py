@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -52,9 +53,20 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return logs.select(F.input_file_name().alias("path"), "value")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result CSVs; serial ones get the columns of parallel ones."""
-    df = spark.read.csv(path, header=True, inferSchema=False)
+#: Columns of results that are text or whole numbers; all others are doubles.
+_TEXT = ("comm_rank", "scope", "run_uid", "mode", "result_filename", "dataset", "output_dir", "output_label", "experiment_id")
+_WHOLE = ("n_ranks", "comm_size", "n_nodes", "n_trees", "trees_per_node", "n_samples", "n_features", "n_classes", "seed", "data_seed", "model_seed", "peak")
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """Text columns of a CSV as what they hold; what does not parse is NULL."""
+    kind = lambda c: "string" if c in _TEXT else "bigint" if c in _WHOLE else "double"
+    of = lambda c: F.col(f"`{c}`") if kind(c) == "string" else F.col(f"`{c}`").try_cast(kind(c))
+    return df.select(*[F.col(c) if c.startswith("__") or df.schema[c].dataType.typeName() != "string" else of(c).alias(c) for c in df.columns])
+
+
+def parallel_layout(df: DataFrame) -> DataFrame:
+    """Serial results under the columns of parallel ones: the one model is local and global."""
     for name in ("accuracy_test", "accuracy_train", "auc_test", "auc_train"):
         if name in df.columns:
             metric, part = name.split("_")
@@ -62,9 +74,114 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def write_results(df: DataFrame, path: str, name: str) -> None:
-    """One CSV of a results table, which is of report size."""
-    df.withColumn("result_filename", F.lit(name)).coalesce(1).write.mode("overwrite").csv(path, header=True)
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Result CSVs below path, typed; serial ones get the columns of parallel ones."""
+    return parallel_layout(_typed(spark.read.csv(path, header=True, inferSchema=False)))
+
+
+def write_results(df: DataFrame, path: str, name: str | None = None) -> str:
+    """One CSV file of a results table, which is of report size; path gets the suffix .csv, which is returned with it. name goes to result_filename."""
+    path = path if path.endswith(".csv") else f"{path}.csv"
+    spark, part = df.sparkSession, f"{path}.part"
+    df.withColumn("result_filename", F.lit(name or path.rsplit("/", 1)[-1])).coalesce(1).write.mode("overwrite").csv(part, header=True)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = of(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = fs.globStatus(of(f"{part}/part-*"))[0].getPath()
+    fs.delete(of(path), True)
+    fs.rename(made, of(path))
+    fs.delete(of(part), True)
+    return path
+
+
+def set_where(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """Columns set to values where the condition holds, NULL where it does not and the column is new."""
+    return df.withColumns({c: F.when(condition, v).otherwise(F.col(c) if c in df.columns else F.lit(None)) for c, v in values.items()})
+
+
+def write_confusion(confusion: DataFrame, path: str, n_classes: int) -> None:
+    """CSV matrices of a confusion table (scope, rank, label, prediction, cnt): a row a true class, a folder per scope and rank."""
+    rows = confusion.groupBy("scope", "rank", "label").pivot("prediction", list(range(n_classes))).agg(F.sum("cnt")).na.fill(0)
+    rows.repartition("scope", "rank").sortWithinPartitions("scope", "rank", "label").write.mode("overwrite").partitionBy("scope", "rank").csv(path, header=True)
+
+
+def write_class_frequencies(frequencies: DataFrame, path: str) -> None:
+    """CSVs of class counts (scope, rank, class, cnt), a folder per scope and rank."""
+    frequencies.repartition("scope", "rank").sortWithinPartitions("scope", "rank", "class").write.mode("overwrite").partitionBy("scope", "rank").csv(path, header=True)
+
+
+def run_results(spark: SparkSession, root: str, updated: bool = True) -> DataFrame:
+    """Results of all complete runs below root: folders with exactly one log and one result CSV, others are left out.
+
+    The global row of a run gets the fields of its log and its mean power; n_nodes and model_seed come from the path.
+    """
+    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]+$", 1)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_results.csv")
+    raw = _typed(reader.csv(root, header=True, inferSchema=False).withColumn("__path", F.input_file_name()))
+    logs = read_logs(spark, root)
+    files = raw.select(F.col("__path").alias("path")).distinct().unionByName(logs.select("path")).select(folder(F.col("path")).alias("dir"), "path")
+    complete = complete_runs(files).withColumnRenamed("dir", "__dir")
+    parsed = parse_run_log(logs.select(folder(F.col("path")).alias("l_dir"), "value")).drop("value")
+    runs = raw.withColumn("__dir", folder(F.col("__path"))).join(complete, "__dir").join(parsed, F.col("__dir") == F.col("l_dir"), "left").drop("l_dir")
+    placed = parse_run_path(runs.drop("model_seed", "n_tasks", "n_nodes"), "__path", updated).withColumnRenamed("n_tasks", "n_nodes")
+    fields = ["wall_clock_sec", "energy_wh", "power_w", "memory_gb"]
+    is_global = F.col("comm_rank").eqNullSafe("global") if "comm_rank" in placed.columns else F.lit(True)
+    values = {c: F.col(c) for c in fields} | {"exp_node_power_draw": scalars.mean_power(F.col("energy_wh"), F.col("wall_clock_sec"), F.col("n_nodes"))}
+    return parallel_layout(set_where(placed, is_global, values).withColumn("run", F.col("__dir")).drop("__dir", "__path"))
+
+
+def scaling_table(runs: DataFrame, scaling: str | None = None, keys: Sequence[str] = ("dataset", "n_nodes", "model_seed", "n_trees")) -> DataFrame:
+    """Global rows of runs with the means of their local columns, trees_per_node and, by scaling ('strong', 'weak'), speedup or efficiency; sorted."""
+    keys = [k for k in keys if k in runs.columns]
+    local = [c for c in runs.columns if c.startswith(("accuracy_", "auc_")) and "local" in c]
+    means = with_group_means(runs, keys, local) if local else runs
+    out = means.where(F.col("comm_rank") == "global").withColumn("trees_per_node", F.col("n_trees") / F.col("n_nodes"))
+    if scaling:
+        times = [c for c in out.columns if "time" in c]
+        serial = out.where("n_nodes = 1")
+        by = ["dataset", "trees_per_node" if scaling == "weak" else "n_trees"]
+        by += ["model_seed"] if serial.select("model_seed").distinct().count() > 1 else []
+        out = speedup(out, serial, by, times, scaling == "weak")
+    return in_order(out, "dataset", "n_nodes", "model_seed", "comm_rank")
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Results sorted by those of the columns that they have; '-name' sorts downwards."""
+    return df.orderBy(*[F.col(c.lstrip("-")).desc() if c.startswith("-") else F.col(c) for c in columns if c.lstrip("-") in df.columns])
+
+
+def plot_lines(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """(by, x, mean, low, high): the points and 95 % intervals of a line plot."""
+    out = df.groupBy(*by, x).agg(F.avg(y).alias("mean"), ci95(y).alias("half"))
+    return out.select(*by, x, "mean", (F.col("mean") - F.col("half")).alias("low"), (F.col("mean") + F.col("half")).alias("high"))
+
+
+def plot_capacity(df: DataFrame, value: str) -> DataFrame:
+    """(n_samples, n_features, n_trees, value): the largest model of each data size that a run completed, for a capacity plot."""
+    done = df.where(F.col(value).isNotNull())
+    return done.groupBy("n_samples", "n_features").agg(F.max("n_trees").alias("n_trees"), F.max_by(value, "n_trees").alias(value))
+
+
+def find_checkpoint(spark: SparkSession, base: str, log_n_samples: int, log_n_features: int, mu_global: float | str, mu_local: float | str, data_seed: int, model_seed: int, n_nodes: int = 16) -> tuple[str, str]:
+    """(folder, run uid) of the run with these parameters in its folder's name; of several the smallest job id, compared as a string.
+
+    Raises FileNotFoundError without such a folder, ValueError where it holds no model or no results file with a uid.
+    """
+    plain = lambda mu: str(mu).replace(".", "")
+    pattern = f"{base.rstrip('/')}/breaking_iid/n{log_n_samples}_m{log_n_features}/nodes_{n_nodes}/*_{data_seed}_{model_seed}_{plain(mu_global)}_{plain(mu_local)}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    listed = lambda p: [str(s.getPath()) for s in (jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(p)) or [])]
+    name = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
+    found = listed(pattern)
+    if not found:
+        raise FileNotFoundError(f"no checkpoint folder matches {pattern}")
+    folder = min(found, key=lambda p: name(p).split("_")[0])
+    inside = [name(p) for p in listed(f"{folder}/*")]
+    if not any(n.startswith("run_uid=") for n in inside):
+        raise ValueError(f"no model in {folder}")
+    uids = [m[1] for n in sorted(inside) if (m := re.search(r"--[\d\w-]+-(\w+)_results(?:\.csv)?$", n))]
+    if not uids:
+        raise ValueError(f"no results file with a run uid in {folder}")
+    return folder, uids[0]
 
 
 def complete_runs(files: DataFrame) -> DataFrame:
@@ -126,12 +243,29 @@ def t_quantile_975(df: int) -> float:
     return (lo + hi) / 2
 
 
-def ci95(column: str, n_max: int = 200) -> Column:
-    """Half-width of the 95 % confidence interval of a mean; NULL for a single value. Beyond n_max values the normal quantile."""
+def t_quantile_column(df: Column) -> Column:
+    """0.975 quantile of Student's t distribution for any whole number of degrees of freedom from 1: tabulated for few, by its expansion in 1/df for many.
+
+    The expansion's first left-out term is below 1e-9 where it takes over.
+    """
+    few = 60
+    z = 1.959963984540054
+    terms = [
+        z,
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    table = F.array(*[F.lit(t_quantile_975(d)) for d in range(1, few + 1)])
+    many = sum((F.lit(t) / F.pow(df.cast("double"), F.lit(float(k))) for k, t in enumerate(terms[1:], 1)), F.lit(terms[0]))
+    return F.when(df <= few, F.get(table, (df - 1).cast("int"))).otherwise(many)
+
+
+def ci95(column: str) -> Column:
+    """Half-width of the 95 % confidence interval of a mean, by Student's t; NULL for a single value."""
     n = F.count(column)
-    table = F.array(*[F.lit(t_quantile_975(d)) for d in range(1, n_max)])
-    quantile = F.when(n <= n_max, F.get(table, (n - 2).cast("int"))).otherwise(1.959963984540054)
-    return F.when(n > 1, F.stddev_samp(column) / F.sqrt(n) * quantile)
+    return F.when(n > 1, F.stddev_samp(column) / F.sqrt(n) * t_quantile_column(n - 1))
 
 
 def aggregate_by_seeds(df: DataFrame, keys: Sequence[str], columns: Sequence[str], stats: str = "all") -> DataFrame:

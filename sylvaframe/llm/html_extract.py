@@ -1,10 +1,11 @@
 """Main text of web pages through wrappers inferred per host.
 
-A page is a stream of tokens: block tags with the classes that matter, and text slots. Streams of one host are aligned, and a union-free regular
-expression is inferred: equal tokens stay, mismatched text becomes a slot, mismatched tags become optional groups,
-and adjacent equal groups become one repeated group. Every text slot of a wrapper has a path of open elements, and the path gives it a role:
-content, or boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments). A slot outside boilerplate whose text
-is the same on most distinct pages of the host is a constant of the template and dropped; where a page has no explicit article, so are list items of mostly links.
+A page is a stream of tokens: the elements that open and close around its text blocks, and the texts. The streams of one host are aligned
+one after the other, and a union-free regular expression is inferred. At each element, tokens that both sides have are merged; a token that
+one side lacks becomes optional, one that repeats becomes a repeated group, and tokens that come in different orders become one repeated group
+of optional tokens, ( a? b? )+, which is balanced and matches either order. Texts that differ become a slot; a text that is equal on most distinct
+pages of the host is a constant of the template. The page's main text is what its slots hold in the wrapper, in page order, except
+for slots whose place in the wrapper is boilerplate: menus, headers, footers, sidebars, notices, adverts, forms and comments.
 """
 
 from __future__ import annotations
@@ -13,20 +14,23 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import spread_join, stored
 
 #: Elements whose content is never text.
 _RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|math"
+_QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+#: A tag with a quote that nothing closes ends at its first '>'; what begins like a tag and never ends is no text either.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|$)|<({_RAW})\b(?:{_QUOTED}>|[^>]*>).*?(?:</\1\s*>|$)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:({_QUOTED})>|([^>]*)(?:>|$))",
     re.S | re.I,
 )
 #: One attribute with its value, so that a search from the start never begins inside a value.
@@ -40,24 +44,56 @@ _VOID = frozenset("br hr img input meta link area base col embed source track wb
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset("html body div table ul ol dl article main section nav aside header footer form blockquote figure menu dialog".split())
 BOILERPLATE_TAGS = frozenset("head title nav header footer aside form menu dialog search button".split())
-BOILERPLATE_NAMES = frozenset(
+#: Words of class and id names that mark boilerplate, those that do so only for blocks that are mostly links, and words that say nothing.
+STRONG = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead"
-    " cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations"
-    " comment comments reply replies respond disqus discussion widget toolbar pagination pager copyright legal disclaimer alert".split()
+    " cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing comment comments reply replies respond disqus"
+    " widget toolbar pagination pager copyright".split()
+)
+WEAK = frozenset("related recommended recommendations social discussion legal disclaimer alert more tags".split())
+NEUTRAL = frozenset(
+    "site page main global top bottom left right inner outer wrapper wrap container box block area section list item items link links button buttons icon icons bar row col column content"
+    " text body title label form post posts article articles media primary secondary thread is has js the and of by to for my our new".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Streams or wrappers that one task merges.
+#: Marks of an element: boilerplate, main region, boilerplate if mostly links.
+_MARKS = "!*~"
+#: Wrappers that one task aligns.
 _FAN = 64
-#: A host with more pages than this part of a shuffle partition's even share is split for the join.
-_PARTS = 4
+#: Bytes of all wrappers up to which they are sent to the workers, so that no page is shuffled; beyond it pages and wrappers are joined.
+MAX_SENT_BYTES = 32 << 20
 #: A text that is on this share of a host's distinct pages, and on as many of them, is part of the template.
 _SAME_SHARE, _SAME_PAGES = 0.5, 4
+SLOT = "#"
+
+
+class Block(NamedTuple):
+    """A text block: path of open elements, text, characters inside links, all characters, and how many of the open elements are those of the block before."""
+
+    path: str
+    text: str
+    linked: int
+    total: int
+    kept: int
+
+
+def name_mark(value: str) -> str:
+    """'!' or '~' for a class or id attribute. A name counts only if all its words do: a related-work or social-history is no boilerplate."""
+    mark = ""
+    for name in value.split():
+        words = set(re.findall(r"[a-z]+", name))
+        if words and words <= STRONG | WEAK | NEUTRAL:
+            if words & STRONG:
+                return "!"
+            if words & WEAK:
+                mark = "~"
+    return mark
 
 
 def _signature(tag: str, attributes: str) -> str:
-    """Tag with a mark for what decides its role: '!' boilerplate, '*' main region."""
+    """Tag with a mark for what decides its role."""
     mark = "!" if tag in BOILERPLATE_TAGS else "*" if tag in _MAIN_TAGS else ""
     if attributes and tag not in ("html", "body"):
         for m in _ATTR.finditer(attributes):
@@ -66,23 +102,24 @@ def _signature(tag: str, attributes: str) -> str:
                 mark = "!" if value in BOILERPLATE_ROLES else "*" if value in ("main", "article") and not mark else mark
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 mark = "!"
-            elif name in ("class", "id") and BOILERPLATE_NAMES.intersection(re.split(r"[^a-z]+", value)):
-                mark = "!"
+            elif name in ("class", "id") and (own := name_mark(value)) and mark != "!":
+                mark = own if own == "!" or not mark else mark
     return tag + mark
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, is link) of each text block in page order; white space is kept as it is, references are decoded."""
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page in order: white space inside one becomes one space, references are decoded."""
     stack: list[str] = []
-    out: list[tuple[str, str, bool]] = []
+    out: list[Block] = []
     text: list[str] = []
-    linked = total = depth = at = 0
+    linked = total = depth = at = kept = 0
 
     def flush() -> None:
-        nonlocal linked, total
+        nonlocal linked, total, kept
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(("/".join(stack), joined, 2 * linked > total))
+            out.append(Block("/".join(stack), joined, linked, total, kept))
+            kept = len(stack)
         text.clear()
         linked = total = 0
 
@@ -105,10 +142,11 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             if tag == "a":
                 depth = max(0, depth + (-1 if m[2] else 1))
         elif m[2]:
-            names = [s.rstrip("!*") for s in stack]
+            names = [s.rstrip(_MARKS) for s in stack]
             if tag in names:
                 flush()
                 del stack[len(names) - 1 - names[::-1].index(tag) :]
+                kept = min(kept, len(stack))
                 depth = 0
             elif tag == "p":
                 flush()
@@ -116,7 +154,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             flush()
             depth = 0
             for i in range(len(stack) - 1, -1, -1):  # what the new element closes
-                name = stack[i].rstrip("!*")
+                name = stack[i].rstrip(_MARKS)
                 if name == "p" or name in _HEADINGS and tag in _HEADINGS:
                     del stack[i:]
                     break
@@ -126,222 +164,286 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                         break
                 elif name in _SCOPE:
                     break
+            kept = min(kept, len(stack))
             if tag not in _VOID:
-                stack.append(_signature(tag, m[4]))
+                stack.append(_signature(tag, m[4] if m[4] is not None else m[5]))
     add(page[at:])
     flush()
     return out
 
 
-def skeleton(found: list[tuple[str, str, bool]]) -> list[str]:
-    """Token stream of a page: the elements opened and closed between its text slots, '#' for a slot."""
+# Wrappers. A node is {"e": pairs of child tokens that follow each other, "f": flags, "k": children}: for each child token 1 if it is optional plus 2 if
+# it repeats, and the nodes below. Pairs give the order: tokens that come before each other share a factor, a repeated group of optional
+# ones. The node of a slot is {"n": characters, "l": characters in links}.
+
+
+def factors(node: dict) -> list[list[str]]:
+    """Child tokens of a node in an order that keeps all its pairs; tokens that come before each other share a factor."""
+    names = list(node["k"])
+    below: dict[str, set[str]] = {n: set() for n in names}
+    for a, b in node["e"]:
+        below[a].add(b)
+
+    def reached(start: str) -> set[str]:
+        seen, todo = set(), [start]
+        while todo:
+            for x in below[todo.pop()]:
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    far = {n: reached(n) for n in names}
+    done: set[str] = set()
+    out: list[list[str]] = []
+    # a token before others reaches more of them; equal ones stay in name order
+    for n in sorted(names, key=lambda n: (-len(far[n] | {n}), n)):
+        if n not in done:
+            own = sorted({n} | {m for m in far[n] if n in far[m]})
+            done.update(own)
+            out.append(own)
+    return out
+
+
+def align(a: dict, b: dict) -> dict:
+    """The wrapper that matches what either of two wrappers matches, and their alignment: a page's stream is a wrapper as well."""
+    if "n" in a:
+        return {"n": a["n"] + b["n"], "l": a["l"] + b["l"]}
+    after = a["e"] if a["e"] == b["e"] else sorted({*map(tuple, a["e"]), *map(tuple, b["e"])})
+    names = sorted({*a["k"], *b["k"]})
+    flags = {n: a["f"].get(n, 1) | b["f"].get(n, 1) for n in names}
+    nodes = {n: align(a["k"][n], b["k"][n]) if n in a["k"] and n in b["k"] else a["k"].get(n) or b["k"][n] for n in names}
+    return {"e": [list(p) for p in after], "f": flags, "k": nodes}
+
+
+def _children(tokens: list[tuple[str, dict]]) -> dict:
+    """Node of one element from its child tokens in page order."""
+    names = [n for n, _ in tokens]
+    nodes: dict[str, dict] = {}
+    flags: dict[str, int] = {}
+    for n, w in tokens:
+        flags[n] = 2 if n in nodes else 0
+        nodes[n] = align(nodes[n], w) if n in nodes else w
+    after = sorted({p for p in zip(names, names[1:], strict=False) if p[0] != p[1]})
+    return {"e": [list(p) for p in after], "f": flags, "k": nodes}
+
+
+def stream(found: list[Block]) -> dict:
+    """The wrapper of a single page."""
+    open_: list[tuple[str, list]] = [("", [])]
+
+    def close(depth: int) -> None:
+        while len(open_) > depth + 1:
+            name, tokens = open_.pop()
+            open_[-1][1].append((name, _children(tokens)))
+
+    for b in found:
+        own = b.path.split("/") if b.path else []
+        close(b.kept)
+        for name in own[b.kept :]:
+            open_.append((name, []))
+        open_[-1][1].append((SLOT, {"n": b.total, "l": b.linked}))
+    close(0)
+    return _children(open_[0][1])
+
+
+def matches(wrapper: dict, page: dict) -> bool:
+    """Whether a wrapper's expression matches a page's: each element's tokens come in the wrapper's order, and none is missing that is not optional."""
+    if "n" in wrapper:
+        return "n" in page
+    if "n" in page:
+        return False
+    order, steps = factors(wrapper), factors(page)
+    place = {n: i for i, f in enumerate(order) for n in f}
+    own = [n for f in steps for n in f]
+    if any(n not in place for n in own) or any(not wrapper["f"][n] & 1 and len(order[place[n]]) == 1 for n in place if page["f"].get(n, 1) & 1):
+        return False
+    at = [sorted({place[n] for n in f}) for f in steps]
+    if any(len(s) > 1 for s in at) or at != sorted(at):
+        return False
+    if any(page["f"][n] & 2 and not wrapper["f"][n] & 2 and len(order[place[n]]) == 1 for n in own):
+        return False
+    return all(matches(wrapper["k"][n], page["k"][n]) for n in own)
+
+
+def expression(wrapper: dict) -> list[str]:
+    """Tokens of the regular expression: elements, '#' for a slot, '(' ... ')+' for repeated and '[' ... ']?' for optional groups."""
     out: list[str] = []
-    open_: list[str] = []
-    for path, _, _ in found:
-        own = path.split("/") if path else []
-        same = 0
-        while same < min(len(open_), len(own) - 1) and open_[same] == own[same]:
-            same += 1
-        out += [f"</{x}>" for x in reversed(open_[same:])] + [f"<{x}>" for x in own[same:]] + ["#"]
-        open_ = own
-    return fold(out + [f"</{x}>" for x in reversed(open_)])
-
-
-def fold(tokens: list[str], longest: int = 24) -> list[str]:
-    """Adjacent equal groups of tokens become one repeated group, written '(', ..., ')+'."""
-    for size in range(1, longest + 1):
-        out: list[str] = []
-        i = 0
-        while i < len(tokens):
-            group, n = tokens[i : i + size], 1
-            while len(group) == size and tokens[i + n * size : i + (n + 1) * size] == group:
-                n += 1
-            if n > 1 and _balanced(group):
-                out += group if group[0] == "(" and group[-1] == ")+" and _balanced(group[1:-1]) else ["(", *group, ")+"]
-                i += n * size
+    for f in factors(wrapper):
+        parts = []
+        for n in f:
+            part = [SLOT] if n == SLOT else [f"<{n}>", *expression(wrapper["k"][n]), f"</{n}>"]
+            if wrapper["f"][n] & 2 and len(f) == 1:
+                part = ["(", *part, ")+"]
+            parts += ["[", *part, "]?"] if wrapper["f"][n] & 1 or len(f) > 1 else part
+        out += ["(", *parts, ")+"] if len(f) > 1 else parts
+    return out
+
+
+def slots(wrapper: dict) -> dict[str, str]:
+    """Path -> role of each slot of a wrapper: content (inside a main region), other, or boilerplate.
+
+    An element that is marked as boilerplate only if mostly links is so by the characters of all its slots over the host's pages.
+    """
+    out: dict[str, str] = {}
+
+    def size(node: dict) -> tuple[int, int]:
+        if "n" in node:
+            return node["n"], node["l"]
+        parts = [size(k) for k in node["k"].values()]
+        return sum(n for n, _ in parts), sum(l for _, l in parts)
+
+    def walk(node: dict, path: list[str], linked: bool) -> None:
+        for name, below in node["k"].items():
+            if name == SLOT:
+                out["/".join(path)] = "boilerplate" if linked else role("/".join(path))
             else:
-                out.append(tokens[i])
-                i += 1
-        tokens = out
-    return tokens
-
-
-def _balanced(tokens: list[str]) -> bool:
-    depth = 0
-    for t in tokens:
-        depth += (t == "(") + (t.startswith("<") and not t.startswith("</")) - (t == ")+") - t.startswith("</")
-        if depth < 0:
-            return False
-    return depth == 0
-
-
-def align(wrapper: list[str], tokens: list[str]) -> list[str]:
-    """Generalise a wrapper so that it also matches tokens: unmatched runs of either side become optional, '(' ... ')?'."""
-    bare = [t for t in wrapper if t not in ("[", "]?")]
-    optional, inside = [], 0
-    for t in wrapper:
-        inside += (t == "[") - (t == "]?")
-        if t not in ("[", "]?"):
-            optional.append(inside > 0)
-    out: list[tuple[str, bool]] = []
-    for kind, a, b, c, d in SequenceMatcher(None, bare, tokens, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += list(zip(bare[a:b], optional[a:b], strict=True))
-        else:
-            out += [(t, True) for t in bare[a:b]] + [(t, True) for t in tokens[c:d]]
-    result: list[str] = []
-    for i, (t, o) in enumerate(out):
-        if o and (i == 0 or not out[i - 1][1]):
-            result.append("[")
-        result.append(t)
-        if o and (i + 1 == len(out) or not out[i + 1][1]):
-            result.append("]?")
-    return result
-
-
-def role(path: str, explicit: bool) -> str:
-    """content, other or boilerplate, for a slot's path; explicit: the page marks its main region."""
+                n, l = size(below) if name.endswith("~") else (1, 0)
+                walk(below, [*path, name], linked or 2 * l > n)
+
+    walk(wrapper, [], False)
+    return out
+
+
+def role(path: str) -> str:
+    """content, other or boilerplate by the elements of a path; the heading in an article's header is content."""
     own = path.split("/") if path else []
-    heading = bool(own) and own[-1] in _HEADINGS and any(s.endswith("*") for s in own)
-    for s in own:
-        if s.endswith("!") and not (s == "header!" and heading):
-            return "boilerplate"
-    return ("content" if any(s.endswith("*") for s in own) else "boilerplate") if explicit else "other"
+    main = any(s.endswith("*") for s in own)
+    heading = bool(own) and own[-1] in _HEADINGS and main
+    if any(s.endswith("!") and not (s == "header!" and heading) for s in own):
+        return "boilerplate"
+    return "content" if main else "other"
+
+
+def _navigates(path: str) -> bool:
+    """Whether a block of links at this path is navigation: an entry of a list."""
+    return any(s.rstrip(_MARKS) in ("li", "dt", "dd", "menu") for s in path.split("/"))
 
 
-def _explicit(paths: list[str]) -> bool:
-    return any(role(p, True) == "content" for p in paths)
+def read(found: list[Block], roles: dict[str, str], constants: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text of a page: the texts of its slots in the wrapper, in page order, without boilerplate and constants.
+
+    Where the page's stream takes the wrapper's main regions, only these count; elsewhere entries of lists that are mostly links do not.
+    """
+    kinds = [roles.get(b.path, "") for b in found]
+    explicit = "content" in kinds
+    wanted = "content" if explicit else "other"
+    out = []
+    for b, kind in zip(found, kinds, strict=True):
+        if kind == wanted and not (not explicit and 2 * b.linked > b.total and _navigates(b.path)):
+            if not constants or _slot(explicit, b.path, b.text) not in constants:
+                out.append(b.text)
+    return " ".join(out)
 
 
 def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, template, n): the distinct token streams of a batch."""
+def _slot(explicit: bool, path: str, text: str) -> int:
+    """Hash of a slot's path and text; its lowest bit tells pages with a main region from the others."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 2 << 1 | explicit
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) -> rows (host, wrapper, null, null) of hosts in the batch, and (host, null, slot, core) of texts outside boilerplate.
+
+    core is the hash of the page's longest other block. Copies of a page share the cores of their blocks, also where short parts
+    differ, so distinct cores count the pages that differ otherwise. Where a shared text is longer than what differs, the other shared
+    texts cannot be told from an article's and stay. A page itself is the slot -2 with a main region, else -1; its core is that of its two longest blocks.
+    """
+    import xxhash
+
+    digest = lambda t: xxhash.xxh64_intdigest(t) >> 1
     for batch in batches:
-        seen: dict[tuple[str, str], int] = {}
+        wrappers: dict[str, dict] = {}
+        rows: set[tuple[str, None, int, int]] = set()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = blocks(page or "")
-            key = host, json.dumps([skeleton(found), sorted({p for p, _, _ in found}), _explicit([p for p, _, _ in found])])
-            seen[key] = seen.get(key, 0) + 1
-        rows = [(h, t, n) for (h, t), n in seen.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["host", "template", "n"])
+            own = stream(found)
+            wrappers[host] = align(wrappers[host], own) if host in wrappers else own
+            by_path = {p: role(p) for p in {b.path for b in found}}
+            explicit = "content" in by_path.values()
+            texts = {(b.path, b.text) for b in found if by_path[b.path] == ("content" if explicit else "other")}
+            longest = sorted({t for _, t in texts}, key=lambda t: (-len(t), t))[:2]
+            core = {t: digest(next((x for x in longest if x != t), "")) for t in (*longest, "")}
+            rows |= {(host, None, _slot(explicit, p, t), core.get(t, core[""])) for p, t in texts} | {(host, None, -1 - explicit, digest("\n".join(longest)))}
+        out = [(h, json.dumps(w, sort_keys=True), None, None) for h, w in wrappers.items()] + list(rows)
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "wrapper", "slot", "core"])
 
 
 def _merge(part: pd.DataFrame) -> pd.DataFrame:
-    """Templates or wrappers of one host (and salt) -> one wrapper; the most frequent first, so the result is stable."""
-    part = part.sort_values(["n", "template"], ascending=[False, True])
-    wrapper: list[str] = []
-    roles: dict[str, str] = {}
-    for text in part["template"]:
-        tokens, paths, explicit = json.loads(text)
-        wrapper = align(wrapper, [t for t in tokens if t not in ("[", "]?")]) if wrapper else tokens
-        known = paths if isinstance(paths, dict) else {f"{int(explicit)}:{p}": role(p, explicit) for p in paths}
-        roles.update(known)
-    return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [json.dumps([wrapper, roles, True], sort_keys=True)], "n": [int(part["n"].sum())]})
+    """Wrappers of one host (and salt) -> one; in the order of their text, so the result is stable."""
+    texts = sorted(part["wrapper"])
+    whole = json.loads(texts[0])
+    for text in texts[1:]:
+        whole = align(whole, json.loads(text))
+    return pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [json.dumps(whole, sort_keys=True)]})
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """pages(host, html) -> (host, template, n): one wrapper per host from the distinct token streams of all its pages.
+    """pages(host, html) -> (host, wrapper, constants): one wrapper per host as JSON, and the hashes of its template texts.
 
-    Streams are counted before they are shuffled and merged in rounds: each task merges about _FAN of a host's streams or wrappers, until
-    every host has one wrapper. So a hot host is split, however many streams it has. template is JSON: [tokens of the
-    expression, role of each slot path, true].
+    Wrappers of batches are aligned in rounds: each task aligns about _FAN of a host's, until every host has one. So a hot host is
+    split, however many pages it has. A wrapper grows with the variety of a host's elements, not with its pages, and constants are at most
+    twice the texts of a page.
     """
-    schema = "host string, template string, n long"
-    now = stored(pages.select("host", "html").mapInArrow(_templates, schema).groupBy("host", "template").agg(F.sum("n").alias("n")))
+    made = stored(pages.select("host", "html").mapInArrow(_streams, "host string, wrapper string, slot long, core long"))
+    now = made.where("wrapper is not null").select("host", "wrapper")
+    before = None
     while True:
         most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         groups = -(-most // _FAN)
-        salted = now.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(max(1, groups))))
-        now = stored(salted.groupBy("host", "salt").applyInPandas(_merge, schema))
+        # a salt by place, as equal wrappers count each
+        salted = now.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(max(1, groups))))
+        now = before = stored(salted.groupBy("host", "salt").applyInPandas(_merge, "host string, wrapper string"), replaces=before)
         if groups <= 1:
-            return now
-
-
-def _slot(explicit: bool, path: str, text: str) -> int:
-    """Hash of a slot's path and text; its lowest bit tells pages with an explicit main region from the others."""
-    import xxhash
+            break
+    counted = stored(made.where("slot is not null").groupBy("host", "slot", "core").count().groupBy("host", "slot").agg(F.count("*").alias("n")).where((F.col("n") >= _SAME_PAGES) | (F.col("slot") < 0)))
+    n_pages = counted.where("slot < 0").select("host", (-1 - F.col("slot")).alias("explicit"), F.col("n").alias("pages"))
+    same = counted.where("slot >= 0").withColumn("explicit", F.col("slot").bitwiseAND(F.lit(1))).join(n_pages, ["host", "explicit"]).where(F.col("n") >= _SAME_SHARE * F.col("pages"))
+    constants = same.groupBy("host").agg(F.collect_list("slot").alias("constants"))
+    return stored(now.join(constants, "host", "left"), replaces=before)
 
-    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 2 << 1 | explicit
 
+@lru_cache(maxsize=256)
+def _parsed(wrapper: str | None, constants: tuple[int, ...]) -> tuple[dict[str, str], frozenset[int]]:
+    return slots(json.loads(wrapper)) if wrapper else {}, frozenset(constants)
 
-def _links(path: str) -> bool:
-    """Whether a block of links at this path is navigation: an entry of a list."""
-    return any(s.rstrip("!*") in ("li", "dt", "dd", "menu") for s in path.split("/"))
 
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", wrappers: DataFrame | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars): one row per row of pages, read through the wrappers of their hosts (inferred from pages if not given).
 
-def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, slot, core): blocks outside boilerplate, and the page itself as slot -2 if it has an explicit main region or else -1.
-
-    core is the hash of the page's longest other block, for the page itself of its two longest. Copies of a page share the cores of their blocks, also where short parts
-    differ, so distinct cores count the pages that differ otherwise. Where a shared text is longer than what differs, the other shared
-    texts cannot be told from an article's and stay.
+    Null or empty html gives an empty text; a null url is a host of its own; repeated rows give repeated rows; an empty table gives an
+    empty result; malformed and very long html is read whole; other columns are ignored. Character references are decoded, white space inside a
+    block becomes one space, blocks are joined by one space. Texts that the wrapper of the host has no slot for are not read.
     """
-    import xxhash
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host(F.col("url")))
+    known = wrappers if wrappers is not None else infer_wrappers(own)
 
-    for batch in batches:
-        rows: set[tuple[str, int, int]] = set()
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = blocks(page or "")
-            explicit = _explicit([p for p, _, _ in found])
-            own = {(p, t) for p, t, _ in found if role(p, explicit) != "boilerplate"}
-            longest = sorted({t for _, t in own}, key=lambda t: (-len(t), t))[:2]
-            core = {t: xxhash.xxh64_intdigest(next((x for x in longest if x != t), "")) >> 1 for t in (*longest, "")}
-            rows |= {(host, _slot(explicit, p, t), core.get(t, core[""])) for p, t in own} | {(host, -1 - explicit, xxhash.xxh64_intdigest("\n".join(longest)) >> 1)}
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "core"])
+    def texts(batch: pa.RecordBatch, of: Iterator[tuple[str | None, tuple[int, ...]]]) -> pa.RecordBatch:
+        out = [read(blocks(page or ""), *_parsed(*w)) for page, w in zip(batch.column(2).to_pylist(), of, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    schema = "page_id long, url string, text string, n_chars long"
+    length = known.agg(F.sum(F.length("wrapper") + F.length("host") + 20 * F.coalesce(F.size("constants"), F.lit(0)))).first()[0] or 0
+    if length <= MAX_SENT_BYTES:
+        sent = own.sparkSession.sparkContext.broadcast({r.host: (r.wrapper, tuple(r.constants or ())) for r in known.collect()})
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars, wrapper): one row per row of pages.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield texts(batch, (sent.value.get(h, (None, ())) for h in batch.column(3).to_pylist()))
 
-    Null or empty html gives an empty text; a null url is a host of its own; repeated rows give repeated rows; an empty table gives an
-    empty result. Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
-    """
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host(F.col("url")))
-    wrappers = infer_wrappers(own)
-    loose = own.select("host", "html").mapInArrow(_slot_texts, "host string, slot long, core long")
-    # few slots are on enough pages, so the join reads little
-    counted = stored(loose.groupBy("host", "slot", "core").count().groupBy("host", "slot").agg(F.count("*").alias("n")).where((F.col("n") >= _SAME_PAGES) | (F.col("slot") < 0)))
-    n_pages = counted.where("slot < 0").select("host", (-1 - F.col("slot")).alias("explicit"), F.col("n").alias("pages"))
-    same = counted.where("slot >= 0").withColumn("explicit", F.col("slot").bitwiseAND(F.lit(1))).join(n_pages, ["host", "explicit"]).where(F.col("n") >= _SAME_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("slot").alias("same"))
-    known = stored(wrappers.join(same, "host", "left").select("host", F.col("template").alias("wrapper"), F.to_json(F.struct("same")).alias("same")))
-    # hosts above an even share of the pages, fewer than _PARTS a shuffle partition: a broadcast bounded by the partitions, not the data
-    sizes = stored(own.groupBy("host").agg(F.count("*").alias("pages")))
-    share = (sizes.agg(F.sum("pages")).first()[0] or 0) / (_PARTS * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hot = F.broadcast(sizes.where(F.col("pages") > share).select("host", F.ceil(F.col("pages") / F.lit(max(1.0, share))).cast("int").alias("copies")))
-    copies = F.coalesce("copies", F.lit(1))
-    salted = known.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-    joined = own.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), copies).cast("int")).join(salted, ["host", "salt"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[dict[str, str], set[int], str]] = {}
+        return own.select("page_id", "url", "html", "host").mapInArrow(run, schema)
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, expressions = [], []
-            for page, wrapper, loose_ in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                key = f"{wrapper}\n{loose_}"
-                if key not in cache:
-                    if len(cache) > 256:
-                        cache.clear()
-                    tokens, roles, _ = json.loads(wrapper)
-                    cache[key] = roles, set(json.loads(loose_).get("same", [])), " ".join(tokens)
-                roles, template, expression = cache[key]
-                found = blocks(page or "")
-                explicit = _explicit([p for p, _, _ in found])
-                chosen = []
-                for path, text, link in found:
-                    kind = roles.get(f"{int(explicit)}:{path}") or role(path, explicit)
-                    if kind == "content" or kind == "other" and not (link and _links(path)):
-                        if template and _slot(explicit, path, text) in template:  # a constant of the host's pages
-                            continue
-                        chosen.append(text)
-                texts.append(" ".join(chosen))
-                expressions.append(expression)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(expressions, pa.string())],
-                names=["page_id", "url", "text", "n_chars", "wrapper"],
-            )
-
-    return joined.select("page_id", "url", "html", "wrapper", "same").mapInArrow(run, "page_id long, url string, text string, n_chars long, wrapper string")
+            yield texts(batch, ((w, tuple(c or ())) for w, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)))
+
+    sizes = stored(own.groupBy("host").agg(F.sum(1 + F.coalesce(F.length("html"), F.lit(0))).alias("n")))
+    joined = spread_join(own, known, "host", sizes, F.concat_ws(" ", "page_id", F.xxhash64("html")), "left")
+    return joined.select("page_id", "url", "html", "wrapper", "constants").mapInArrow(run_joined, schema)

@@ -120,12 +120,6 @@ def test_anchor_groups_do_not_depend_on_batches():
     assert not [b for b in suffix_dedup._reduce_anchors(iter([suffix_dedup._batch(k=one_doc[:, 0], c=one_doc[:, 1], doc_id=one_doc[:, 2], span=one_doc[:, 3])]))]
 
 
-def test_wrappers_of_many_streams(spark):
-    pages = [("h.org", "<body>" + "<div><p>x</p></div><h2>y</h2>" * (i % 90) + f"<article><h{i % 6 + 1}>t</h{i % 6 + 1}>" + "<ul><li>a</li></ul><p>b</p>" * (i // 90) + "</article></body>") for i in range(400)]
-    got = html_extract.infer_wrappers(spark.createDataFrame([*pages, ("i.org", None)], "host string, html string")).collect()
-    assert sorted((g.host, g.n) for g in got) == [("h.org", 400), ("i.org", 1)]
-
-
 def test_bpe_matches_the_library():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -148,25 +142,6 @@ def test_mix(docs):
     assert all(0 <= r.copies <= 3 and r.taken == r.size * r.copies for r in got)
 
 
-def test_html(spark):
-    page = (
-        "<html><head><title>T</title><script>x('</p>')</script></head><body><nav><a>Menu</a></nav><div class='cookie-notice'>ok?</div><article><h1>Head &amp; all</h1>"
-        "<p><b>One<br>two\n three<p>Four&nbsp;five<div class=ad>buy</div><section id='comments'><p>me too</p></section></article><aside>side</aside><footer>&copy;</footer></body></html>"
-    )
-    loose = "<body><div class=menu>m</div><div><p>Body %d text</p><p>Same on all</p></div></body>"
-    rows = [(0, "http://a.org/1", page), (1, None, None), (2, "http://a.org/2", ""), (2, "http://a.org/2", "")]
-    rows += [(10 + i, f"http://b.org/{i}", loose % i) for i in range(6)]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    by = {r.page_id: r for r in got}
-    assert len(got) == len(rows) and by[0].text == "Head & all One two three Four five" and by[0].n_chars == len(by[0].text)
-    assert by[1].text == by[2].text == "" and by[12].text == "Body 2 text"
-
-
-def test_wrapper_alignment():
-    assert html_extract.fold(["<p>", "#", "</p>"] * 3) == ["(", "<p>", "#", "</p>", ")+"]
-    assert html_extract.align(["<a>", "#", "</a>"], ["<a>", "#", "</a>", "<b>", "</b>"]) == ["<a>", "#", "</a>", "[", "<b>", "</b>", "]?"]
-
-
 def test_license(spark):
     rows = [(1, "prose here\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "we met. RELEASED under the MIT license. then left"), (3, "nothing"), (4, None)]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

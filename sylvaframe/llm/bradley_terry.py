@@ -1,30 +1,53 @@
 """Quality classifier: Bradley-Terry scores from preference pairs.
 
-A labelled good document is preferred to a labelled bad one. Scores are linear in features of the text; their weights minimise the logistic
-loss on feature differences of the pairs. A quantile of the training scores, at the share of bad labels, is the
-threshold, and the score given out is the logistic of the distance from it.
+A labelled good document is preferred to a labelled bad one. Scores are linear in features of the text: shares of symbols, capitals and repeats, and
+hashed shares of words and of character trigrams. Their weights minimise the logistic loss on feature differences of the pairs. A quantile of
+the training scores, at the share of bad labels, is the threshold, and the score given out is the logistic of the distance from it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_rules
-from ._common import stored
 
 #: Bound on the labelled rows that are fitted: a seeded sample of at most so many.
 MAX_TRAINING_ROWS = 20_000
-PAIRS, STEPS, RIDGE = 100_000, 60, 1e-4
+PAIRS, STEPS, RIDGE = 40_000, 30, 1e-3
 FEATURES = ("symbols", "capitals", "marks", "repeats", "dup_lines", "word_length", "length", "short", "symbols_root", "capitals_root", "repeats_square")
+#: Buckets of word hashes and of character trigram hashes.
+BUCKETS = 128
+#: Bytes of a text whose trigrams are hashed together.
+_BLOCK = 1 << 20
+
+
+def ngram_shares(text: str | None) -> np.ndarray:
+    """Square roots of the shares of a text's words and of its byte trigrams in BUCKETS hash buckets each; zeros without any."""
+    import xxhash
+
+    raw = (text or "").lower().encode("utf-8", "replace")
+    out = np.zeros((2, BUCKETS))
+    words = raw.split()
+    if words:
+        buckets = np.fromiter((xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) for w in words), np.int64, len(words))
+        out[0] = np.bincount(buckets, minlength=BUCKETS) / len(words)
+    for at in range(0, len(raw) - 2, _BLOCK):
+        part = np.frombuffer(raw, np.uint8)[at : at + _BLOCK + 2].astype(np.uint32)
+        mixed = (part[:-2] * np.uint32(0x9E3779B1) ^ part[1:-1] * np.uint32(0x85EBCA77) ^ part[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(25)
+        out[1] += np.bincount(mixed, minlength=BUCKETS)
+    out[1] /= max(1, len(raw) - 2)
+    return np.sqrt(out).ravel()
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f array<double>): features of the text alone, finite for empty texts too."""
-    bare = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang"))
+    """(doc_id, f array<double>, text, of the row): shares of the text alone, finite for empty texts too."""
+    bare = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = quality_rules.features(bare)
     chars = F.col("word_chars") + 1.0
     words = F.col("n_words") + 1.0
@@ -33,27 +56,31 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         symbols, capitals, F.col("n_mark") / chars, repeats, F.col("n_dup_lines") * 10.0 / words, F.least(F.lit(20.0), F.col("word_chars") / words) / 10,
         F.log(words) / 10, (F.col("n_words") < 20).cast("double"), F.sqrt(symbols), F.sqrt(capitals), repeats * repeats,
     ]
-    return n.select("doc_id", F.array(*[v.cast("double") for v in values]).alias("f"))
+    return n.select("doc_id", F.array(*[v.cast("double") for v in values]).alias("f"), F.col("row.text").alias("text"))
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: tuple[float, ...]
+    weights: np.ndarray
     threshold: float
 
-    def score(self, f: str = "f") -> Column:
-        terms = [F.lit(w) * F.col(f)[i] for i, w in enumerate(self.weights)]
-        total = F.lit(-self.threshold)
-        for t in terms:
-            total = total + t
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), total))))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights - self.threshold, -500, 500)))
+
+
+def _vectors(batch: pa.RecordBatch, f: int, text: int) -> np.ndarray:
+    """Features of the rows of a batch: the shares of column f and the n-grams of column text."""
+    if not batch.num_rows:
+        return np.zeros((0, len(FEATURES) + 2 * BUCKETS))
+    shares = np.array(batch.column(f).to_pylist(), float)
+    return np.hstack([shares, np.stack([ngram_shares(t) for t in batch.column(text).to_pylist()])])
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Model:
     """Weights from pairs of a good and a bad row drawn with a seed; one class only: a model of constant score."""
     good, bad = x[y == 1], x[y == 0]
     if not len(good) or not len(bad):
-        return Model((0.0,) * x.shape[1], -20.0 if len(good) else 20.0)
+        return Model(np.zeros(x.shape[1]), -20.0 if len(good) else 20.0)
     spread = x.std(axis=0)
     scale = np.where(spread > 0, spread, 1.0)
     rng = np.random.RandomState(seed)
@@ -67,30 +94,49 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Mode
             break
     s = np.sort((x / scale) @ w)
     low = int((y == 0).sum())  # so many rows lie below the threshold
-    return Model(tuple(float(v) for v in w / scale), float((s[low - 1] + s[low]) / 2))
+    return Model(w / scale, float((s[low - 1] + s[low]) / 2))
 
 
-def train(featured: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """featured(doc_id, f) and labels(doc_id, quality) -> Model; rows with a null are left out."""
-    labelled = featured.join(labels.select("doc_id", "quality").dropna(), "doc_id")
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> Model:
+    """Model from docs and labels(doc_id, quality). Of repeated labels of one doc_id contradicting ones count as none, equal ones once."""
+    once = labels.select(F.col("doc_id").alias("l_id"), "quality").where("quality in (0, 1)").groupBy("l_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    labelled = own.join(once.where("quality = other").select("l_id", "quality"), F.col("doc_id") == F.col("l_id"))
     n = labelled.count()
-    if n > 2 * max_rows:  # twice the sample lies below this hash, so tasks send no more than that
-        labelled = labelled.where(F.xxhash64("doc_id") < int(-(1 << 63) + (1 << 64) * (2 * max_rows / n)))
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("f", "quality").collect()
-    if not rows:
-        return Model((0.0,) * len(FEATURES), 0.0)
-    return fit(np.array([r.f for r in rows]), np.array([r.quality for r in rows]))
+    order = F.xxhash64("doc_id")
+    if n > 2 * max_rows:  # about twice the sample lies below this hash, so tasks send no more than that
+        labelled = labelled.where(order < int(-(1 << 63) + (1 << 64) * (2 * max_rows / n)))
+    chosen = labelled.orderBy(order, "doc_id", F.xxhash64("text")).limit(max_rows)
+    featured = text_features(chosen.select(F.struct("doc_id", "quality").alias("doc_id"), "text")).select("doc_id.quality", "f", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _vectors(batch, 1, 2).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
+
+    rows = featured.mapInArrow(run, "y int, x binary").toArrow()
+    if not rows.num_rows:
+        return Model(np.zeros(len(FEATURES) + 2 * BUCKETS), 0.0)
+    x = np.stack([np.frombuffer(r, "<f4") for r in rows.column("x").to_pylist()]).astype(float)
+    y = rows.column("y").to_numpy()
+    order_ = np.lexsort([*x.T[:8], y])  # rows come in any order
+    return fit(x[order_], y[order_])
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of docs.
 
     Labels whose crc32(doc_id as text) mod 3 is 1 are held out and never learnt from. Null texts count as empty and get
-    a score like any other; a null doc_id has a null held_out; without usable labels each score is 0.5; repeated rows and an empty
-    table give repeated rows and an empty result. Other columns are ignored.
+    a score like any other; a null doc_id has a null held_out; without usable labels each score is 0.5, with labels of one class each is
+    near that class; repeated rows and an empty table give repeated rows and an empty result. Other columns are ignored.
     """
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    featured = stored(text_features(docs, id_col, text_col))
-    model = train(featured, labels.where(~held))
-    scored = featured.select("doc_id", held.alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    held = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+    model = train(docs, labels.where(~held("doc_id")), id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_vectors(batch, 1, 2)))], names=["doc_id", "score"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    scored = text_features(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
+    return scored.select("doc_id", held("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

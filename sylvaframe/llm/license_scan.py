@@ -1,11 +1,12 @@
 """License scans: normalised text against license templates by the Dice coefficient over word bigrams.
 
-A text is compared whole, by line, by sentence and by windows of consecutive lines, so notices and license texts that are wrapped match too. With a units' and b template's distinct bigrams, the Dice coefficient 2 |A and B| / (a + b) can
+A text is compared whole, by line, by sentence and by windows of consecutive lines and sentences, so notices and license texts that are wrapped match too. With a units' and b template's distinct bigrams, the Dice coefficient 2 |A and B| / (a + b) can
 reach t only if t / (2 - t) <= a / b <= (2 - t) / t; these size bounds leave few templates for a unit.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping
@@ -102,11 +103,30 @@ def bigrams(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+def _numbered(grams: set[str]) -> dict[str, set[str]]:
+    """Left word -> numbers that follow it."""
+    out: dict[str, set[str]] = {}
+    for g in grams:
+        a, b = g.split(" ")
+        if b.isdigit():
+            out.setdefault(a, set()).add(b)
+    return out
+
+
+def contradicts(own: set[str], numbers: dict[str, set[str]]) -> bool:
+    """Whether a unit has another number than the template after one of its words, such as another version."""
+    if not numbers:
+        return False
+    found = _numbered(own)
+    return any(a in found and not found[a] & n for a, n in numbers.items())
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, tuple[str, ...]], least: float) -> None:
         self.least = least
         self.known = sorted(((len(b), name, b) for name, texts in templates.items() for t in texts if (b := bigrams(t))), key=lambda x: x[:2])
         self.sizes = [n for n, _, _ in self.known]
+        self.numbers = [_numbered(b) for _, _, b in self.known]
         self.first = {x for _, _, b in self.known for x in b}
         #: A unit has at least this share of a template's bigrams, and a template of a unit's.
         self.share = least / (2 - least)
@@ -119,21 +139,22 @@ class Scanner:
             return None
         found = None
         lo = bisect_left(self.sizes, a * self.share - 1e-9)
-        for b, name, grams in self.known[lo : bisect_right(self.sizes, a / self.share + 1e-9)]:
+        for i in range(lo, bisect_right(self.sizes, a / self.share + 1e-9)):
+            b, name, grams = self.known[i]
             score = 2 * len(hits & grams) / (a + b)
-            if score >= self.least and (found is None or (-score, name) < (-found[0], found[1])):
+            if score >= self.least and (found is None or (-score, name) < (-found[0], found[1])) and not contradicts(own, self.numbers[i]):
                 found = score, name
         return found
 
     def windows(self, grams: list[str], starts: list[int]) -> list[tuple[float, int, str, int, int]]:
-        """Best (score, shared bigrams, name, first, last) windows of two lines or more without overlap; line k has the words from starts[k] on.
+        """Best (score, shared bigrams, name, first, last) windows of two lines or sentences or more without overlap; line or sentence k has the words from starts[k] on.
 
         The best window of a template begins with a line that shares a bigram with it; once later lines repeat all that its first
         line shares, the window without that line is no worse. So a template takes time in proportion to the text.
         """
         hits = self.first.intersection(grams)
         found = []
-        for b, name, known in self.known:
+        for (b, name, known), numbers in zip(self.known, self.numbers, strict=True):
             most = len(hits & known)
             if most < b * self.share - 1e-9:
                 continue
@@ -154,7 +175,7 @@ class Scanner:
                     if len(own) > b / self.share + 1e-9:
                         break
                     score = 2 * shared / (len(own) + b)
-                    if j > i and score >= self.least:
+                    if j > i and score >= self.least and not contradicts(own, numbers):
                         found.append((score, shared, name, i, j))
                     later |= places.get(j, set()) if j > i else set()
                     if shared == most or places[i] <= later:
@@ -166,36 +187,48 @@ class Scanner:
         return sorted(chosen, key=lambda w: w[3])
 
     def scan(self, text: str | None) -> list[tuple[str, str, float]]:
-        """(license, unit, score) of each line, sentence or window of lines that matches; the whole text if it does.
+        """(license, unit, score) of each line, sentence, or window of lines and sentences that matches; the whole text if nothing else does.
 
-        A window takes the place of the lines and sentences in it if it scores more than each, or as much with more bigrams.
+        A sentence counts beside its line if its license is another one. A window takes the place of the units in it if it scores more
+        than each, or as much with more bigrams.
         """
         text = text or ""
         lines = text.split("\n")
+        pieces: list[tuple[int, str]] = []  # line, sentence
+        for k, line in enumerate(lines):
+            pieces += [(k, p) for p in _SENTENCE.split(line)]
         words: list[str] = []
         starts = []
-        for line in _OTHER.sub(" ", text.lower()).split("\n"):
+        for _, piece in pieces:
             starts.append(len(words))
-            words += line.split()
+            words += _OTHER.sub(" ", piece.lower()).split()
         starts.append(len(words))
         grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-        units: list[tuple[int, str, str, float, int]] = []  # line, license, unit, score, bigrams
+        of = lambda a, b: set(grams[starts[a] : max(starts[a], starts[b] - 1)])
+        units: list[tuple[int, int, str, str, float, int]] = []  # first and last piece, license, unit, score, bigrams
+        at = 0
         for k, line in enumerate(lines):
-            own = set(grams[starts[k] : max(starts[k], starts[k + 1] - 1)])
+            end = at
+            while end < len(pieces) and pieces[end][0] == k:
+                end += 1
+            own = of(at, end)
             hit = self.best(own)
             if hit:
-                units.append((k, hit[1], line, hit[0], len(own)))
-            elif not self.first.isdisjoint(own):
-                parts = _SENTENCE.split(line)
-                if len(parts) > 1:
-                    units += [(k, h[1], p, h[0], len(g)) for p in parts if (h := self.best(g := bigrams(p)))]
-        filled = [k for k in range(len(lines)) if starts[k] < starts[k + 1]]
-        for score, shared, name, a, b in self.windows(grams, [starts[k] for k in filled] + starts[-1:]) if len(filled) > 1 else ():
+                units.append((at, end - 1, hit[1], line, hit[0], len(own)))
+            if end > at + 1 and not self.first.isdisjoint(own):
+                for i in range(at, end):
+                    if (h := self.best(g := of(i, i + 1))) and (not hit or h[1] != hit[1]):
+                        units.append((i, i, h[1], pieces[i][1], h[0], len(g)))
+            at = end
+        filled = [i for i in range(len(pieces)) if starts[i] < starts[i + 1]]
+        for score, shared, name, a, b in self.windows(grams, [starts[i] for i in filled] + starts[-1:]) if len(filled) > 1 else ():
             first, last = filled[a], filled[b]
-            inside = [u for u in units if first <= u[0] <= last]
-            if all((score, shared) > (u[3], u[4]) for u in inside):
-                units = [u for u in units if not first <= u[0] <= last] + [(first, name, "\n".join(lines[first : last + 1]), score, shared)]
-        out = [u[1:4] for u in sorted(units, key=lambda u: u[0])]
+            inside = [u for u in units if u[0] <= last and u[1] >= first]
+            if all((score, shared) > (u[4], u[5]) for u in inside):
+                by_line = itertools.groupby(pieces[first : last + 1], key=lambda p: p[0])
+                whole = "\n".join(" ".join(p for _, p in ps) for _, ps in by_line)
+                units = [u for u in units if u not in inside] + [(first, last, name, whole, score, shared)]
+        out = [u[2:5] for u in sorted(units, key=lambda u: (u[0], -u[1]))]
         if not out and "\n" in text and (hit := self.best(set(grams))):
             out.append((hit[1], text, hit[0]))
         return out

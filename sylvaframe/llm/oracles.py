@@ -26,23 +26,29 @@ def license_scan_sql(least: float = license_scan.MIN_DICE) -> str:
     words = "list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
     grams = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
 
+    numbers = "list_filter({x}, lambda y: regexp_matches(y, ' [0-9]+$'))"
+    left = lambda x: f"split_part({x}, ' ', 1)"
+    # no word of the template that a number follows is followed by other numbers only
+    agrees = f"len(list_filter(t_nums, lambda x: len(list_filter(nums, lambda y: {left('y')} = {left('x')})) > 0 and len(list_filter(t_nums, lambda z: {left('z')} = {left('x')} and list_contains(nums, z))) = 0)) = 0"
+
     def best(units: str, where: str = "true") -> str:
         """Best license of each unit of a table units(doc_id, line, part, unit)."""
         return f"""
         select doc_id, line, part, max(score) as score, arg_min(name, struct_pack(s := -score, n := name)) as name from (
-          select u.doc_id, u.line, u.part, t.name, 2 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) as score
-          from (select doc_id, line, part, {grams} as g from (select *, {words.format(x="unit")} as w from {units} where {where})) u
-          join templates t on list_has_any(u.g, t.g)) where score >= {least} group by all"""
+          select u.doc_id, u.line, u.part, t.name, u.nums, t.nums as t_nums, 2 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) as score
+          from (select *, {numbers.format(x="g")} as nums from (select doc_id, line, part, {grams} as g from (select *, {words.format(x="unit")} as w from {units} where {where}))) u
+          join templates t on list_has_any(u.g, t.g)) where score >= {least} and case when score >= {least} then {agrees} end group by all"""
 
     return f"""
-    with templates as (select name, {grams} as g from (select name, {words.format(x="text")} as w from (values {templates}) as v(name, text))),
+    with templates as (select *, {numbers.format(x="g")} as nums from (select name, {grams} as g from (select name, {words.format(x="text")} as w from (values {templates}) as v(name, text)))),
     docs as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
     lines as (select row as doc_id, unnest(range(len(l))) as line, 0 as part, unnest(l) as unit from (select row, string_split(text, chr(10)) as l from docs)),
     by_line as ({best("lines")}),
     sentences as (select doc_id, line, unnest(range(len(s))) as part, unnest(s) as unit from (
       select l.doc_id, l.line, string_split(regexp_replace(l.unit, '([.!?;:])[ \\t]+', '\\1' || chr(1), 'g'), chr(1)) as s
-      from lines l left join by_line b on b.doc_id = l.doc_id and b.line = l.line where b.line is null) where len(s) > 1),
-    by_sentence as ({best("sentences")}),
+      from lines l) where len(s) > 1),
+    all_sentences as ({best("sentences")}),
+    by_sentence as (select s.* from all_sentences s left join by_line b on b.doc_id = s.doc_id and b.line = s.line where b.name is distinct from s.name),
     found as (select * from by_line union all select * from by_sentence),
     wholes as (select row as doc_id, 0 as line, 0 as part, text as unit from docs where contains(text, chr(10)) and row not in (select doc_id from found)),
     hits as (select * from found union all {best("wholes")}),

@@ -171,6 +171,29 @@ def test_classifier_learns_and_holds_out(spark):
     assert np.mean([g.predicted == 1 - g.doc_id % 2 for g in held]) > 0.95
 
 
+def test_classifier_edges(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(WORDS[:6] if i % 2 else WORDS[6:]) for _ in range(40)), "x") for i in range(120)] + [(None, "free", "x"), (7, None, "x"), (8, "", "x"), (8, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string")
+    labels = [(i, i % 2) for i in range(120)]
+    got = bradley_terry.classify(docs, spark.createDataFrame(labels + labels + [(9, 0), (None, 1), (10, None)], "doc_id long, quality int")).collect()
+    assert len(got) == len(rows) and [g.held_out for g in got if g.doc_id is None] == [None]
+    held = [g for g in got if g.held_out and g.doc_id not in (7, 8)]
+    assert np.mean([g.predicted == g.doc_id % 2 for g in held]) > 0.95  # word features alone tell these apart
+    one = bradley_terry.classify(docs, spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")).collect()
+    assert {g.predicted for g in one} == {1}
+    none = bradley_terry.classify(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {g.score for g in none} == {0.5}
+
+
+def test_ngram_shares():
+    parts = bradley_terry.ngram_shares("Kelp and moss and fern") ** 2
+    assert parts[: bradley_terry.BUCKETS].sum() == pytest.approx(1) and parts[bradley_terry.BUCKETS :].sum() == pytest.approx(1)
+    assert bradley_terry.ngram_shares(None).sum() == bradley_terry.ngram_shares("").sum() == 0
+    long = bradley_terry.ngram_shares("ab cd " * 400_000)
+    assert np.allclose(long[bradley_terry.BUCKETS :], bradley_terry.ngram_shares("ab cd " * 100)[bradley_terry.BUCKETS :], atol=0.02)
+
+
 def test_top_k_edges(spark):
     r = np.random.RandomState(6)
     own = [(i, int(c)) for i, c in enumerate(r.randint(0, 40, 120))] + [(3, 1 << 40), (500, None), (None, 7)]  # near codes, many ties
@@ -205,6 +228,18 @@ def test_license_windows(spark):
     assert got[92].n_matches == 401
 
 
+def test_license_versions_sentences_and_rows(spark):
+    short, full = license_scan.TEMPLATES, license_scan.FULL_TEXTS
+    two = "Licensed under the Apache License, Version 2.0. Released under the MIT license."
+    gnu = "This work is licensed under the GNU General Public License, version "
+    rows = [(1, f"{gnu}9", "x"), (2, f"{gnu}2", "x"), (3, two, "x"), (3, two, "x"), (None, "we met here. " + full["MIT"][0] + " We left again. " * 2000, "x"), (5, "", "x")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, matches string")).collect()
+    by = {g.doc_id: g for g in got}
+    assert len(got) == 6 and by[1].n_matches == 0 and by[2].best_license == "GPL-2.0"
+    assert {m.license for m in by[3].matches} == {"Apache-2.0", "MIT"} and by[None].best_license == "MIT" and by[5].matches == []
+    assert by[None].best_score > 0.95
+
+
 def test_license_windows_brute_force():
     r = random.Random(7)
     scanner = license_scan.Scanner({"A": ("a b c d e f g h i j",), "B": ("d e f g k l m",)}, 0.8)

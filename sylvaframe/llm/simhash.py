@@ -108,10 +108,10 @@ def pieces(free: int) -> list[int]:
     return [sum(1 << b for b in bits[len(bits) * k // 4 : len(bits) * (k + 1) // 4]) for k in range(4)]
 
 
-def _link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Batches (key, fp, free) sorted by key -> rows (a, b, free): verified links with free 0, and (key, fp, free) of the next round's buckets.
+def _link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, most: int = MAX_BUCKET) -> Iterator[pa.RecordBatch]:
+    """Batches (key, fp, free) sorted by key -> rows (a, b, free): verified links with free 0, and (key, fp, free) of the next round's buckets, those of more than most fingerprints.
 
-    Of the last, unfinished bucket at most MAX_BUCKET fingerprints are carried over; a bucket that has grown past that is cut on as it comes.
+    Of the last, unfinished bucket at most that many fingerprints are carried over; a bucket that has grown past that is cut on as it comes.
     """
     held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)]
     cut_key = None
@@ -137,7 +137,7 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[p
         near = np.bitwise_count(a ^ b) <= max_bits
         found = [(a[near], b[near])]
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if n > MAX_BUCKET and int(free[s]).bit_count() > _FEW_BITS:
+            if n > most and int(free[s]).bit_count() > _FEW_BITS:
                 yield from cut(int(k[s]), f[s : s + n], int(free[s]))
             else:
                 found += bucket_links(f[s : s + n], max_bits)
@@ -163,7 +163,7 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[p
         if last:
             yield from links(*[x[:last] for x in held])
             held = [x[last:] for x in held]
-        if len(held[0]) > MAX_BUCKET and int(held[2][0]).bit_count() > _FEW_BITS:
+        if len(held[0]) > most and int(held[2][0]).bit_count() > _FEW_BITS:
             cut_key = int(held[0][0])
             yield from cut(cut_key, held[1], int(held[2][0]))
             held = [x[:0] for x in held]
@@ -171,12 +171,12 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[p
         yield from links(*held)
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, most: int = MAX_BUCKET) -> DataFrame:
     """distinct(fp) -> edges (a, b) whose components are those of all links of max_bits or fewer."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_free = (pa.RecordBatch.from_arrays([*b.columns, pa.array(_first_free(b.column(0).to_numpy()).view(np.int64))], names=["key", "fp", "free"]) for b in batches)
-        return _link_sorted(with_free, max_bits)
+        return _link_sorted(with_free, max_bits, most)
 
     schema = "a long, b long, free long"
     # few fingerprints give many variants, so they are spread before
@@ -185,7 +185,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     edges = found.where("free = 0")
     while not (rest := found.where("free <> 0")).isEmpty():
         again = rest.select(F.col("a").alias("key"), F.col("b").alias("fp"), "free").repartition(tasks, "key").sortWithinPartitions("key")
-        found = stored(again.mapInArrow(lambda it: _link_sorted(it, max_bits), schema))
+        found = stored(again.mapInArrow(lambda it: _link_sorted(it, max_bits, most), schema))
         edges = edges.unionAll(found.where("free = 0"))
     return edges.select("a", "b")
 

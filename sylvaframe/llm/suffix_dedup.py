@@ -16,7 +16,6 @@ over sorted rows with constant state besides the open group's distinct contexts.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +26,17 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 LENGTH = 50
-#: Bytes of text that are named together.
+#: Greatest length: what the bits of a span hold.
+MAX_LENGTH = 1 << 22
+#: Bytes of text that are named together; longer texts are named in pieces that overlap.
 _CHUNK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xBF58476D1CE4E5B9)
 _S1, _S2 = np.uint64(29), np.uint64(32)
 _BYTES = np.random.RandomState(20).randint(0, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-# span: text check (16 bits) | first window (39) | windows - 1 (7) | settled (1)
-_AT, _MORE = np.uint64(8), np.uint64(1)
-_AT_MASK, _MORE_MASK = np.uint64((1 << 39) - 1), np.uint64(127)
+# span: first window (40 bits) | windows - 1 (23) | settled (1)
+_AT, _MORE = np.uint64(24), np.uint64(1)
+_MORE_MASK = np.uint64((1 << 23) - 1)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,25 +89,30 @@ def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _chunks(ids: np.ndarray, texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """(buffer, document starts, row numbers) of rows of at least that many bytes, in chunks."""
-    rows: list[int] = []
-    size = 0
-    for i, t in enumerate(texts):
-        if len(t) < least:
-            continue
-        rows.append(i)
-        size += len(t)
-        if size >= _CHUNK:
-            yield _chunk(texts, rows)
-            rows, size = [], 0
-    if rows:
-        yield _chunk(texts, rows)
+class _Chunk:
+    """Pieces of texts in one buffer: for each piece its row, where it begins in its text and in the buffer, and how many windows start in it."""
 
+    def __init__(self, texts: list[bytes], pieces: list[tuple[int, int, int]], length: int) -> None:
+        own = [texts[i][base : base + n + length - 1] for i, base, n in pieces]
+        self.buf = np.frombuffer(b"".join(own), np.uint8)
+        self.start = np.cumsum([0, *map(len, own)])
+        self.row, self.base, self.n = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
 
-def _chunk(texts: list[bytes], rows: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    own = [texts[i] for i in rows]
-    return np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), rows
+
+def _chunks(texts: list[bytes], length: int, chunk: int) -> Iterator[_Chunk]:
+    """Chunks of all texts of at least length bytes."""
+    pieces: list[tuple[int, int, int]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for base in range(0, len(t) - length + 1, chunk):
+            n = min(chunk, len(t) - length + 1 - base)
+            pieces.append((i, base, n))
+            size += n + length - 1
+            if size >= chunk:
+                yield _Chunk(texts, pieces, length)
+                pieces, size = [], 0
+    if pieces:
+        yield _Chunk(texts, pieces, length)
 
 
 def _settle(key: np.ndarray, doc: np.ndarray, span: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -125,43 +131,51 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns.values()], names=list(columns))
 
 
+def _tags(texts: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64 of each text: rows of one doc_id are told apart by it, equal rows share their outcome."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64)
+
+
 def _binary(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (k, c, doc_id, span): anchor name, name of its whole run of windows."""
+def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int, chunk: int = _CHUNK) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (k, c, doc_id, tag, span): anchor name, name of its whole run of windows."""
     gram = max(1, length * 4 // 9)
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _binary(batch.column(1))
-        for buf, start, rows in _chunks(ids, texts, length):
-            names = _Names(buf, length)
+        tags = _tags(texts)
+        for c in _chunks(texts, length, chunk):
+            names = _Names(c.buf, length)
             grams, windows = names.of(gram), names.of(length)
             at = _anchors(grams, length - gram + 1)
-            of_byte = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(start))
+            of_byte = np.repeat(np.arange(len(c.row), dtype=np.int32), np.diff(c.start))
             inside = np.flatnonzero(of_byte[: len(windows)] == of_byte[length - 1 :])
             own = at[inside]
             first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (inside[1:] != inside[:-1] + 1)]))
             lo, hi = inside[first], inside[np.append(first[1:] - 1, len(inside) - 1)]
-            row = of_byte[lo]
+            piece = of_byte[lo]
             context = _pair(_pair(windows[lo], windows[hi]), (hi - lo).astype(np.uint64))
-            doc = ids[rows][row]
-            check = np.array([zlib.crc32(texts[i]) & 0xFFFF for i in rows], np.uint64)[row]
-            span = check << np.uint64(47) | (lo - start[row]).astype(np.uint64) << _AT | (hi - lo).astype(np.uint64) << _MORE
+            row = c.row[piece]
+            doc = ids[row]
+            span = (lo - c.start[piece] + c.base[piece]).astype(np.uint64) << _AT | (hi - lo).astype(np.uint64) << _MORE
             key = _settle(context, doc, span, grams[own[first]])
-            yield _batch(k=key, c=context, doc_id=doc, span=span)
+            yield _batch(k=key, c=context, doc_id=doc, tag=tags[row], span=span)
 
 
 def _reduce_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k, c, doc_id) -> (doc_id, span): settled ones, and those whose windows must be compared.
+    """Rows sorted by (k, c, doc_id) -> (doc_id, tag, span): settled ones, and those whose windows must be compared.
 
     Rows of an unfinished group are held until it has several contexts and several documents, so a single context's smallest document
     or a single document's contexts at most. From then on its rows pass through, and only the last context's first row is held.
     """
-    held, passes = [np.empty(0, np.int64) for _ in range(4)], False
+    held, passes = [np.empty(0, np.int64) for _ in range(5)], False
 
     def judged(rows: list[np.ndarray], is_open: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray], bool]:
-        k, c, d, s = rows
+        k, c, d, t, s = rows
         new_k = np.concatenate([[True], k[1:] != k[:-1]])
         new_c = new_k | np.concatenate([[True], c[1:] != c[:-1]])
         head = np.maximum.accumulate(np.where(new_c, np.arange(len(k)), 0))
@@ -175,7 +189,7 @@ def _reduce_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         out[0] &= not passes  # the one row held of a group that passes is out already
         spans = np.where(done, s | 1, s)[out]
         keep = head[-1:] if many[-1] else np.flatnonzero(waits & ~done)
-        return (_batch(doc_id=d[out], span=spans) if out.any() else None), [x[keep] for x in rows], bool(many[-1])
+        return (_batch(doc_id=d[out], tag=t[out], span=spans) if out.any() else None), [x[keep] for x in rows], bool(many[-1])
 
     for batch in batches:
         if batch.num_rows:
@@ -188,38 +202,39 @@ def _reduce_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield found
 
 
-def _emit_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) -> (k, doc_id, span): the name of every window that is not settled."""
+def _emit_windows(batches: Iterator[pa.RecordBatch], length: int, chunk: int = _CHUNK) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans) -> (k, doc_id, tag, span): the name of every window that is not settled."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _binary(batch.column(1))
-        lists = batch.column(2)
-        for buf, start, rows in _chunks(ids, texts, length):
-            windows = _Names(buf, length).of(length)
-            at, row, check = [], [], []
-            for j, i in enumerate(rows):
-                s = np.array(lists[i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                s = s[s & _MORE == 0]
-                more = (s >> _MORE & _MORE_MASK).astype(np.int64) + 1
-                first = (s >> _AT & _AT_MASK).astype(np.int64)
-                p = np.repeat(first - np.cumsum(more) + more, more) + np.arange(more.sum())
+        lists, tags = batch.column(2), _tags(texts)
+        places = []
+        for i in range(len(texts)):
+            s = np.array(lists[i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
+            s = s[s & _MORE == 0]
+            more = (s >> _MORE & _MORE_MASK).astype(np.int64) + 1
+            places.append(np.sort(np.repeat((s >> _AT).astype(np.int64) - np.cumsum(more) + more, more) + np.arange(more.sum())))
+        for c in _chunks(texts, length, chunk):
+            windows = _Names(c.buf, length).of(length)
+            at, row = [], []
+            for j, (i, base, n) in enumerate(zip(c.row, c.base, c.n, strict=True)):
+                p = places[i][np.searchsorted(places[i], base) : np.searchsorted(places[i], base + n)]
                 at.append(p)
                 row.append(np.full(len(p), j))
-                check.append(np.full(len(p), zlib.crc32(texts[i]) & 0xFFFF, np.uint64))
             p, r = np.concatenate(at), np.concatenate(row)
             if not len(p):
                 continue
-            name, doc = windows[start[r] + p], ids[rows][r]
-            span = np.concatenate(check) << np.uint64(47) | p.astype(np.uint64) << _AT
-            yield _batch(k=_settle(name, doc, span, name), doc_id=doc, span=span)
+            name, doc = windows[c.start[r] + p - c.base[r]], ids[c.row[r]]
+            span = p.astype(np.uint64) << _AT
+            yield _batch(k=_settle(name, doc, span, name), doc_id=doc, tag=tags[c.row[r]], span=span)
 
 
 def _reduce_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k, doc_id) -> (doc_id, span) of windows that a smaller document has."""
+    """Rows sorted by (k, doc_id) -> (doc_id, tag, span) of windows that a smaller document has."""
     key, least = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, d, s = (batch.column(i).to_numpy() for i in range(3))
+        k, d, t, s = (batch.column(i).to_numpy() for i in range(4))
         head = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), np.arange(len(k)), 0))
         smallest = d[head]
         if key is not None and k[0] == key:
@@ -227,56 +242,62 @@ def _reduce_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         done = (d > smallest) | (s & 1 == 1)
         key, least = k[-1], smallest[-1]
         if done.any():
-            yield _batch(doc_id=d[done], span=s[done] | 1)
+            yield _batch(doc_id=d[done], tag=t[done], span=s[done] | 1)
+
+
+def _union(spans: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal runs (first byte, byte after) that the windows of spans cover."""
+    if not len(spans):
+        return []
+    lo = (spans >> _AT).astype(np.int64)
+    hi = lo + (spans >> _MORE & _MORE_MASK).astype(np.int64) + length
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    return list(zip(lo[new].tolist(), hi[np.append(new[1:] - 1, len(hi) - 1)].tolist(), strict=True))
 
 
 def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, out = _binary(batch.column(1)), []
         for i, text in enumerate(texts):
-            edge = np.zeros(len(text) + 1, np.int64)
-            for column in (batch.column(2), batch.column(3)):
-                if column[i].is_valid:
-                    s = np.array(column[i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                    s = s[s & _MORE == 1]
-                    lo = (s >> _AT & _AT_MASK).astype(np.int64)
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, lo + (s >> _MORE & _MORE_MASK).astype(np.int64) + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            found = [np.array(c[i].values.to_numpy(zero_copy_only=False)).view(np.uint64) for c in (batch.column(2), batch.column(3)) if c[i].is_valid]
+            runs = _union(np.concatenate([s[s & _MORE == 1] for s in found]), length) if found else []
+            edges = [0, *(x for run in runs for x in run), len(text)]
+            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else text
+            out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
         columns = list(zip(*out, strict=True)) or [()] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chunk: int = _CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row per row of docs.
 
     Every byte is removed that a string of `length` bytes covers which also starts in a document with a smaller doc_id; strings are
     judged on the input. kept holds the remaining bytes. Null texts count as empty and texts under the length lose nothing;
-    repeats inside one document, repeated rows of one doc_id and rows without doc_id neither lose bytes to each other nor (without doc_id)
-    take part; an empty table gives an empty result. Other columns are ignored.
+    repeats inside one document, and rows of one doc_id, equal or not, lose nothing to each other; rows without doc_id neither lose bytes nor
+    take any; an empty table gives an empty result. Texts of any length are named in pieces of chunk bytes. Other columns are ignored. length is 1 to MAX_LENGTH.
     """
-    spark = docs.sparkSession
+    if not 1 <= length <= MAX_LENGTH:
+        raise ValueError(f"length must be from 1 to {MAX_LENGTH}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     able = source.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    per_text = lambda df: df.groupBy("doc_id", F.shiftrightunsigned("span", 47).alias("check")).agg(F.collect_list("span").alias("spans"))
+    per_text = lambda df: df.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))
 
-    anchors = able.mapInArrow(lambda it: _emit_anchors(it, length), "k long, c long, doc_id long, span long")
+    anchors = able.mapInArrow(lambda it: _emit_anchors(it, length, chunk), "k long, c long, doc_id long, tag long, span long")
     by_anchor = anchors.repartition("k").sortWithinPartitions("k", "c", "doc_id")
-    settled = stored(per_text(by_anchor.mapInArrow(_reduce_anchors, "doc_id long, span long")))
+    settled = stored(per_text(by_anchor.mapInArrow(_reduce_anchors, "doc_id long, tag long, span long")))
 
-    check = F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFF))
+    tag = F.xxhash64("text")
     unsettled = settled.where(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 0))
-    left = able.withColumn("check", check).join(unsettled, ["doc_id", "check"]).select("doc_id", "text", "spans")
-    windows = left.mapInArrow(lambda it: _emit_windows(it, length), "k long, doc_id long, span long")
+    left = able.withColumn("tag", tag).join(unsettled, ["doc_id", "tag"]).select("doc_id", "text", "spans")
+    windows = left.mapInArrow(lambda it: _emit_windows(it, length, chunk), "k long, doc_id long, tag long, span long")
     by_window = windows.repartition("k").sortWithinPartitions("k", "doc_id")
-    compared = stored(per_text(by_window.mapInArrow(_reduce_windows, "doc_id long, span long")).withColumnRenamed("spans", "more"))
+    compared = stored(per_text(by_window.mapInArrow(_reduce_windows, "doc_id long, tag long, span long")).withColumnRenamed("spans", "more"))
 
-    joined = source.withColumn("check", check).join(settled, ["doc_id", "check"], "left").join(compared, ["doc_id", "check"], "left")
+    joined = source.withColumn("tag", tag).join(settled, ["doc_id", "tag"], "left").join(compared, ["doc_id", "tag"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.select("doc_id", "text", "spans", "more").mapInArrow(lambda it: _remove(it, length), schema)

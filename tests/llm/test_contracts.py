@@ -77,15 +77,14 @@ def test_simhash_brute_force(docs, rows):
     assert sorted((k.doc_id is None, k.doc_id or 0) for k in kept) == sorted(best.values())
 
 
-def test_large_buckets_are_cut_on(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MAX_BUCKET", 4)
+def test_large_buckets_are_cut_on(spark):
     r = random.Random(5)
     centre = r.getrandbits(64)
     fps = {centre ^ sum(1 << b for b in r.sample(range(32), r.randint(0, 9))) for _ in range(150)} | {r.getrandbits(64) for _ in range(20)}
     fps |= {f ^ sum(1 << b for b in r.sample(range(64), 3)) for f in sorted(fps)[:60]}
     fps = sorted(fps)
     table = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    found = [(a & (2**64 - 1), b & (2**64 - 1)) for a, b in map(tuple, simhash.links(table).collect())]
+    found = [(a & (2**64 - 1), b & (2**64 - 1)) for a, b in map(tuple, simhash.links(table, most=4).collect())]
     assert all((a ^ b).bit_count() <= 3 for a, b in found)
     parent = {f: f for f in fps}
 

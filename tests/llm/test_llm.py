@@ -88,36 +88,55 @@ def test_quality_base_counts(docs):
         assert not (g.kept and failed)
 
 
-def test_suffix_dedup_brute_force(docs):
-    rows = docs.select("doc_id", "text").collect()
+def removed_by_definition(rows, length):
     first = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        b = (r.text or "").encode()
-        for p in range(len(b) - 49):
-            first.setdefault(b[p : p + 50], r.doc_id)
-    expected = []
-    for r in rows:
-        b = (r.text or "").encode()
+    for doc, t in rows:
+        if doc is not None:
+            b = (t or "").encode()
+            for p in range(len(b) - length + 1):
+                w = b[p : p + length]
+                first[w] = min(doc, first.get(w, doc))
+    out = []
+    for doc, t in rows:
+        b = (t or "").encode()
         gone = np.zeros(len(b), bool)
-        for p in range(len(b) - 49):
-            if first[b[p : p + 50]] < r.doc_id:
-                gone[p : p + 50] = True
+        for p in range(len(b) - length + 1):
+            if doc is not None and first[b[p : p + length]] < doc:
+                gone[p : p + length] = True
         runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        expected.append((r.doc_id, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.remove_repeats(docs).drop("kept").collect()
-    assert sorted(map(tuple, got)) == sorted(expected)
+        out.append((doc, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("length, chunk", [(50, 1 << 20), (50, 700), (400, 1 << 20), (3, 1000), (1, 64)])
+def test_suffix_dedup_brute_force(spark, length, chunk):
+    """Short and long lengths, pieces of texts, null and repeated doc_ids with equal and with other texts."""
+    r = random.Random(length)
+    long = "".join(r.choice("abcd ") for _ in range(3000))
+    rows = [(i, t) for i, t in enumerate(texts(14))] + [(90, long), (91, "x" + long[40:2500] + "y"), (92, long[:1200] + long[:1200]), (None, long), (7, long), (7, long[1000:2200]), (92, "tail " + long[2000:])]
+    rows += [rows[3], rows[-1]]
+    docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, tag int, spans int")
+    got = suffix_dedup.remove_repeats(docs, length, chunk=chunk).drop("kept").collect()
+    assert sorted(map(tuple, got), key=str) == removed_by_definition(rows, length)
+
+
+def test_suffix_dedup_length_is_checked(docs):
+    for length in (0, suffix_dedup.MAX_LENGTH + 1):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(docs, length)
 
 
 def test_anchor_groups_do_not_depend_on_batches():
     r = np.random.RandomState(8)
     rows = np.unique(np.stack([r.randint(0, 4, 400), r.randint(0, 3, 400), r.randint(0, 12, 400), r.randint(0, 40, 400) * 2], 1), axis=0)
     rows[:, 1] += 10 * rows[:, 0]  # a context belongs to one anchor
-    cut = lambda n: (suffix_dedup._batch(k=p[:, 0], c=p[:, 1], doc_id=p[:, 2], span=p[:, 3]) for p in np.array_split(rows, n))
+    batch = lambda p: suffix_dedup._batch(k=p[:, 0], c=p[:, 1], doc_id=p[:, 2], tag=p[:, 2], span=p[:, 3])
+    cut = lambda n: (batch(p) for p in np.array_split(rows, n))
     whole, pieces = (sorted(x for b in suffix_dedup._reduce_anchors(cut(n)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)) for n in (1, len(rows)))
     assert whole == pieces and len(whole) == len(rows)
     one_doc = np.array([[1, 1, 5, 0], [1, 2, 5, 2], [2, 9, 4, 4]])
-    assert not [b for b in suffix_dedup._reduce_anchors(iter([suffix_dedup._batch(k=one_doc[:, 0], c=one_doc[:, 1], doc_id=one_doc[:, 2], span=one_doc[:, 3])]))]
+    assert not [b for b in suffix_dedup._reduce_anchors(iter([batch(one_doc)]))]
 
 
 def test_bpe_matches_the_library():

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import copy
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -51,6 +53,8 @@ def stored(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     with _dropping_shuffles(spark):
         df.write.parquet(path)
     atexit.register(remove, spark, path)
+    for tables in _collecting:
+        tables.append(path)
     if replaces is not None:
         drop(replaces)
     out = spark.read.schema(df.schema).parquet(path)
@@ -58,6 +62,36 @@ def stored(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return out
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that are stored inside the block."""
+    tables: list[str] = []
+    _collecting.append(tables)
+    try:
+        yield tables
+    finally:
+        _collecting.remove(tables)
+
+
+def owner_of(df: DataFrame, tables: list[str]) -> DataFrame:
+    """df, with whose Python object and those derived from it tables are deleted; keep one of them until its rows are read.
+
+    Derived frames hand on the session object, so a copy of it that only they hold tells when the last one is gone.
+    """
+    spark = df.sparkSession
+    own = copy.copy(spark)
+    weakref.finalize(own, _remove_all, spark, tables)
+    return type(df)(df._jdf, own)
+
+
+def _remove_all(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        remove(spark, path)
+
+
 def drop(table: DataFrame) -> None:
     """Delete a stored table that no plan reads any more."""
     if path := getattr(table, "_stored_at", None):

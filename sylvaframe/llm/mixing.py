@@ -140,7 +140,8 @@ def mix(
     """
     text = F.col(text_col).cast("string")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words_of(text).alias("size"), F.xxhash64(text).alias("of_text"), *[row_of(docs).alias("row")] * with_row)
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    chosen = chosen.withColumn("place", F.monotonically_increasing_id())
+    place = F.when(F.col("doc_id").isNull(), F.col("place"))
     # a group of one source and length falls into 65 536 hash ranges, of which only the one where the taking stops needs an order
     sized = stored(chosen.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "of_text", place)).drop("of_text").withColumn("range", F.shiftright("hash", 48).cast("int")))
     sizes = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -168,6 +169,8 @@ def mix(
         )
     )
     nth = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("hash", "doc_id"))
-    placed = sized.join(decided, F.expr("source <=> q_source and size = q_size and range = q_range")).withColumn("nth", nth)
+    slim = sized.select("doc_id", "source", "size", "hash", "range", "place")
+    placed = slim.join(decided, F.expr("source <=> q_source and size = q_size and range = q_range")).withColumn("nth", nth)
     copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("nth") <= F.col("quota")).cast("int")).otherwise(0).cast("int")
-    return placed.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *["row"] * with_row)
+    out = placed.withColumn("copies", copies).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *["place"] * with_row)
+    return out.join(sized.select("place", "row"), "place").drop("place") if with_row else out

@@ -6,16 +6,35 @@ back as the next stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvaframe.llm import bpe, mixing, pii, quality_rules, simhash
 from sylvaframe.llm._common import read_table, stored
 from sylvaframe.llm.queries import SURROGATE_KEY, tokenizer_path
+from sylvaframe.sources.shared import collected, owner_of
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _releasing(stage: Stage) -> Stage:
+    """The stage, whose intermediate tables are deleted once its result and all that is derived from it are out of use."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with collected() as tables:
+            out = stage(spark, docs, sf_dir)
+        return owner_of(out, tables)
+
+    return run
+
+
+@_releasing
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and the divergence rules.
 
@@ -25,6 +44,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select(*COLUMNS), with_row=True).where("kept").select("row.*")
 
 
+@_releasing
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints: that with the smallest doc_id, null last, and of those the one whose row hashes lowest.
 
@@ -34,6 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.representatives(docs.select(*COLUMNS))
 
 
+@_releasing
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities replaced by surrogates; n_chars follows the text.
 
@@ -43,6 +64,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs.select(*COLUMNS), key=SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_releasing
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it.
 

@@ -11,7 +11,7 @@ piece's values are buckets of the next round. So no bucket is ever compared, or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ._common import row_of, spread_join, stored
 from .components import connected_components
+from .shingle_links import part_keys, set_links, shingle_set
 
 SEED = 42
 MAX_BITS = 3
@@ -190,10 +191,10 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, most: int = MAX_BUCKET)
     return edges.select("a", "b")
 
 
-def _classes(printed: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """printed(doc_id, fp) -> (fp, root, component_id), one row a fingerprint, and (fp, first, n)."""
+def _classes(printed: DataFrame, max_bits: int, grouped: Callable[[DataFrame], DataFrame] = connected_components) -> tuple[DataFrame, DataFrame]:
+    """printed(doc_id, fp) -> (fp, root, component_id), one row a fingerprint, and (fp, first, n). grouped gives (node, root) of the edges (a, b)."""
     distinct = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    roots = connected_components(links(distinct, max_bits))
+    roots = grouped(links(distinct, max_bits))
     groups = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = groups.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     return spread_join(groups.select("fp", "root"), smallest.drop("n"), "root", smallest, F.col("fp")), distinct
@@ -217,14 +218,61 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     return spread_join(printed, classes, "fp", distinct, F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_parts(docs: DataFrame, shingle: int, words: int, similarity: float, text_col: str) -> DataFrame:
+    """(fp, sum, n, keys, row): the fingerprint of each row of docs, and sum, size and part signatures of its set of shingles of words words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sums, sizes, keys = [], [], [], []
+            for text in batch.column(0).to_pylist():
+                hashes = shingle_set(text, words, SEED)
+                fps.append(fingerprint(text, shingle))
+                sums.append(hashes.sum(dtype=np.uint64))
+                sizes.append(len(hashes))
+                keys.append(part_keys(hashes, similarity))
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sums)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(1)], names=["fp", "sum", "n", "keys", "row"])
+
+    source = docs.select(F.col(text_col).cast("string").alias("text"), row_of(docs).alias("row"))
+    return source.mapInArrow(run, f"fp long, sum long, n long, keys array<long>, row {source.schema['row'].dataType.simpleString()}")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """texts(item, text) -> (item, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_set(t, words, SEED).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["item", "hashes"])
+
+    return texts.mapInArrow(run, "item long, hashes array<long>")
+
+
+def representatives(
+    docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float | None = None
+) -> DataFrame:
     """The rows of docs that stay when one of each component does: that with the smallest doc_id, null last; of several the one whose row hashes lowest.
 
+    With a similarity (above 0.5), texts whose sets of shingles of words words have at least that Jaccard similarity are linked as well.
     Rows of equal columns are interchangeable. Null texts and ids are as in near_duplicates(), but a row without doc_id stays where its component has no other.
     """
-    printed = stored(fingerprints(docs, shingle, id_col, text_col, with_row=True).withColumn("place", F.monotonically_increasing_id()))
-    slim = printed.select("doc_id", "fp", "place", F.xxhash64("row").alias("hash"))
-    classes, distinct = _classes(slim, _checked(max_bits))
+    if similarity is not None and not 0.5 < similarity <= 1:
+        raise ValueError("similarity must be above 0.5 and at most 1")
+    placed = F.monotonically_increasing_id().alias("place")
+    if similarity is None:
+        printed = stored(fingerprints(docs, shingle, id_col, text_col, with_row=True).select("fp", "row", placed))
+        grouped = connected_components
+    else:
+        printed = stored(_with_parts(docs, shingle, words, similarity, text_col).select("*", placed))
+
+        def grouped(edges: DataFrame) -> DataFrame:
+            first = stored(printed.groupBy("fp", "sum", "n").agg(F.min("place").alias("item")))
+            items = printed.join(first.select(F.col("item").alias("place")), "place", "left_semi").select(F.col("place").alias("item"), F.col("fp").alias("node"), "n", "keys")
+            texts = printed.select(F.col("place").alias("item"), F.col(f"row.`{text_col}`").cast("string").alias("text"))
+            return set_links(items, lambda ids: _sets(texts.join(ids, "item", "left_semi"), words), stored(edges), connected_components, similarity)
+
+    slim = printed.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "fp", "place", F.xxhash64("row").alias("hash"))
+    classes, distinct = _classes(slim, _checked(max_bits), grouped)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "place")
     best = spread_join(slim, classes.select("fp", "root"), "fp", distinct, F.col("place")).groupBy("root").agg(F.min(order).alias("best"))
     return printed.join(best.select(F.col("best.place").alias("place")), "place", "left_semi").select("row.*")

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from sylvaframe.llm import components, mixing, quality_rules, simhash
+from sylvaframe.llm import components, mixing, quality_rules, shingle_links, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = ["the", "of", "and", "kelp", "moss", "fern", "oak", "ash", "elm", "birch", "Pine", "cedar,", "yew."]
@@ -77,6 +77,64 @@ def test_simhash_brute_force(docs, rows):
     assert sorted((k.doc_id is None, k.doc_id or 0) for k in kept) == sorted(best.values())
 
 
+def similar_groups(texts, groups, words=5, similarity=0.8):
+    """groups, merged where two sets of lower-cased word shingles have the similarity or more, pair by pair."""
+    split = [WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for w in split]
+    groups = list(groups)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if groups[i] != groups[j] and both and both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            groups = [groups[i] if g == groups[j] else g for g in groups]
+    return groups
+
+
+def test_similar_sets_brute_force(spark):
+    """Families of near copies, chains, a passage that many short texts share, repeated lines, cases, few words, null and repeated rows."""
+    r = random.Random(8)
+    prose = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    texts = [None, "", " ", "one two", "ONE two", "one two three four five", "one two three four five six"]
+    for n in (9, 40, 70, 127, 128, 300, 900):
+        base = prose(n)
+        texts.append(" ".join(base))
+        for k in range(8):
+            copy = list(base)
+            for at in r.sample(range(n), max(1, n * k // 150)):
+                copy[at] = f"x{r.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    chain = prose(200)
+    texts += [" ".join(chain[9 * k :] + prose(9 * k)) for k in range(12)]
+    passage = prose(50)
+    texts += [" ".join(prose(30) + passage) for _ in range(30)] + [" ".join(passage + ["end", str(k)]) for k in range(9)]
+    line = " ".join(prose(60))
+    texts += [line, "\n".join([line] * 40)]
+    rows = [(i, t, i) for i, t in enumerate(texts)] + [(None, texts[9], 0), (3, texts[3], 3), (70, texts[20], 1)]
+    expected = similar_groups([x[1] for x in rows], groups_of([simhash_of(x[1]) for x in rows]))
+    least = collections.defaultdict(list)
+    for x, g in zip(rows, expected, strict=True):
+        least[g].append((x[0] is None, x[0] or 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3)
+    kept = simhash.representatives(docs, similarity=0.8).collect()
+    assert sorted((k.doc_id is None, k.doc_id or 0) for k in kept) == sorted(min(x) for x in least.values())
+    assert len(least) < len({g for g in groups_of([simhash_of(x[1]) for x in rows])}) and kept[0].__fields__ == docs.columns
+    assert simhash.representatives(docs.limit(0), similarity=0.8).count() == 0
+    with pytest.raises(ValueError):
+        simhash.representatives(docs, similarity=0.4)
+
+
+def test_parts_are_alike_for_similar_sets():
+    """Pairs just at the limit share a key, at sizes about powers of two."""
+    r = np.random.default_rng(4)
+    for n in (1, 2, 6, 31, 45, 63, 64, 65, 127, 128, 129, 250, 256, 1000, 5000):
+        for _ in range(60):
+            hashes = r.integers(0, 2**63, 2 * n, dtype=np.uint64)
+            gone = int(n * 0.2 / 1.8)
+            a, b = np.sort(hashes[:n]), np.sort(np.concatenate([hashes[gone:n], hashes[n : n + gone]]))
+            longer = np.sort(hashes[: n + n // 4])
+            assert all(len(np.intersect1d(shingle_links.part_keys(a, 0.8), shingle_links.part_keys(x, 0.8))) for x in (b, longer))
+            assert len(shingle_links.part_keys(longer, 0.8)) <= 128
+
+
 def test_large_buckets_are_cut_on(spark):
     r = random.Random(5)
     centre = r.getrandbits(64)

@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from test_contracts import WORD, best_sum, groups_of, judged_by_definition, simhash_of, targets_by_definition
+from test_contracts import WORD, best_sum, groups_of, judged_by_definition, similar_groups, simhash_of, targets_by_definition
 
 import corpus_pipeline as p
 
@@ -18,6 +18,9 @@ def rows():
     prose = lambda n: " ".join(r.choice(["the", "of", "and", "to"]) if r.random() < 0.4 else f"w{r.randint(0, 10**5)}" for _ in range(n))
     texts = [prose(r.randint(60, 260)) for _ in range(60)]
     texts += [texts[0]] * 5 + [texts[1] + " tail", "short", None, "", "a b " * 90, prose(100) + " Mr John Smith wrote to j.smith@corp.de", prose(120) + " and Mr Smith called"]
+    swapped = texts[2].split()
+    swapped[20] = swapped[-20] = "other"
+    texts += [" ".join(swapped).upper(), texts[3] + " " + prose(len(texts[3].split()) // 8)]
     out = [(i if i % 11 else None, t, ["en", "fr"][i % 2], ["a", "b", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
     return out + [out[4], out[4], (4, prose(90), "en", "a", 3), (4, "one", "en", "a", 3)]
 
@@ -43,7 +46,10 @@ def test_rules(steps, rows):
 def test_near_duplicates(steps):
     own = list(counted(steps[1]).elements())
     groups = collections.defaultdict(list)
-    for x, g in zip(own, groups_of([simhash_of(x[1]) for x in own]), strict=True):
+    by_bits = groups_of([simhash_of(x[1]) for x in own])
+    both = similar_groups([x[1] for x in own], by_bits)
+    assert len(set(both)) < len(set(by_bits))
+    for x, g in zip(own, both, strict=True):
         groups[g].append(x)
     least = lambda xs: min((x[0] is None, x[0] or 0) for x in xs)
     got = counted(steps[2])

@@ -46,12 +46,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_releasing
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints: that with the smallest doc_id, null last, and of those the one whose row hashes lowest.
+    """One row of each group of near-duplicates: that with the smallest doc_id, null last, and of those the one whose row hashes lowest.
+
+    Rows are linked whose SimHash fingerprints differ in three bits or fewer, or whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Null texts are empty and one group. Rows without doc_id stay where their group has no other. An empty table gives an empty
     result; columns beside COLUMNS are dropped.
     """
-    return simhash.representatives(docs.select(*COLUMNS))
+    return simhash.representatives(docs.select(*COLUMNS), similarity=0.8)
 
 
 @_releasing

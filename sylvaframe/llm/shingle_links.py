@@ -4,11 +4,12 @@ SimHash at three bits finds pairs far above t = 0.8 only (such pairs differ in 5
 Sets of n shingles at similarity t differ in at most d = 2n(1 - t)/(1 + t) shingles. Each set is cut by its shingles' hashes into more
 parts than d, so a part is the same on both sides, and equal signatures of parts meet by an equality shuffle. Sizes are taken by powers
 of two; a set that may have a partner in the next power is cut for that one too. Of more than 64 parts the first 64 are indexed: each is
-alike with chance 1/e or more, so a pair shares none with chance below 1e-9.
+alike with chance about 1/e at the limit, and parts of one shingle are no keys from 64 shingles on; by estimate a pair at the limit
+shares no key with a chance of 1e-6 at most.
 
 In a bucket the first text meets all others; what is linked then needs no more comparing. Of buckets that still hold several components
 the next 4, 16, 64, ... texts meet the others, until one component is left or all have met. So a group of near copies is linear, and
-no link is lost. Sets are compared exactly. What stays quadratic is a bucket of many texts with nothing but that part in common, as a
+no pair that shares a key is lost. Sets are compared exactly. What stays quadratic is a bucket of many texts with nothing but that part in common, as a
 passage of a few hundred words gives in short texts.
 """
 

@@ -78,29 +78,23 @@ def build(convs: DataFrame, turns: DataFrame) -> DataFrame:
     steps = stored(steps)
     ends = folded(members, "class", ["conv_id"], ["conv_id"], _Listed, _Listed.add, lambda s: (s.hash.hexdigest(),), "ends_sha256 string")
     classes = stored(classes.join(ends, "class"))
-    root = classes.agg(F.min("class").alias("node"), F.sum("m").alias("n_convs"), F.count("*").alias("k"))
-    level = stored(root.where("k > 0").select("node", F.lit(None).cast("long").alias("parent"), "n_convs", "k", F.lit(0).cast("long").alias("bytes")))
-    live = classes.select("class", "m", "length").join(F.broadcast(level.select("node")))  # one row
-    live = live.select("class", "m", "length", "node")
-    levels, tails, ended, depth = [], [], [], 0
-    while not level.isEmpty():
-        levels.append(level)
-        # a node with one class is named by it
-        top = level.where("k = 1").select("node", F.col("parent").alias("above"))
-        tails.append(live.join(top, "node").select("class", "m", "length", F.col("above").alias("parent"), F.lit(depth).cast("long").alias("since")))
-        live = live.join(top, "node", "left_anti")
-        ended.append(live.where(F.col("length") == depth).select("node", "class"))
+    every = classes.agg(F.min("class").alias("node"), F.sum("m").alias("n_convs"), F.count("*").alias("k")).where("k > 0")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    # a row for each class, with the node that it is in; the row of the class that names the node stands for it
+    live = stored(classes.select("class", "m", "length").join(F.broadcast(every)).select("class", "m", "length", none.alias("parent"), zero.alias("bytes"), "node", "n_convs", "k"))  # one row
+    levels, depth = [], 0
+    while not live.isEmpty():
+        levels.append(live)
         depth += 1
-        ahead = live.where(F.col("length") >= depth).join(steps.where(F.col("depth") == depth).drop("depth"), "class")
-        ahead = stored(ahead.withColumnRenamed("node", "parent"))
-        nodes = ahead.groupBy("parent", "turn").agg(F.min("class").alias("node"), F.sum("m").alias("n_convs"), F.count("*").alias("k"), F.max("bytes").alias("bytes"))
-        level = stored(nodes)
-        live = ahead.join(level.select("parent", "turn", "node"), ["parent", "turn"]).select("class", "m", "length", "node")
+        onward = live.where((F.col("k") > 1) & (F.col("length") >= depth)).select("class", "m", "length", F.col("node").alias("parent"))
+        ahead = onward.join(steps.where(F.col("depth") == depth).drop("depth"), "class")
+        nodes = ahead.groupBy("parent", "turn").agg(F.min("class").alias("node"), F.sum("m").alias("n_convs"), F.count("*").alias("k"))
+        live = stored(ahead.join(nodes, ["parent", "turn"]).select(*live.columns))
     chains = classes.select("class", "m", "length", F.col("m").alias("parent"), F.col("m").alias("since")).where("false")
-    for t in tails:
-        chains = chains.unionByName(t)
+    for at, level in enumerate(levels):
+        chains = chains.unionByName(level.where("k = 1").select("class", "m", "length", "parent", F.lit(at).cast("long").alias("since")))
     chains = stored(_chains(chains, steps, classes))
-    return _rolled_up(levels, ended, chains, classes)
+    return _rolled_up(levels, chains, classes)
 
 
 def _chains(tails: DataFrame, steps: DataFrame, classes: DataFrame) -> DataFrame:
@@ -120,24 +114,26 @@ def _chains(tails: DataFrame, steps: DataFrame, classes: DataFrame) -> DataFrame
     )
 
 
-def _rolled_up(levels: list[DataFrame], ended: list[DataFrame], chains: DataFrame, classes: DataFrame) -> DataFrame:
+def _rolled_up(levels: list[DataFrame], chains: DataFrame, classes: DataFrame) -> DataFrame:
     """Branching nodes of all levels with the sums of their subtrees, deepest level first, and the nodes of the chains."""
     hashes = classes.select("class", "ends_sha256")
     zero = lambda c, x=0: F.coalesce(c, F.lit(x)).cast("long")
     out, children = chains.drop("first"), None
     for depth in range(len(levels) - 1, -1, -1):
-        own = levels[depth].where("k > 1")
+        branching = levels[depth].where("k > 1")
         below = chains.where(F.col("first") & (F.col("depth") == depth + 1)).select("parent_conv_id", "n_leaves", "saved_tokens")
         if children is not None:
             below = below.unionByName(children.select(*below.columns))
         sums = below.groupBy(F.col("parent_conv_id").alias("node")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved"))
         # one class at most ends in a node
-        joined = own.join(sums, "node", "left").join(ended[depth].join(hashes, "class").select("node", "ends_sha256"), "node", "left")
+        ended = branching.where(F.col("length") == depth).select("node", "class").join(hashes, "class").select("node", "ends_sha256")
+        joined = branching.where("class = node").join(sums, "node", "left").join(ended, "node", "left")
         saved = zero(F.col("saved")) + (F.col("n_convs") - 1) * F.col("bytes")
-        children = stored(joined.select(
+        children = joined.select(
             F.col("node").alias("conv_id"), F.lit(depth).cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), "n_convs", zero(F.col("n_children")).alias("n_children"),
             zero(F.col("n_leaves"), 1).alias("n_leaves"), saved.cast("long").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(NOTHING)).alias("ends_sha256"),
-        ))
+        )
+        children = stored(children)
         out = out.unionByName(children)
     return out.select(*COLUMNS)
 

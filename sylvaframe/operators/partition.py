@@ -1,7 +1,8 @@
 """Splitting and partitioning labelled tables over logical ranks.
 
 The shuffle order is md5(seed:key), so it is the same on every engine and cluster. Positions in it are counted in 4096 hash ranges per class, so a
-class that holds most rows is never ordered in one task. Classes are compared null-safe: NULL is a class like any other. Counts stay
+class that holds most rows is never ordered in one task. Where only cuts in that order are asked for, as by splits and exact partitions, the counts
+of the ranges decide all rows but those of the ranges with a cut inside, and these alone are ordered. Classes are compared null-safe: NULL is a class like any other. Counts stay
 in tables that are joined; only the caller's own weights come from the driver.
 """
 
@@ -12,7 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .weights import constant_size_weights, skellam_rank_weights
+from ..sources.shared import stored
+from .weights import alias_table, constant_size_weights, skellam_rank_weights
 
 #: Rows of a driver-made table of weights up to which it is broadcast.
 MAX_BROADCAST_ROWS = 10_000
@@ -36,6 +38,32 @@ def _placed(df: DataFrame, key: str, seed: int | str, by: str | None) -> DataFra
     return joined.select("row", "class", (F.col("start") + nth - 1).cast("long").alias("pos"), "n")
 
 
+def _cut(df: DataFrame, key: str, seed: int | str, by: str | None, cuts_of: Callable[[DataFrame], DataFrame], digits: int = 3) -> DataFrame:
+    """(row, class, cut): each row with the number of cuts at or below its place in the group's shuffled order.
+
+    cuts_of(totals(class, n)) gives (c_class, at), the places of the cuts. Rows are counted in 16^digits hash ranges a class; a range without a cut
+    inside is decided as a whole, so only rows of ranges with one are ordered, by a window in each.
+    """
+    group = F.col(f"`{by}`") if by else F.lit(1)
+    hashed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), group.alias("class"), shuffle_key(F.col(f"`{key}`"), seed).alias("hash"), F.col(f"`{key}`").alias("key"))
+    hashed = hashed.withColumn("range", F.substring("hash", 1, digits))
+    counts = stored(hashed.groupBy("class", "range").agg(F.count("*").alias("k")))
+    same = F.col("class").eqNullSafe(F.col("c_class"))
+    cuts = cuts_of(counts.groupBy("class").agg(F.sum("k").alias("n"))).groupBy("c_class").agg(F.sort_array(F.collect_list("at")).alias("cuts"))
+    before = F.sum("k").over(Window.partitionBy("class").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("start", F.coalesce(before, F.lit(0))).join(cuts, same, "left").drop("c_class")
+    told = starts.select(
+        F.col("class").alias("c_class"), F.col("range").alias("c_range"), "start", F.size(F.filter("cuts", lambda a: a <= F.col("start"))).alias("below"),
+        F.filter("cuts", lambda a: (a > F.col("start")) & (a < F.col("start") + F.col("k"))).alias("inside"),
+    )
+    told = told.withColumn("below", F.greatest("below", F.lit(0))).withColumn("inside", F.coalesce("inside", F.array().cast("array<long>")))
+    joined = hashed.join(told, same & (F.col("range") == F.col("c_range")))
+    whole = joined.where(F.size("inside") == 0).select("row", "class", F.col("below").alias("cut"))
+    of_range = Window.partitionBy("class", "range").orderBy("hash", "key")
+    placed = joined.where(F.size("inside") > 0).withColumn("pos", F.col("start") + F.row_number().over(of_range) - 1)
+    return whole.unionByName(placed.select("row", "class", (F.col("below") + F.size(F.filter("inside", lambda a: a <= F.col("pos")))).alias("cut")))
+
+
 def _flat(df: DataFrame, columns: Sequence[str], name: str, value: Column) -> DataFrame:
     """The columns of the rows, and value as name in place of one of that name."""
     return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c != name], value.alias(name))
@@ -111,14 +139,25 @@ def assign_ranks(df: DataFrame, label: str, key: str, n_ranks: int, weights: Seq
 
     With weights every class of df must be among classes (default: the classes of df in order, NULL last), else RuntimeError.
     """
-    placed = _placed(df, key, seed, label)
     if weights is None:
-        return _flat(placed, df.columns, "rank", even_rank(F.col("pos"), F.col("n"), n_ranks))
+        base = F.floor(F.col("n") / n_ranks)
+        # the units left over go to the last ranks
+        at = F.transform(F.sequence(F.lit(1), F.lit(n_ranks - 1)), lambda r: r * base + F.greatest(F.lit(0), r - (n_ranks - (F.col("n") - base * n_ranks)))) if n_ranks > 1 else F.array().cast("array<long>")
+        even = _cut(df, key, seed, label, lambda totals: totals.select(F.col("class").alias("c_class"), F.explode(at.cast("array<long>")).alias("at")), _digits(n_ranks))
+        return _flat(even, df.columns, "rank", F.col("cut").cast("int"))
     classes = list(classes) if classes is not None else _classes_of(df, label, len(weights[0]))
     spans = shares(df, label, weights, classes)
-    spans = F.broadcast(spans) if n_ranks * len(classes) <= MAX_BROADCAST_ROWS else spans
-    inside = F.col("class").eqNullSafe(F.col("w_class")) & (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))
-    return _flat(placed.join(spans, inside), df.columns, "rank", F.col("w_rank"))
+    placed = _cut(df, key, seed, label, lambda totals: spans.select(F.col("w_class").alias("c_class"), F.col("lo").cast("long").alias("at")), _digits(n_ranks))
+    # the ranks in order start at their lo, a rank without rows where the next one does
+    return _flat(placed, df.columns, "rank", (F.col("cut") - 1).cast("int"))
+
+
+def _digits(n_cuts: int) -> int:
+    """Hex digits so that at most one of 16 hash ranges of a class has a cut inside."""
+    digits = 3
+    while 16**digits < 16 * n_cuts:
+        digits += 1
+    return digits
 
 
 def balanced_partition(df: DataFrame, label: str, key: str, n_ranks: int, seed: int | str = 0) -> DataFrame:
@@ -150,24 +189,21 @@ def uniform_draw(key: str, seed: int | str) -> Column:
 
 
 def sampled_partition(df: DataFrame, label: str, key: str, n_ranks: int, weights: Sequence[Sequence[float]] | None = None, seed: int | str = 0, classes: Sequence | None = None) -> DataFrame:
-    """Adds rank drawn independently per row by its class's weights (uniform without weights). Rows of a class without weights raise."""
+    """Adds rank drawn independently per row by its class's weights (uniform without weights): one draw and one lookup in the class's alias table, however many ranks there are.
+
+    Rows of a class without weights raise.
+    """
     u = uniform_draw(key, seed)
     if weights is None:
         return df.withColumn("rank", F.least(F.lit(n_ranks - 1), F.floor(u * n_ranks)).cast("int"))
     classes = list(classes) if classes is not None else _classes_of(df, label, len(weights[0]))
-    rows = []
-    for i, c in enumerate(classes):
-        total, at, bounds = sum(w[i] for w in weights), 0.0, []
-        if total <= 0:
-            raise ValueError("a class has no rank with a positive weight")
-        for w in weights[:-1]:
-            at += w[i] / total
-            bounds.append(at)
-        rows.append((c, bounds))
-    table = _class_table(df, label, classes, rows, "bounds array<double>")
-    drawn = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{label}`").alias("class"), u.alias("u"))
-    joined = drawn.join(table, F.col("class").eqNullSafe(F.col("w_class")))
-    return _flat(joined, df.columns, "rank", F.size(F.filter("bounds", lambda b: b <= F.col("u"))))
+    rows = [(c, *alias_table([w[i] for w in weights])) for i, c in enumerate(classes)]
+    table = _class_table(df, label, classes, rows, "keep array<double>, alias array<int>")
+    drawn = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{label}`").alias("class"), (u * n_ranks).alias("u"))
+    column = F.least(F.lit(n_ranks - 1), F.floor("u")).cast("int")
+    joined = drawn.join(table, F.col("class").eqNullSafe(F.col("w_class"))).withColumn("i", column)
+    taken = F.when(F.col("u") - F.col("i") < F.col("keep")[F.col("i")], F.col("i")).otherwise(F.col("alias")[F.col("i")])
+    return _flat(joined, df.columns, "rank", taken.cast("int"))
 
 
 def local_subset(ranked: DataFrame, rank: int) -> DataFrame:
@@ -182,19 +218,21 @@ def indices_by_rank(ranked: DataFrame, key: str) -> DataFrame:
 
 def train_test_split(df: DataFrame, key: str, train: float = 0.75, seed: int | str = 0, stratify: str | None = None, within: str | None = None) -> DataFrame:
     """Adds split: ceil((1 - train) n) rows are test, exactly; stratify shares them over classes by largest remainder, within splits each group. NULL is a class and a group."""
-    placed = _placed(df, key, seed, stratify or within)
     n_test = F.ceil(F.round(F.col("n") * (1 - train), 9))
-    if stratify is not None:
-        counts = df.groupBy(F.col(f"`{stratify}`").alias("c")).agg(F.count("*").alias("k"))  # one row a class
-        whole = Window.partitionBy()
-        total = F.sum("k").over(whole)
+
+    def cuts(totals: DataFrame) -> DataFrame:
+        if stratify is None:
+            return totals.select(F.col("class").alias("c_class"), n_test.cast("long").alias("at"))
+        whole = Window.partitionBy()  # one row a class
+        total = F.sum("n").over(whole)
         tests = F.ceil(F.round(total * (1 - train), 9))
-        based = counts.withColumn("tests", tests).withColumn("exact", F.col("k") / total * F.col("tests")).withColumn("base", F.floor("exact"))
-        nth = F.row_number().over(whole.orderBy(F.round(F.col("exact") - F.col("base"), 9).desc(), F.col("c").desc_nulls_last()))
+        based = totals.withColumn("tests", tests).withColumn("exact", F.col("n") / total * F.col("tests")).withColumn("base", F.floor("exact"))
+        nth = F.row_number().over(whole.orderBy(F.round(F.col("exact") - F.col("base"), 9).desc(), F.col("class").desc_nulls_last()))
         k_test = F.col("base") + (nth <= F.col("tests") - F.sum("base").over(whole)).cast("long")
-        placed = placed.join(based.select("c", k_test.alias("n_test")), F.col("class").eqNullSafe(F.col("c")))
-        n_test = F.col("n_test")
-    return _flat(placed, df.columns, "split", F.when(F.col("pos") < n_test, "test").otherwise("train"))
+        return based.select(F.col("class").alias("c_class"), k_test.cast("long").alias("at"))
+
+    placed = _cut(df, key, seed, stratify or within, cuts)
+    return _flat(placed, df.columns, "split", F.when(F.col("cut") < 1, "test").otherwise("train"))
 
 
 def tail_split(df: DataFrame, n_test: int) -> DataFrame:

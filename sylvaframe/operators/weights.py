@@ -9,9 +9,23 @@ import numpy as np
 
 
 def skellam_pmf(k: np.ndarray, mu: float) -> np.ndarray:
-    """P(X = k) of the difference of two Poisson(mu) variables, by the integral form of the Bessel function."""
-    theta = (np.arange(512) + 0.5) * math.pi / 512
-    return np.array([float(np.mean(np.exp(2 * mu * (np.cos(theta) - 1)) * np.cos(abs(int(x)) * theta))) for x in k])
+    """P(X = k) of the difference of two Poisson(mu) variables: Bessel functions I_k(2 mu) by their downward recurrence, over their sum.
+
+    The recurrence starts where they no longer count and is scaled on the way, so that no mu and no k overflows; masses too small for a double are 0.
+    """
+    k, x = np.abs(np.asarray(k, int)), 2 * mu
+    if mu == 0:
+        return (k == 0).astype(float)
+    top = max(int(k.max(initial=0)), int(12 * math.sqrt(x))) + 60
+    found, scales = np.empty(top + 1), np.zeros(top + 1, int)
+    above, here, scale = 0.0, 1.0, 0
+    for i in range(top, -1, -1):
+        found[i], scales[i] = here, scale
+        above, here = here, above + 2 * i / x * here
+        if here > 1e150:
+            above, here, scale = above * 1e-150, here * 1e-150, scale + 1
+    mass = found * 1e-150 ** np.minimum(scales.max() - scales, 3)
+    return mass[k] / (mass[0] + 2 * mass[1:].sum())
 
 
 def skellam_class_weights(mu: float | str, n_classes: int, peak: int = 0, rescale: bool = True) -> np.ndarray:
@@ -44,8 +58,8 @@ def proportional_fit(weights: np.ndarray, rows: Sequence[float], columns: Sequen
         sums = out.sum(axis=0)
         out *= np.divide(columns, sums, out=np.zeros_like(columns), where=sums > 0)
         if np.abs(out.sum(axis=1) - rows).max() < tolerance:
-            break
-    return out
+            return out
+    raise ValueError(f"no matrix with these zeros has the row and column sums, or {most} rounds do not reach them")
 
 
 def constant_size_weights(weights: np.ndarray, class_counts: Sequence[int]) -> np.ndarray:
@@ -54,6 +68,27 @@ def constant_size_weights(weights: np.ndarray, class_counts: Sequence[int]) -> n
     return proportional_fit(weights, [1.0] * n_ranks, counts / counts.sum() * n_ranks)
 
 
+def alias_table(weights: Sequence[float]) -> tuple[list[float], list[int]]:
+    """(keep, alias): column i of n gives i with chance keep[i] and else alias[i], so one draw and one lookup sample by weight."""
+    w = np.asarray(weights, float)
+    if w.sum() <= 0 or (w < 0).any():
+        raise ValueError("a class has no rank with a positive weight")
+    n = len(w)
+    left = w / w.sum() * n
+    keep, alias = [1.0] * n, list(range(n))
+    small, large = [i for i in range(n) if left[i] < 1], [i for i in range(n) if left[i] >= 1]
+    while small and large:
+        i, j = small.pop(), large[-1]
+        keep[i], alias[i] = float(left[i]), j
+        left[j] -= 1 - left[i]
+        if left[j] < 1:
+            small.append(large.pop())
+    for i in small:  # rounding errors only, but for weights of 0, which are never kept
+        if w[i] == 0:
+            keep[i], alias[i] = 0.0, int(w.argmax())
+    return keep, alias
+
+
 def largest_remainder(total: int, weights: Sequence[float]) -> list[int]:
     """Whole shares of total; the units left go to the largest remainders, among equal ones to the later."""
     w = np.asarray(weights, float)

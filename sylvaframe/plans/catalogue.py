@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, scalars
-from ..operators import forest, partition, stats, weights
+from ..operators import forest, levelwise, partition, stats, weights
 from ..sources import datasets
 from ..sources.shared import remove, shared_dir, stored
 from . import experiments, planner, runner
@@ -149,14 +149,21 @@ def skellam_partition_counts(spark, d):
     return experiments.union_runs(parts)
 
 
-_FITTED = weights.constant_size_weights(weights.skellam_rank_weights(4, 5, 2.0), [3, 1, 4, 1, 5])
+_SKEWED = _values(_PRIORITIES, weights.skellam_rank_weights(4, 5, 2.0))
+#: Rows and columns scaled in turn to equal ranks and the table's class counts.
+_FITTED = f"""with recursive w0(class, rank, w) as (values {_SKEWED}),
+t as (select o_orderpriority as class, count(*) * 4.0::double / sum(count(*)) over () as c from orders group by 1),
+fit as (select class, rank, w, 0 as nth from w0 union all
+select class, rank, a * c / sum(a) over (partition by class) as w, nth + 1 from (select x.class, x.rank, x.nth, t.c, x.w / sum(x.w) over (partition by x.rank) as a from fit x join t using (class) where x.nth < 400)),
+w as (select class, rank, w from fit where nth = 400)"""
 
 
-@query(_assigned("orders", "o_orderpriority", "o_orderkey", _values(_PRIORITIES, _FITTED)) + " select rank, class_ as class, count(*) as cnt from a group by 1, 2")
+@query(_assigned("orders", "o_orderpriority", "o_orderkey", _SKEWED).replace(f"with w(class, rank, w) as (values {_SKEWED})", _FITTED) + " select rank, class_ as class, count(*) as cnt from a group by 1, 2")
 def skellam_constant_size_partition(spark, d):
-    """Weights fitted to equal rank sizes for fixed class counts; tests hold that fitting to the real counts evens the ranks."""
+    """Weights fitted to equal rank sizes by the table's own class counts."""
     orders = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return partition.assign_ranks(orders, "o_orderpriority", "o_orderkey", 4, _FITTED.tolist(), classes=_PRIORITIES).groupBy("rank", F.col("o_orderpriority").alias("class")).agg(F.count("*").alias("cnt"))
+    ranked = partition.skellam_partition(orders, "o_orderpriority", "o_orderkey", 4, 2.0, True, classes=_PRIORITIES)
+    return ranked.groupBy("rank", F.col("o_orderpriority").alias("class")).agg(F.count("*").alias("cnt"))
 
 
 _U = "(('0x' || substr(md5(concat('0', ':', cast(event_id as varchar))), 1, 8))::bigint / 4294967296.0)"
@@ -168,16 +175,33 @@ def sampling_partition_counts(spark, d):
     return ranked.groupBy(F.col("event_type").alias("class"), "rank").agg(F.count("*").alias("cnt"))
 
 
-_BOUNDS = {c: [_WEIGHTS[0][i], _WEIGHTS[0][i] + _WEIGHTS[1][i]] for i, c in enumerate(_PRIORITIES)}
+def _drawn(u: str, keep: list[float], alias: list[int]) -> str:
+    """SQL: the rank that a draw u in [0, 1) gets from an alias table."""
+    n = len(keep)
+    i, list_of = f"least({n - 1}, floor({u} * {n}))::int", lambda x: "[" + ", ".join(f"{v!r}" for v in x) + "]"
+    return f"(case when {u} * {n} - {i} < ({list_of(keep)}::double[])[{i} + 1] then {i} else ({list_of(alias)})[{i} + 1] end)::int"
+
+
+_ALIASES = {c: weights.alias_table([w[i] for w in _WEIGHTS]) for i, c in enumerate(_PRIORITIES)}
 _V = _U.replace("event_id", "o_orderkey")
 
 
-@query(f"select o_orderpriority as class, (case o_orderpriority {' '.join(f'when {c!r} then case when {_V} < {a} then 0 when {_V} < {b} then 1 else 2 end' for c, (a, b) in _BOUNDS.items())} end)::int as rank, count(*) as cnt from orders group by 1, 2")
+@query(f"select o_orderpriority as class, (case o_orderpriority {' '.join(f'when {c!r} then {_drawn(_V, *t)}' for c, t in _ALIASES.items())} end)::int as rank, count(*) as cnt from orders group by 1, 2")
 def sampling_partition_weighted(spark, d):
     ranked = partition.sampled_partition(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 3, _WEIGHTS, classes=_PRIORITIES)
     return ranked.groupBy(F.col("o_orderpriority").alias("class"), "rank").agg(F.count("*").alias("cnt"))
 
 
+_MANY = [1 + r % 7 for r in range(1024)]
+
+
+@query(f"with u as (select {_U} as u from events) select {_drawn('u', *weights.alias_table(_MANY))} as rank, count(*) as cnt from u group by 1")
+def sampling_partition_many_ranks(spark, d):
+    """1024 ranks of seven weights: one draw and one lookup a row."""
+    events = _t(spark, d, "events").select("event_id", F.lit("all").alias("class"))
+    return partition.sampled_partition(events, "class", "event_id", len(_MANY), [[w] for w in _MANY], classes=["all"]).groupBy("rank").agg(F.count("*").alias("cnt"))
+
+
 _NULLED = "(select o_orderkey, nullif(o_orderpriority, '5-LOW') as c from orders)"
 _NULL_POS = _POS.format(by="c", seed=0, key="o_orderkey")
 
@@ -465,6 +489,69 @@ def gini_best_split(spark, d):
     return best.select(F.col("x").cast("long").alias("threshold"), F.round("score", 4).alias("score"))
 
 
+#: Upper edges of the bins of _X.
+_EDGES = [[10.0, 20.0, 30.0, 40.0], [0.02, 0.04, 0.06, 0.08], [0.02, 0.04, 0.06]]
+_BINNED = ", ".join(" + ".join(f"({c} > {e})::int" for e in edges) + f" as x{f}" for f, (c, edges) in enumerate(zip(_X, _EDGES, strict=True)))
+
+
+def _cuts_sql(node: str) -> str:
+    """SQL: b, the best cut of each node by the score over both sides of squared class counts by count; r, the binned rows."""
+    left, right = [f"l{c}" for c in range(3)], [f"(s{c} - l{c})" for c in range(3)]
+    side = lambda x: f"({' + '.join(f'{v}::double * {v}' for v in x)}) / nullif({' + '.join(x)}, 0)"
+    return f"""with r as (select {node} as node, {_TRUTH}, {_BINNED} from lineitem),
+u as ({' union all '.join(f'select node, label, {f} as feature, x{f} as bin from r' for f in range(3))}),
+h as (select node, feature, bin, {', '.join(f'count(*) filter (label = {c}) as c{c}' for c in range(3))} from u group by 1, 2, 3),
+s as (select node, feature, bin, {', '.join(f'sum(c{c}) over (partition by node, feature order by bin) as l{c}, sum(c{c}) over (partition by node, feature) as s{c}' for c in range(3))} from h),
+q as (select node, feature, bin, {side(left)} + {side(right)} as score from s),
+b as (select * from q where score is not null qualify row_number() over (partition by node order by score desc, feature, bin) = 1)"""
+
+
+def _level_rows(spark, d) -> DataFrame:
+    label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    return _t(spark, d, "lineitem").select(key.alias("sample_id"), F.array(*_X).alias("features"), label.alias("label"), (F.col("l_linenumber") % 4).cast("int").alias("rank"), (F.col("l_orderkey") % 5).cast("int").alias("node_id"))
+
+
+@query(_cuts_sql("l_linenumber % 4 * 10 + l_orderkey % 5") + " select (node // 10)::int as rank, (node % 10)::int as node_id, feature::int as feature, bin::int as bin, round(score, 4) as score from b")
+def level_best_splits(spark, d):
+    """One level of training: the best split of all nodes of all ranks from one histogram."""
+    rows = _level_rows(spark, d).select("rank", F.lit(0).alias("tree_id"), "node_id", F.lit(0).cast("long").alias("seed"), F.lit(1).cast("long").alias("w"), F.col("label").alias("y"), levelwise.binned(F.col("features"), _EDGES).alias("x"))
+    return levelwise.best_splits(rows, 3, 3, 3).select("rank", "node_id", "feature", "bin", F.round("score", 4).alias("score"))
+
+
+_AT_BIN = "case r2.feature " + " ".join(f"when {f} then x{f}" for f in range(3)) + " end"
+_EDGE = "case feature " + " ".join(f"when {f} then {e}[bin + 1]" for f, e in enumerate(_EDGES)) + " end"
+_SHARES = ", ".join(f"round((count(*) filter (label = {c}))::double / count(*), 6) as v{c}" for c in range(3))
+
+
+@query(_cuts_sql("l_linenumber % 4") + f""", r2 as (select r.*, b.feature, b.bin from r join b using (node))
+select node::int as rank, 0::int as node_id, any_value(feature)::int as feature, any_value({_EDGE})::double as threshold, 1::int as left_child, {_SHARES} from r2 group by node union all
+select node::int, (case when {_AT_BIN} <= bin then 1 else 2 end)::int as node_id, -1::int, 0.0::double, -1::int, {_SHARES} from r2 group by 1, 2""")
+def train_by_level_stumps(spark, d):
+    """Trees of one level by ranks on their own rows, trained from histograms."""
+    trees = levelwise.train_by_level(_level_rows(spark, d), 3, 4, _EDGES, 4, replicated=False, bootstrap=False, tried=3, max_depth=1)
+    return trees.select("rank", "node_id", "feature", "threshold", F.col("left").alias("left_child"), *[F.round(F.col("votes")[c], 6).alias(f"v{c}") for c in range(3)])
+
+
+_HEAP = """nodes as (select p_partkey - 1 as node, (p_partkey - 1) % 3 as feature, case (p_partkey - 1) % 3 when 0 then p_size::double when 1 then (p_partkey % 11)::double / 100 else (p_partkey % 9)::double / 100 end as threshold,
+2 * p_partkey < count(*) over () as inner_node from part)"""
+
+
+@query(f"""with recursive {_HEAP}, walk as (select l_quantity as q, l_discount as d, l_tax as t, 0::bigint as node from lineitem union all
+select q, d, t, case when (case feature when 0 then q when 1 then d else t end) <= threshold then 2 * w.node + 1 else 2 * w.node + 2 end from walk w join nodes n on w.node = n.node where n.inner_node)
+select w.node::int as node_id, count(*) as cnt from walk w join nodes n on w.node = n.node where not n.inner_node group by 1""")
+def tree_traversal_recursive(spark, d):
+    """Every line walks one tree of any depth, a node for each part, by joins; the leaves are counted."""
+    part = _t(spark, d, "part").select((F.col("p_partkey") - 1).alias("node"), "p_partkey", "p_size")
+    part = part.crossJoin(part.agg(F.count("*").alias("n")))  # one row
+    feature = (F.col("node") % 3).cast("int")
+    threshold = F.when(feature == 0, F.col("p_size").cast("double")).when(feature == 1, (F.col("p_partkey") % 11).cast("double") / 100).otherwise((F.col("p_partkey") % 9).cast("double") / 100)
+    inner = 2 * F.col("p_partkey") < F.col("n")
+    child = lambda k: F.when(inner, 2 * F.col("node") + k).otherwise(-1).cast("int")
+    trees = stored(part.select(F.lit(0).alias("rank"), F.lit(0).alias("tree_id"), F.col("node").cast("int").alias("node_id"), feature.alias("feature"), threshold.alias("threshold"), child(1).alias("left"), child(2).alias("right"), F.array(F.lit(1.0)).alias("votes")))
+    return levelwise.leaves(_level_rows(spark, d), trees).groupBy("node_id").agg(F.count("*").alias("cnt"))
+
+
 def _embeddings(spark, d) -> DataFrame:
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("features"), F.col("label").cast("int").alias("label"))
 

@@ -57,3 +57,15 @@ def mapped(value: Column, names: Mapping[str, str], other: str | None = None) ->
     """A value by a dictionary; other for values that are not in it."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.coalesce(F.try_element_at(table, value), F.lit(other))
+
+
+def tree_share(trees: Column, ranks: Column, rank: Column) -> Column:
+    """Trees of a rank; the first ranks get the remainder."""
+    return F.floor(trees / ranks) + (rank < trees % ranks).cast("int")
+
+
+def scaled_trees(trees: Column, ranks: Column, scaling: str | None) -> tuple[Column, Column]:
+    """(local, global) number of trees under strong, weak or no scaling."""
+    if scaling == "strong":
+        return F.floor(trees / ranks), F.floor(trees / ranks) * ranks
+    return trees, trees * ranks if scaling == "weak" else trees

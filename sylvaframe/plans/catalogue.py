@@ -279,9 +279,11 @@ def normalize_features(spark, d):
     return z.groupBy("l_returnflag").agg((F.round(F.avg("l_quantity"), 6) + 0.0).alias("q"), (F.round(F.avg("l_extendedprice"), 6) + 0.0).alias("p"))
 
 
-@query("select r::int as rank, (1003 // 16 + case when r < 1003 % 16 then 1 else 0 end)::int as n_trees from (select unnest(range(16)) as r)")
+@query("select p_partkey, r::int as rank, (p_size * 20 // 16 + case when r < p_size * 20 % 16 then 1 else 0 end)::bigint as n_trees from part cross join (select unnest(range(16)) as r)")
 def tree_distribution(spark, d):
-    return spark.createDataFrame(list(enumerate(weights.tree_counts(1003, 16))), "rank int, n_trees int")
+    """The trees of each part's model on each of 16 ranks."""
+    ranks = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("rank")
+    return _t(spark, d, "part").select("p_partkey", (F.col("p_size") * 20).alias("n"), ranks).select("p_partkey", "rank", scalars.tree_share(F.col("n"), F.lit(16), F.col("rank")).cast("long").alias("n_trees"))
 
 
 # metrics
@@ -451,10 +453,12 @@ def forest_votes_in_parts(spark, d):
     return judged.groupBy("o_orderstatus", "prediction").agg(F.count("*").alias("cnt"))
 
 
-@query("select * from (values (0, 0, 0), (1, 1, 3), (2, 0, 1), (3, 1, 4), (4, 0, 2), (5, 1, 5)) as v(place, rank, tree_id)")
+@query("select dense_rank() over (partition by p_size % 4 order by p_partkey) - 1 as place, (p_size % 4)::int as rank, p_partkey::int as tree_id from part")
 def shared_model_order(spark, d):
-    roots = forest.shared_model(_stumps(spark)).where("node_id = 0").select("local_tree", "rank", "tree_id")
-    return roots.select((F.row_number().over(Window.orderBy("local_tree", "rank")) - 1).alias("place"), "rank", "tree_id")
+    """The model of a tree for each part: the first tree of each rank, the second of each, and so on."""
+    leaf = [F.lit(0).alias("node_id"), F.lit(-1).alias("feature"), F.lit(0.0).alias("threshold"), F.lit(-1).alias("left"), F.lit(-1).alias("right"), F.array(F.lit(1.0)).alias("votes")]
+    trees = _t(spark, d, "part").select((F.col("p_size") % 4).cast("int").alias("rank"), F.col("p_partkey").cast("int").alias("tree_id"), *leaf)
+    return forest.shared_model(trees).select(F.col("local_tree").alias("place"), "rank", "tree_id")
 
 
 _DEEP = [(0, 0, 25.0, 1, 2, None), (1, 1, 0.04, 3, 4, None), (2, 2, 0.05, 5, 6, None), (3, 0, 10.0, 7, 8, None), *[(i, -1, 0.0, -1, -1, c) for i, c in ((4, 2), (5, 1), (6, 0), (7, 0), (8, 1))]]
@@ -636,24 +640,34 @@ def mean_std_ci95_by_seed(spark, d):
     return _rounded(out, *out.columns[2:])
 
 
-_LOG = "Job Wall-clock time: 1-02:03:04\nEnergy Consumed: 444240 Joule / 123.4 Watthours\nAverage node power draw: 350.5 Watt\nMemory Utilized: 1.5 TB"
+#: Parts of the texts that jobs leave, filled from orders; every third job leaves something else.
+_ORDER = ("o_orderkey % 3", "o_custkey % 24", "o_orderkey % 60", "o_totalprice")
+_LOG = "Job Wall-clock time: 2-%02d:%02d:04\nEnergy Consumed: 444240 Joule / %.2f Watthours\nAverage node power draw: 350.5 Watt\nMemory Utilized: %d TB"
+_OUTPUT = "n_samples=%d n_features=10 n_trees=100\nTime for training is %.2f s.\nAccuracy is 0.93.\nEnergy Consumed: 5000 Joule\nJob ID: %d\nState: COMPLETED"
 
-
-@query("select 'a' as run, 93784.0::double as wall_clock_sec, 123.4::double as energy_wh, 350.5::double as power_w, 1536.0::double as memory_gb union all select 'b', null, null, null, null")
+@query("""select o_orderkey, case when o_orderkey % 3 > 0 then (2 * 86400 + o_custkey % 24 * 3600 + o_orderkey % 60 * 60 + 4)::double end as wall_clock_sec, case when o_orderkey % 3 > 0 then round(o_totalprice, 2) end as energy_wh,
+case when o_orderkey % 3 > 0 then 350.5::double end as power_w, case when o_orderkey % 3 > 0 then (o_custkey % 9 + 1) * 1024.0::double end as memory_gb from orders""")
 def parse_job_log(spark, d):
-    logs = spark.createDataFrame([("a", _LOG), ("b", "nothing")], "run string, value string")
-    return experiments.parse_run_log(logs).drop("value")
+    """A scheduler's log for each order, read back into its fields."""
+    log = F.format_string(_LOG, F.col("o_custkey") % 24, F.col("o_orderkey") % 60, F.col("o_totalprice").cast("double"), F.col("o_custkey") % 9 + 1)
+    logs = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, log).otherwise("nothing").alias("value"))
+    return _rounded(experiments.parse_run_log(logs).drop("value"), "energy_wh", digits=2)
 
 
-@query("select 'COMPLETED' as state, 1000::bigint as n_samples, 10::bigint as n_features, 100::bigint as n_trees, 12.5::double as training_sec, 0.93::double as accuracy, 5000.0::double as joule, 42::bigint as job_id, 10000::bigint as data_entries union all select 'OUT OF MEMORY', null, null, null, null, null, null, null, null")
+@query("""select o_orderkey, case when o_orderkey % 3 > 0 then 'COMPLETED' else 'OUT OF MEMORY' end as state, case when o_orderkey % 3 > 0 then o_custkey::bigint end as n_samples, case when o_orderkey % 3 > 0 then round(o_totalprice, 2) end as training_sec,
+case when o_orderkey % 3 > 0 then 0.93::double end as accuracy, case when o_orderkey % 3 > 0 then o_orderkey::bigint end as job_id, case when o_orderkey % 3 > 0 then o_custkey::bigint * 10 end as data_entries from orders""")
 def parse_job_output(spark, d):
-    text = "n_samples=1000 n_features=10 n_trees=100\nTime for training is 12.5 s.\nAccuracy is 0.93.\nEnergy Consumed: 5000 Joule\nJob ID: 42\nState: COMPLETED"
-    return experiments.parse_job_output(spark.createDataFrame([(text,), ("State: OUT_OF_MEMORY",)], "value string")).drop("value")
+    """A job's output for each order, read back into its fields."""
+    text = F.format_string(_OUTPUT, F.col("o_custkey"), F.col("o_totalprice").cast("double"), F.col("o_orderkey"))
+    outputs = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, text).otherwise("State: OUT_OF_MEMORY").alias("value"))
+    return _rounded(experiments.parse_job_output(outputs).select("o_orderkey", "state", "n_samples", "training_sec", "accuracy", "job_id", "data_entries"), "training_sec", digits=2)
 
 
-@query("""select * from (values ('1-02:03:04', 93784.0::double), ('00:10:01', 601.0::double), ('x', null)) as v(text, seconds)""")
+@query("""select o_orderkey, case o_orderkey % 3 when 0 then (o_custkey % 5 * 86400 + 3 * 3600 + o_orderkey % 60 * 60 + 4)::double when 1 then (o_custkey % 24 * 3600 + 601)::double end as seconds from orders""")
 def wallclock_to_seconds(spark, d):
-    return spark.createDataFrame([("1-02:03:04",), ("00:10:01",), ("x",)], "text string").withColumn("seconds", scalars.time_to_seconds(F.col("text")))
+    long, short = F.format_string("%d-03:%02d:04", F.col("o_custkey") % 5, F.col("o_orderkey") % 60), F.format_string("%02d:10:01", F.col("o_custkey") % 24)
+    text = F.when(F.col("o_orderkey") % 3 == 0, long).when(F.col("o_orderkey") % 3 == 1, short).otherwise("x")
+    return _t(spark, d, "orders").select("o_orderkey", scalars.time_to_seconds(text).alias("seconds"))
 
 
 @query("""select p_partkey, round(case p_size % 3 when 0 then p_retailprice * 1024 when 1 then p_retailprice / 1024 else p_retailprice end, 6) as gb from part""")
@@ -662,15 +676,19 @@ def memory_to_gb(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.round(scalars.to_gigabytes(F.col("p_retailprice"), unit), 6).alias("gb"))
 
 
-@query("select * from (values ('0041'), ('0042'), ('0016')) as v(node)")
+@query("select p_partkey, lpad(unnest(range(p_partkey % 9000, p_partkey % 9000 + p_size % 4 + 1))::varchar, 4, '0') as node from part union all select p_partkey, lpad(p_size::varchar, 4, '0') from part")
 def expand_node_range(spark, d):
-    return spark.createDataFrame([("node[0041-0042,0016]",), ("node0001",)], "r string").select(F.explode(scalars.nodes_of(F.col("r"))).alias("node"))
+    at = F.col("p_partkey") % 9000
+    ranges = F.format_string("node[%04d-%04d,%04d]", at, at + F.col("p_size") % 4, F.col("p_size"))
+    return _t(spark, d, "part").select("p_partkey", F.explode(scalars.nodes_of(ranges)).alias("node"))
 
 
-@query("select 16::int as n_tasks, 7::int as model_seed, 'new' as layout union all select 8, 3, 'old'")
+@query("select o_orderkey, (o_custkey % 64)::int as n_tasks, (o_orderkey % 7)::int as model_seed, unnest(['new', 'old']) as layout from orders")
 def parse_run_path(spark, d):
-    new = experiments.parse_run_path(spark.createDataFrame([("/x/n_nodes_16/0_7_12345/slurm.out",)], "path string"))
-    old = experiments.parse_run_path(spark.createDataFrame([("/x/nodes_8/12345_0_3/slurm.out",)], "path string"), updated=False)
+    nodes, seed = F.col("o_custkey") % 64, F.col("o_orderkey") % 7
+    orders = _t(spark, d, "orders")
+    new = experiments.parse_run_path(orders.select("o_orderkey", F.format_string("/x/n_nodes_%d/0_%d_%d/slurm.out", nodes, seed, F.col("o_orderkey")).alias("path")))
+    old = experiments.parse_run_path(orders.select("o_orderkey", F.format_string("/x/nodes_%d/%d_0_%d/slurm.out", nodes, F.col("o_orderkey"), seed).alias("path")), updated=False)
     return new.withColumn("layout", F.lit("new")).unionByName(old.withColumn("layout", F.lit("old"))).drop("path")
 
 
@@ -704,15 +722,18 @@ def original_test_split(spark, d):
     return partition.tail_split(_t(spark, d, "orders").select("o_orderkey"), 500).select("split", "o_orderkey")
 
 
-@query("select n::int as n_nodes, 1600 // n as strong_local, 1600 // n * n as strong_global, 800 as weak_local, 800 * n as weak_global from (select unnest([2, 4, 8, 16, 32, 64]) as n)")
+@query("select p_partkey, (1600 // p_size)::bigint as strong_local, (1600 // p_size * p_size)::bigint as strong_global, 800::bigint as weak_local, (800 * p_size)::bigint as weak_global from part")
 def trees_by_scaling(spark, d):
-    rows = [(n, *weights.scaled_trees(1600, n, "strong"), *weights.scaled_trees(800, n, "weak")) for n in (2, 4, 8, 16, 32, 64)]
-    return spark.createDataFrame(rows, "n_nodes int, strong_local int, strong_global int, weak_local int, weak_global int")
+    strong, weak = (scalars.scaled_trees(F.lit(n), F.col("p_size"), kind) for n, kind in ((1600, "strong"), (800, "weak")))
+    names = ("strong_local", "strong_global", "weak_local", "weak_global")
+    return _t(spark, d, "part").select("p_partkey", *[c.cast("long").alias(n) for n, c in zip(names, (*strong, *weak), strict=True)])
 
 
-@query("select r::int as rank, (17 + r)::bigint as seed from (select unnest(range(8)) as r)")
+@query("select o_orderkey, (o_orderkey % 8)::int as rank, (17 + o_orderkey % 8)::bigint as seed from orders")
 def rank_seeds_by_addition(spark, d):
-    return spark.createDataFrame(list(enumerate(weights.rank_seeds(17, 8, add_rank=True))), "rank int, seed long")
+    """The seed of each order's rank."""
+    seeds = spark.createDataFrame(list(enumerate(weights.rank_seeds(17, 8, add_rank=True))), "rank int, seed long")  # eight rows
+    return _t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).cast("int").alias("rank")).join(F.broadcast(seeds), "rank")
 
 
 @query("select p_partkey, case when p_size * 100000 <= 239400 then 'standard' when p_size * 100000 <= 497500 then 'high' when p_size * 100000 <= 4120112 then 'large' end as node_class from part")
@@ -725,9 +746,10 @@ def power_per_task(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.round(scalars.mean_power(F.col("p_retailprice"), F.col("p_size") * 60, F.lit(4)), 6).alias("power_w"))
 
 
-@query("select * from (values (1000, '1E+03'), (7000000, '7E+06'), (20, '2E+01'), (null, null)) as v(n, text)")
+@query("select p_partkey, case when p_size % 10 > 0 then (p_size % 10)::varchar || 'E+0' || (p_partkey % 7)::varchar end as text from part")
 def scientific_format(spark, d):
-    return spark.createDataFrame([(1000,), (7_000_000,), (20,), (None,)], "n int").withColumn("text", scalars.scientific(F.col("n")))
+    n = (F.col("p_size") % 10) * F.pow(F.lit(10), F.col("p_partkey") % 7)
+    return _t(spark, d, "part").select("p_partkey", scalars.scientific(F.when(F.col("p_size") % 10 > 0, n.cast("long"))).alias("text"))
 
 
 @query("select event_type, round(sum(value), 2) as energy from events group by 1")
@@ -735,10 +757,13 @@ def energy_total(spark, d):
     return _t(spark, d, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("energy"))
 
 
-@query("select 'a' as dir")
+@query("select 'run' || p_partkey as dir from part where p_size % 3 = 0 and (p_size % 2 = 0) <> (p_size % 5 = 0)")
 def complete_run_dirs(spark, d):
-    files = [("a", "a/slurm.out"), ("a", "a/x_results.csv"), ("b", "b/slurm.out"), ("c", "c/1.out"), ("c", "c/2.out"), ("c", "c/x_results.csv")]
-    return experiments.complete_runs(spark.createDataFrame(files, "dir string, path string"))
+    """A run is complete with one log and a result file; each part's folder holds those that divide its size."""
+    part = _t(spark, d, "part").select(F.concat(F.lit("run"), "p_partkey").alias("dir"), "p_size")
+    names = {2: "slurm.out", 3: "x_results.csv", 5: "2.out"}
+    files = F.explode(F.filter(F.array(*[F.when(F.col("p_size") % k == 0, F.lit(f)) for k, f in names.items()]), lambda x: x.isNotNull()))
+    return experiments.complete_runs(part.select("dir", files.alias("file")).select("dir", F.concat_ws("/", "dir", "file").alias("path")))
 
 
 @query("select o_custkey, min(cast(o_orderkey as varchar)) as job_id, arg_min(o_totalprice, cast(o_orderkey as varchar)) as price from orders group by 1")
@@ -755,10 +780,11 @@ def time_mean_over_ranks(spark, d):
     return _rounded(means, "time_sec_training_mean")
 
 
-@query(" union all ".join(f"select {i}::int as label, {n}::bigint as cnt" for i, n in enumerate((2000, 1200, 800))))
+@query("select (row_number() over (order by o_orderpriority) - 1)::int as label, count(*) as cnt from orders group by o_orderpriority")
 def synthetic_class_counts(spark, d):
-    """The generator's class counts without label noise are exact."""
-    made = datasets.generate(spark, 4000, 12, 3, [0.5, 0.3, 0.2], seed=2, flip_y=0.0)
+    """A synthetic twin of orders has its size and its class counts, which are exact without label noise."""
+    counts = [r["cnt"] for r in stats.class_frequency(_t(spark, d, "orders"), "o_orderpriority").orderBy("class").collect()]  # five classes
+    made = datasets.generate(spark, sum(counts), 12, len(counts), counts, seed=2, flip_y=0.0)
     return made.groupBy("label").agg(F.count("*").alias("cnt"))
 
 
@@ -774,9 +800,11 @@ def non_iid_class_frequency(spark, d):
     return stats.class_frequency_by_rank(partition.skellam_partition(orders, "o_orderpriority", "o_orderkey", 4, 2.0, classes=_PRIORITIES), "o_orderpriority", "rank", 4)
 
 
-@query("select w as workload, n::int as n_nodes, s::int as model_seed from (select unnest(['higgs', 'susy']) as w) cross join (select unnest([2, 4, 8]) as n) cross join (select unnest([1, 2]) as s)")
+@query("select r_name as workload, n::int as n_nodes, s::int as model_seed from region cross join (select unnest([2, 4, 8]) as n) cross join (select distinct n_regionkey as s from nation)")
 def job_grid(spark, d):
-    return planner.job_grid(spark, ["higgs", "susy"], [2, 4, 8], [1, 2])
+    """Jobs for every region as a workload, three node counts and the seeds that nations name."""
+    few = lambda table, column: sorted(r[0] for r in _t(spark, d, table).select(column).distinct().collect())  # noqa: E731  five values each
+    return planner.job_grid(spark, few("region", "r_name"), [2, 4, 8], few("nation", "n_regionkey"))
 
 
 _BASELINES = ", ".join(f"('{w}', {n}, {m}::double)" for w, by in planner.SERIAL_MINUTES.items() for n, m in by.items())
@@ -911,19 +939,31 @@ def cover_type_file(spark, d):
     return datasets.get_dataset("cover_type", spark, path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("features")[0].cast("double")).alias("first"), F.sum(F.element_at("features", -1).cast("double")).alias("last"))
 
 
-_PEAKED = weights.largest_remainder(3000, weights.skellam_class_weights(2.0, 5, 1).tolist())
+@query(f"select (l_orderkey % 2)::int as label, count(*) as n, sum({_FEATURES[0]}) as first, sum({_FEATURES[20]}) as last, sum({_FEATURES[27]}) as derived from lineitem group by 1")
+def higgs_file(spark, d):
+    """HIGGS by name, without and with its derived features."""
+    feature = lambda j: ((F.col("l_orderkey") * (j + 3) + F.col("l_partkey")) % 97).cast("double").alias(f"f{j}")
+    path = _csv_of(spark, d, [(F.col("l_orderkey") % 2).alias("y"), *[feature(j) for j in range(28)]])
+    last = F.sum(F.element_at("features", -1).cast("double"))
+    low = datasets.get_dataset("higgs", spark, path, high_level=False).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("features")[0].cast("double")).alias("first"), last.alias("last"))
+    return low.join(datasets.get_dataset("higgs", spark, path).groupBy("label").agg(last.alias("derived")), "label")
+
 
+_PEAKED = ", ".join(f"({i}, {float(w)!r}::double)" for i, w in enumerate(weights.skellam_class_weights(2.0, 5, 1)))
 
-@query(" union all ".join(f"select {i}::int as label, {n}::bigint as cnt" for i, n in enumerate(_PEAKED)))
+@query(f"""with w(label, w) as (values {_PEAKED}), n as (select count(*) as n from orders), e as (select label, n, w / sum(w) over () * n as exact from w cross join n),
+q as (select label, floor(exact)::bigint as base, row_number() over (order by round(exact - floor(exact), 9) desc, label desc) as nth, n - sum(floor(exact)) over () as more from e)
+select label::int as label, (base + case when nth <= more then 1 else 0 end)::bigint as cnt from q""")
 def synthetic_skellam_counts(spark, d):
-    made = datasets.generate_skellam(spark, 3000, 12, 5, 2.0, 1, seed=2, flip_y=0.0, n_clusters_per_class=2, n_repeated=2, hypercube=False, shift=1.0, scale=2.0)
+    """As many samples as there are orders, with Skellam class weights."""
+    made = datasets.generate_skellam(spark, _t(spark, d, "orders").count(), 12, 5, 2.0, 1, seed=2, flip_y=0.0, n_clusters_per_class=2, n_repeated=2, hypercube=False, shift=1.0, scale=2.0)
     return made.groupBy("label").agg(F.count("*").alias("cnt"))
 
 
-@query("""select * from (values (0, 'train', 300), (1, 'train', 300), (2, 'train', 300), (null, 'test', 300)) as v(rank, split, cnt)""")
+@query("""with n as (select count(*) // 12 * 3 as k from orders) select unnest([0, 1, 2])::int as rank, 'train' as split, k::int as cnt from n union all select null, 'test', k::int from n""")
 def generate_and_distribute(spark, d):
-    """A shared test set is split off before the train rows are partitioned."""
-    made = datasets.generate_and_distribute(spark, 1200, 12, 3, 3, seed=1, flip_y=0.0, stratified=True)
+    """A shared test set is split off before the train rows are partitioned; a dozen samples for each dozen orders."""
+    made = datasets.generate_and_distribute(spark, _t(spark, d, "orders").count() // 12 * 12, 12, 3, 3, seed=1, flip_y=0.0, stratified=True)
     return made.groupBy("rank", "split").agg(F.count("*").cast("int").alias("cnt"))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sylvaframe.functions import scalars
 from sylvaframe.operators import partition, weights
 
 
@@ -97,3 +98,13 @@ def test_constant_size_fits_the_counts(spark):
     ranked = partition.skellam_partition(df, "c", "k", 4, 1.0, True)
     sizes = [r["count"] for r in ranked.groupBy("rank").count().collect()]
     assert max(sizes) - min(sizes) <= 7  # a row a class
+
+
+def test_tree_counts_as_expressions(spark):
+    df = spark.range(40).crossJoin(spark.range(1, 9).withColumnRenamed("id", "ranks"))
+    share = scalars.tree_share(F.col("id"), F.col("ranks"), F.col("rank"))
+    strong, weak = (scalars.scaled_trees(F.col("id"), F.col("ranks"), kind) for kind in ("strong", "weak"))
+    rows = df.withColumn("rank", F.explode(F.sequence(F.lit(0), F.col("ranks") - 1))).select("*", share.alias("n"), F.array(*strong, *weak).alias("scaled")).collect()
+    for r in rows:
+        assert r["n"] == weights.tree_counts(r["id"], r["ranks"])[r["rank"]]
+        assert r["scaled"] == [*weights.scaled_trees(r["id"], r["ranks"], "strong"), *weights.scaled_trees(r["id"], r["ranks"], "weak")]

@@ -106,8 +106,10 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | No
 
     Exact: ordered by distance, then id; a row with the query's own id is never its neighbour. Rows with a null id or code are left out,
     of repeated ids the smallest code counts, an empty side gives an empty result, and fewer than k other codes give fewer rows. segments
-    is 2 to 16.
+    is 3 to 16, else ValueError.
     """
+    if segments is not None and not 3 <= segments <= 16:
+        raise ValueError("segments must be 3 to 16")
     one_code = lambda df: df.select("id", "code").dropna().groupBy("id").agg(F.min("code").alias("code"))
     ids = F.slice(F.array_sort(F.collect_list("id")), 1, k + 1)
     # smallest ids of each code: ranked first, so that a hot code's list stays short

@@ -97,3 +97,12 @@ def test_recall_on_the_table(spark):
     want = by_hand(ids, vectors)
     assert sum(n for _, n, _, _ in want) >= 100
     assert run(spark, ids, vectors) == want
+
+
+def test_segments_out_of_range_raise(spark):
+    from sylvaframe.llm import multi_index
+
+    codes = spark.createDataFrame([(1, 5), (2, 7)], "id long, code long")
+    for segments in (1, 2, 17, 20):
+        with pytest.raises(ValueError):
+            multi_index.search(codes, codes, 1, segments)

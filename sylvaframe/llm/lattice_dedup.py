@@ -29,7 +29,7 @@ from .components import connected_components
 LIMIT = 0.9
 TABLES, BLOCKS, PROBES, SCALE = 10, 3, 16, 0.5
 #: Vectors of a block; a cell with more is crowded and cut.
-BLOCK = 256
+BLOCK = 64
 #: Pairs that are verified at once.
 _CHUNK = 1 << 15
 
@@ -192,7 +192,7 @@ def _verified(blocks: DataFrame, limit: float) -> DataFrame:
         begin[has] = end[has] - (seconds[end[has] - 1] - seconds[np.arange(len(task))[has]])
         number = np.where(side == 2, 0, np.maximum(end - begin, 0))
         links, low = np.zeros(len(task), np.int64), np.arange(len(task))
-        keys_of: dict[int, np.ndarray] = {}
+        known = _Known()
         total = np.cumsum(number)
         at = 0
         while at < len(task):
@@ -207,12 +207,8 @@ def _verified(blocks: DataFrame, limit: float) -> DataFrame:
             i, j = i[near], j[near]
             if not len(i):
                 continue
-            new = np.array([r for r in np.unique(np.r_[i, j]) if r not in keys_of], int)
-            for s in range(0, len(new), 1024):
-                some = new[s : s + 1024]
-                for r, own in zip(some, cells(x[some] / norm[some][:, None]), strict=True):
-                    keys_of[r] = own
-            first = np.array([_first_common(keys_of[a], keys_of[b]) == key[a] for a, b in zip(i, j, strict=True)], bool)
+            known.add(ids, x, norm, np.unique(np.r_[i, j]))
+            first = np.concatenate([first_common(known.of(ids[i[s : s + 2048]]), known.of(ids[j[s : s + 2048]])) == key[i[s : s + 2048]] for s in range(0, len(i), 2048)])
             i, j = i[first], j[first]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -233,13 +229,28 @@ def _verified(blocks: DataFrame, limit: float) -> DataFrame:
     return dealt.mapInArrow(run, "id long, links long, low long")
 
 
-def _first_common(a: np.ndarray, b: np.ndarray) -> int | None:
-    """The smallest name that two vectors share in the first table in which they share one."""
-    for own, other in zip(a, b, strict=True):
-        both = own[np.isin(own, other)]
-        if len(both):
-            return int(both.min())
-    return None
+class _Known:
+    """Cells of the vectors that a task has found linked in a batch, each computed once."""
+
+    def __init__(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.cells = np.empty((0, TABLES, PROBES), np.int64)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, norm: np.ndarray, at: np.ndarray) -> None:
+        new = np.array(list({int(ids[r]): r for r in at if int(ids[r]) not in self.rows}.values()), int)
+        parts = [cells(x[some] / norm[some][:, None]) for some in (new[s : s + 1024] for s in range(0, len(new), 1024))]
+        self.rows |= {int(ids[r]): len(self.rows) + k for k, r in enumerate(new)}
+        self.cells = np.concatenate([self.cells, *parts])
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return self.cells[[self.rows[int(i)] for i in ids]]
+
+
+def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of (tables, probes) cells the smallest name that both have, in the first table in which they share one; the largest integer without any."""
+    none = np.iinfo(np.int64).max
+    shared = np.where((a[:, :, :, None] == b[:, :, None, :]).any(axis=3), a, none).min(axis=2)
+    return shared[np.arange(len(a)), (shared < none).argmax(axis=1)]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = LIMIT) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,22 +236,36 @@ def train_test_split(df: DataFrame, key: str, train: float = 0.75, seed: int | s
     return _flat(placed, df.columns, "split", F.when(F.col("cut") < 1, "test").otherwise("train"))
 
 
-def tail_split(df: DataFrame, n_test: int) -> DataFrame:
-    """Adds split: the last n_test rows in reading order are test. Only row counts of the partitions reach the driver.
+def _placed_by_file(df: DataFrame) -> DataFrame:
+    """(row, place, total): the rows numbered from 0 in reading order, and their number.
 
-    Reading order is that of the partitions, so df must be a scan of one file or of files in order.
+    Reading order is that of files by path, of the blocks that a file is read in, and of the rows of a block, whichever tasks read them. df must show
+    the file's metadata, as scans and projections and filters of them do; other frames are numbered in the order of their partitions. Rows are counted by block, one row a
+    block is ordered, and a second scan adds what comes before its block to each row's place in it.
     """
-    numbered = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
-    sizes = sorted((r["__part"], r["n"]) for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect())
-    left, cut = sum(n for _, n in sizes) - n_test, -1
-    for part, n in sizes:  # the id of the first test row
-        if left < n:
-            cut = (part << 33) + max(0, left)
-            break
-        left -= n
-    else:
-        cut = 1 << 62
-    return numbered.withColumn("split", F.when(F.col("__id") >= cut, "test").otherwise("train")).drop("__id", "__part")
+    number = F.monotonically_increasing_id()
+    try:
+        df.select("_metadata.file_path").schema  # noqa: B018  # resolves or raises
+        block = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    except AnalysisException:
+        block = [F.lit(""), F.shiftright(number, 33)]
+    read = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), block[0].alias("file"), block[1].alias("start"), number.alias("id"))
+    sizes = read.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    order = Window.orderBy("file", "start")  # one row a block
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = stored(sizes.select(F.col("file").alias("b_file"), F.col("start").alias("b_start"), (before - F.col("first")).alias("shift"), F.sum("n").over(Window.partitionBy()).alias("total")))
+    joined = read.join(blocks, (F.col("file") == F.col("b_file")) & (F.col("start") == F.col("b_start")))
+    return joined.select("row", (F.col("id") + F.col("shift")).alias("place"), "total")
+
+
+def tail_split(df: DataFrame, n_test: int) -> DataFrame:
+    """Adds split: the last n_test rows in reading order, over any number of files and blocks, are test."""
+    return _flat(_placed_by_file(df), df.columns, "split", F.when(F.col("place") >= F.col("total") - n_test, "test").otherwise("train"))
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows in reading order; all where there are fewer."""
+    return _placed_by_file(df).where(F.col("place") < n).select("row.*")
 
 
 def normalize(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:

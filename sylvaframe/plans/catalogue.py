@@ -445,11 +445,7 @@ def forest_votes_in_parts(spark, d):
     leaf = lambda c: [float(i == c) for i in range(2)]
     rows = [x for t, (f, s) in enumerate([(0, 100000.0), (1, 500.0), (2, 3000.0)]) for x in ((0, t, 0, f, s, 1, 2, leaf(0)), (0, t, 1, -1, 0.0, -1, -1, leaf(0)), (0, t, 2, -1, 0.0, -1, -1, leaf(1)))]
     data = _t(spark, d, "orders").select("o_orderstatus", F.array("o_totalprice", F.col("o_custkey").cast("double"), F.col("o_orderkey").cast("double")).alias("features"))
-    before, forest.PART_NODES = forest.PART_NODES, 3
-    try:
-        judged = forest.predict(data, spark.createDataFrame(rows, forest.TREE_SCHEMA), 2)
-    finally:
-        forest.PART_NODES = before
+    judged = forest.predict(data, spark.createDataFrame(rows, forest.TREE_SCHEMA), 2, part_nodes=3)
     return judged.groupBy("o_orderstatus", "prediction").agg(F.count("*").alias("cnt"))
 
 
@@ -591,6 +587,24 @@ def checkpoint_roundtrip(spark, d):
     return lost.crossJoin(new).crossJoin(again.agg(F.countDistinct("tree_id").alias("n_trees")))  # one row each
 
 
+@query("""with g as (select rank, count(*) as n from (select vec_id % 4 as rank from embeddings) group by 1)
+select rank::int as rank, (rank < 2)::boolean as kept, 2::bigint as n_trees, true as timed from g""")
+def training_resumed(spark, d):
+    """A run that broke after two of four ranks is resumed: their trees stay, the others are added, and the model is that of an unbroken run."""
+    data = _embeddings(spark, d).withColumn("rank", (F.col("sample_id") % 4).cast("int"))
+    folder, uid = f"{shared_dir(spark)}/models", uuid.uuid4().hex
+    for path in (f"{folder}/run_uid={uid}", f"{folder}/manifest-{uid}"):
+        atexit.register(remove, spark, path)
+    settings = (data, 10, 8, folder, uid, 4, 1, False)
+    forest.train_resumable(*settings, only=[0, 1], wave=1)
+    before = stored(forest.manifest(spark, folder, uid).select("rank", F.col("seconds").alias("earlier")))
+    again = forest.train_resumable(*settings, wave=2)
+    whole = forest.train(data, 10, 8, 4, 1, replicated=False)
+    different = whole.exceptAll(again).unionByName(again.exceptAll(whole)).select(F.col("rank").alias("d_rank")).distinct()
+    now = forest.manifest(spark, folder, uid).join(before, "rank", "left").join(different, F.col("rank") == F.col("d_rank"), "left_anti")
+    return now.select("rank", F.coalesce(F.col("earlier") == F.col("seconds"), F.lit(False)).alias("kept"), "n_trees", (F.col("seconds") > 0).alias("timed"))
+
+
 def flagship(spark, d):
     return forest_train_evaluate(spark, d)
 
@@ -949,6 +963,34 @@ def higgs_file(spark, d):
     return low.join(datasets.get_dataset("higgs", spark, path).groupBy("label").agg(last.alias("derived")), "label")
 
 
+@query(f"""with p as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as place, count(*) over () as n from orders)
+select split, label, count(*) as n, sum(f0) as first, sum(f27) as last from (select case when place >= n - 1000 then 'test' else 'train' end as split, (o_orderkey % 2)::int as label, (o_orderkey % 89)::double as f0, ((o_orderkey + 27) % 89)::double as f27 from p
+union all select 'first', (o_orderkey % 2)::int, (o_orderkey % 89)::double, ((o_orderkey + 27) % 89)::double from p where place < 777) group by 1, 2""")
+def higgs_published_split_files(spark, d):
+    """HIGGS in several files: the last rows of all are the published test rows, and a subset is the first rows of all."""
+    path, orders = _folder(spark), _t(spark, d, "orders")
+    feature = lambda j: ((F.col("o_orderkey") + j) % 89).cast("double").alias(f"f{j}")
+    orders.repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey").select((F.col("o_orderkey") % 2).alias("y"), *[feature(j) for j in range(28)]).write.csv(path)
+    split = datasets.read_higgs_original_split(spark, path, n_test=1000).select("split", "label", "features")
+    subset = datasets.get_dataset("higgs", spark, path, subset=777).select(F.lit("first").alias("split"), "label", "features")
+    of = lambda i: F.sum(F.element_at("features", i).cast("double"))
+    return split.unionByName(subset).groupBy("split", "label").agg(F.count("*").alias("n"), of(1).alias("first"), of(-1).alias("last"))
+
+
+_MATRICES = [[[1.0, 0.5, -0.25], [0.0, 2.0, 1.0], [-1.0, 0.75, 0.5]], [[0.5, 0.0, 1.0], [1.5, -1.0, 0.0], [0.25, 0.5, -2.0]]]
+_CROSS = "case l_linenumber % 2 " + " ".join(f"when {c} then [{', '.join(' + '.join(f'({m[i][j]}::double) * x{i}' for i in range(3)) for j in range(3))}]" for c, m in enumerate(_MATRICES)) + " end"
+
+
+@query(f"""with x as (select l_linenumber, l_quantity as x0, l_discount * 100 as x1, l_tax * 100 as x2 from lineitem), y as (select (l_linenumber % 2)::int as cluster, {_CROSS} as v from x)
+select cluster, {', '.join(f'round(covar_pop(v[{i + 1}], v[{j + 1}]), 4) as cov{i}{j}' for i in range(3) for j in range(i, 3))} from y group by 1""")
+def cluster_transform_covariance(spark, d):
+    """The covariance within clusters after each one's linear transform, as the generator applies it."""
+    vector = F.array(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100)
+    rows = _t(spark, d, "lineitem").select((F.col("l_linenumber") % 2).cast("int").alias("cluster"), vector.alias("v"))
+    made = datasets.transform_clusters(rows, "cluster", "v", _MATRICES)
+    return made.groupBy("cluster").agg(*[F.round(F.covar_pop(F.col("v")[i], F.col("v")[j]), 4).alias(f"cov{i}{j}") for i in range(3) for j in range(i, 3)])
+
+
 _PEAKED = ", ".join(f"({i}, {float(w)!r}::double)" for i, w in enumerate(weights.skellam_class_weights(2.0, 5, 1)))
 
 @query(f"""with w(label, w) as (values {_PEAKED}), n as (select count(*) as n from orders), e as (select label, n, w / sum(w) over () * n as exact from w cross join n),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.partition import balanced_partition, normalize_features, skellam_partition, tail_split, train_test_split
+from ..operators.partition import balanced_partition, first_rows, normalize_features, skellam_partition, tail_split, train_test_split
 from ..operators.weights import largest_remainder, skellam_class_weights
 from .shared import stored
 
@@ -29,13 +30,13 @@ def read_susy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_higgs(spark: SparkSession, path: str, high_level: bool = True, subset: int | None = None) -> DataFrame:
-    """HIGGS: label first, 28 features of which the last 7 are derived; subset keeps the first rows."""
+    """HIGGS: label first, 28 features of which the last 7 are derived; subset keeps the first rows in the order of the files."""
     raw = _csv(spark, path, 29)
-    return _labelled(raw if subset is None else raw.limit(subset), "c0", [f"c{i}" for i in range(1, 29 if high_level else 22)])
+    return _labelled(raw if subset is None else first_rows(raw, subset), "c0", [f"c{i}" for i in range(1, 29 if high_level else 22)])
 
 
 def read_higgs_original_split(spark: SparkSession, path: str, high_level: bool = True, n_test: int = 500_000) -> DataFrame:
-    """HIGGS with its published split in column split: the last n_test rows of the file are test."""
+    """HIGGS with its published split in column split: the last n_test rows in the order of the files are test."""
     raw = _csv(spark, path, 29)
     return _labelled(tail_split(raw, n_test), "c0", [f"c{i}" for i in range(1, 29 if high_level else 22)], keep=("split",))
 
@@ -65,13 +66,31 @@ def load(name: str, spark: SparkSession, path: str, key: str = "sample_id", spli
     return normalize_features(data, F.col("split") == "train") if scaled else data
 
 
+def transform_clusters(df: DataFrame, cluster: str, vector: str, matrices: Sequence[np.ndarray]) -> DataFrame:
+    """df with vector replaced by vector @ matrices[cluster], so that what is uncorrelated gets the covariance of its cluster's matrix.
+
+    cluster is an index of matrices; other ones and null give a NULL vector. A null element makes the elements that it weighs in NULL. Small matrices are sent as Spark estimates them.
+    """
+    columns = [[[float(v) for v in column] for column in np.asarray(m, float).T] for m in matrices]
+    table = pa.table({"c_cluster": pa.array(range(len(columns)), pa.int32()), "c_matrix": pa.array(columns, pa.list_(pa.list_(pa.float64())))})
+    dot = lambda column: F.aggregate(F.zip_with(column, "c_vector", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("c_row"), F.col(f"`{cluster}`").alias("c_own"), F.col(f"`{vector}`").alias("c_vector"))
+    joined = rows.join(df.sparkSession.createDataFrame(table), F.col("c_own") == F.col("c_cluster"), "left").select("c_row", F.transform("c_matrix", dot).alias("c_made"))
+    return joined.select(*[(F.col("c_made") if c == vector else F.col(f"c_row.`{c}`")).alias(c) for c in df.columns])
+
+
+def cluster_matrices(seed: int, n_clusters: int, n: int) -> np.ndarray:
+    """The transform of each cluster of generate(): n x n numbers drawn evenly between -1 and 1."""
+    return np.random.RandomState([seed % 2**32, 1]).uniform(-1, 1, (n_clusters, n, n))
+
+
 def generate(
     spark: SparkSession, n_samples: int, n_features: int, n_classes: int, class_weights: Sequence[float] | None = None, seed: int = 0,
     n_informative: int = 10, n_redundant: int = 0, flip_y: float = 0.01, class_sep: float = 1.0, n_clusters_per_class: int = 1,
     n_repeated: int = 0, hypercube: bool = True, shift: float = 0.0, scale: float = 1.0,
 ) -> DataFrame:
-    """(sample_id, features, label): Gaussian clusters around vertices of a hypercube (or of a random polytope), redundant linear
-    combinations, repeated features, noise; features are (x + shift) * scale.
+    """(sample_id, features, label): Gaussian clusters around vertices of a hypercube (or of a random polytope), each with a linear transform of
+    its own, redundant linear combinations, repeated features, noise; features are (x + shift) * scale.
 
     Class counts are exact before the share flip_y of labels is redrawn. Rows depend only on the parameters and sample_id.
     """
@@ -90,6 +109,7 @@ def generate(
         centre *= rng.uniform(size=(n_clusters, 1)) * rng.uniform(size=(1, n_informative))
     combine = rng.uniform(-1, 1, (n_informative, n_redundant))
     repeated = rng.randint(0, max(1, n_informative + n_redundant), n_repeated)
+    matrices = cluster_matrices(seed, n_clusters, n_informative)
     counts = largest_remainder(n_samples, class_weights if class_weights is not None else [1.0] * n_classes)
     ends = F.array(*[F.lit(e) for e in np.cumsum(counts).tolist()])
     true_label = F.least(F.lit(n_classes - 1), F.size(F.filter(ends, lambda e: e <= F.col("sample_id"))))
@@ -98,12 +118,13 @@ def generate(
     cluster = F.col("true_label") * n_clusters_per_class + F.floor(uniform("cluster") * n_clusters_per_class).cast("int")
     base = spark.range(n_samples).select(F.col("id").alias("sample_id")).withColumn("true_label", true_label.cast("int")).withColumn("cluster", cluster)
     centres = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in centre])
-    informative = [F.col("centre")[i] + normal(i) for i in range(n_informative)]
     redundant = [sum((F.col("inf")[i] * float(combine[i, j]) for i in range(n_informative)), F.lit(0.0)) for j in range(n_redundant)]
     noise = [normal(i) for i in range(n_informative + n_redundant + n_repeated, n_features)]
     drawn = F.floor(uniform("label") * n_classes).cast("int")
     flipped = F.when(uniform("flip") < flip_y, drawn).otherwise(F.col("true_label"))
-    made = base.withColumn("centre", centres[F.col("cluster")]).withColumn("inf", F.array(*informative)).withColumn("own", F.concat("inf", F.array(*redundant).cast("array<double>")))
+    drawn_rows = base.withColumn("around", F.array(*[normal(i) for i in range(n_informative)]).cast("array<double>"))
+    around = transform_clusters(drawn_rows, "cluster", "around", matrices).withColumn("centre", centres[F.col("cluster")])
+    made = around.withColumn("inf", F.zip_with("around", "centre", lambda a, b: a + b)).withColumn("own", F.concat("inf", F.array(*redundant).cast("array<double>")))
     copies = F.array(*[F.col("own")[int(i)] for i in repeated]).cast("array<double>")
     whole = F.transform(F.concat("own", copies, F.array(*noise).cast("array<double>")), lambda x: (x + shift) * scale)
     return made.select("sample_id", whole.cast("array<float>").alias("features"), flipped.alias("label"))

@@ -92,6 +92,11 @@ def _remove_all(spark: SparkSession, paths: list[str]) -> None:
         remove(spark, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop(table: DataFrame) -> None:
     """Delete a stored table that no plan reads any more."""
     if path := getattr(table, "_stored_at", None):

@@ -98,7 +98,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Mode
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Model from docs and labels(doc_id, quality). Of repeated labels of one doc_id contradicting ones count as none, equal ones once."""
+    """Model from docs and labels(doc_id, quality). Of repeated labels of one doc_id contradicting ones count as none, equal ones once; repeated rows of docs count once."""
     once = labels.select(F.col("doc_id").alias("l_id"), "quality").where("quality in (0, 1)").groupBy("l_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     labelled = own.join(once.where("quality = other").select("l_id", "quality"), F.col("doc_id") == F.col("l_id"))
@@ -106,7 +106,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("doc_id")
     if n > 2 * max_rows:  # about twice the sample lies below this hash, so tasks send no more than that
         labelled = labelled.where(order < int(-(1 << 63) + (1 << 64) * (2 * max_rows / n)))
-    chosen = labelled.orderBy(order, "doc_id", F.xxhash64("text")).limit(max_rows)
+    # the sample is chosen by ids and hashes, at most max_rows of them, before whole texts move; of repeated rows one is taken
+    slim = labelled.select("doc_id", F.xxhash64("text").alias("h")).orderBy(order, "doc_id", "h").limit(max_rows).distinct()
+    sent = F.broadcast(slim.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h")))
+    chosen = labelled.join(sent, (F.col("doc_id") == F.col("c_id")) & (F.xxhash64("text") == F.col("c_h")), "left_semi").dropDuplicates(["doc_id", "text"])
     featured = text_features(chosen.select(F.struct("doc_id", "quality").alias("doc_id"), "text")).select("doc_id.quality", "f", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(len(FEATURES) + 2 * BUCKETS), 0.0)
     x = np.stack([np.frombuffer(r, "<f4") for r in rows.column("x").to_pylist()]).astype(float)
     y = rows.column("y").to_numpy()
-    order_ = np.lexsort([*x.T[:8], y])  # rows come in any order
+    order_ = np.lexsort([*x.T[8:], *x.T[:8], y])  # rows come in any order; those equal in all features are interchangeable
     return fit(x[order_], y[order_])
 
 

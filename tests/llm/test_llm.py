@@ -306,3 +306,13 @@ def test_html_constants_inside_articles(spark):
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(6)] == [f"Body {i} text" + " Said twice" * (i < 2) for i in range(6)]
     assert {got[10 + i] for i in range(6)} == {"Read more at our shop Body 1 text"}
+
+
+def test_training_rows_are_chosen_once_and_bounded(spark):
+    rows = [(i, f"{'good words flow on' if i % 2 else '### $$$ junk'} {i}", "x") for i in range(60)] + [(60, None, "x"), (3, "another text of the same id", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c_id string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, quality int")
+    once, twice = bradley_terry.train(docs, labels), bradley_terry.train(docs.unionByName(docs).repartition(3), labels)
+    assert once.threshold == twice.threshold and once.weights.tolist() == twice.weights.tolist()
+    few = bradley_terry.train(docs, labels, max_rows=10)
+    assert few.weights.tolist() == bradley_terry.train(docs.unionByName(docs), labels, max_rows=20).weights.tolist()

@@ -3,9 +3,11 @@
 A page is a stream of tokens: the elements that open and close around its text blocks, and the texts. The streams of one host are aligned
 one after the other, and a union-free regular expression is inferred. At each element, tokens that both sides have are merged; a token that
 one side lacks becomes optional, one that repeats becomes a repeated group, and tokens that come in different orders become one repeated group
-of optional tokens, ( a? b? )+, which is balanced and matches either order. Texts that differ become a slot; a text that is equal on most distinct
-pages of the host is a constant of the template. The page's main text is what its slots hold in the wrapper, in page order, except
-for slots whose place in the wrapper is boilerplate: menus, headers, footers, sidebars, notices, adverts, forms and comments.
+of optional tokens, ( a? b? )+, which is balanced and matches either order. Texts that differ become a slot; a container that stands with the
+same whole text on most distinct pages of the host is a constant of the template. The page's main text is what its slots hold
+in the wrapper, in page order, except for slots whose place in the wrapper is boilerplate: menus, headers, footers, sidebars, notices, adverts, forms
+and comments. A container is a div or section; paragraphs, headings and lists are the flow of the container around them, so a sentence or heading that
+stands on all pages among others that differ is no constant, and neither is what stands in an article or main element directly.
 """
 
 from __future__ import annotations
@@ -48,12 +50,15 @@ BOILERPLATE_TAGS = frozenset("head title nav header footer aside form menu dialo
 STRONG = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead"
     " cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing comment comments reply replies respond disqus"
-    " widget toolbar pagination pager copyright".split()
+    " widget toolbar pagination pager copyright hdr ftr topbar bottombar teaser teasers".split()
 )
-WEAK = frozenset("related recommended recommendations social discussion legal disclaimer alert more tags".split())
+WEAK = frozenset("related recommended recommendations social discussion legal disclaimer alert more tags card cards preview".split())
+#: Who speaks and what they say: a name with one of each, as user-reviews, is of reader comments.
+_READERS = frozenset("user users reader readers customer customers visitor visitors guest guests".split())
+_VOICES = frozenset("review reviews opinion opinions rating ratings feedback".split())
 NEUTRAL = frozenset(
     "site page main global top bottom left right inner outer wrapper wrap container box block area section list item items link links button buttons icon icons bar row col column content"
-    " text body title label form post posts article articles media primary secondary thread is has js the and of by to for my our new".split()
+    " text body title label form post posts article articles media primary secondary thread is has js the and of by to for my our new msg message messages".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _MAIN_TAGS = frozenset(("article", "main"))
@@ -62,28 +67,38 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _MARKS = "!*~"
 #: Wrappers that one task aligns.
 _FAN = 64
+#: Elements that hold parts of a page; the others hold the flow of a text.
+_CONTAINERS = frozenset("html body div section center fieldset hgroup article main".split())
+_LISTS = frozenset("ul ol dl menu".split())
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 #: Bytes of all wrappers up to which they are sent to the workers, so that no page is shuffled; beyond it pages and wrappers are joined.
 MAX_SENT_BYTES = 32 << 20
-#: A text that is on this share of a host's distinct pages, and on as many of them, is part of the template.
-_SAME_SHARE, _SAME_PAGES = 0.5, 4
+#: A container that is on more than this share of a host's distinct pages, and on two or more, with the same text is part of the template.
+_SAME_SHARE = 0.5
 SLOT = "#"
 
 
 class Block(NamedTuple):
-    """A text block: path of open elements, text, characters inside links, all characters, and how many of the open elements are those of the block before."""
+    """A text block: path of open elements, text, characters inside links, all characters, how many of the open elements are those of the block
+    before, the path of the containers around it with their class names, and which of the page's containers is the innermost."""
 
     path: str
     text: str
     linked: int
     total: int
     kept: int
+    container: str
+    instance: int
 
 
 def name_mark(value: str) -> str:
     """'!' or '~' for a class or id attribute. A name counts only if all its words do: a related-work or social-history is no boilerplate."""
     mark = ""
     for name in value.split():
-        words = set(re.findall(r"[a-z]+", name))
+        listed = re.findall(r"[a-z]+", name)
+        words = set(listed)
+        if "".join(listed) in STRONG or words & _READERS and words & _VOICES and words <= _READERS | _VOICES | NEUTRAL:
+            return "!"
         if words and words <= STRONG | WEAK | NEUTRAL:
             if words & STRONG:
                 return "!"
@@ -92,8 +107,9 @@ def name_mark(value: str) -> str:
     return mark
 
 
-def _signature(tag: str, attributes: str) -> str:
-    """Tag with a mark for what decides its role."""
+def _signature(tag: str, attributes: str) -> tuple[str, str]:
+    """Tag with a mark for what decides its role, and its class names without digits."""
+    names = ""
     mark = "!" if tag in BOILERPLATE_TAGS else "*" if tag in _MAIN_TAGS else ""
     if attributes and tag not in ("html", "body"):
         for m in _ATTR.finditer(attributes):
@@ -102,14 +118,20 @@ def _signature(tag: str, attributes: str) -> str:
                 mark = "!" if value in BOILERPLATE_ROLES else "*" if value in ("main", "article") and not mark else mark
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 mark = "!"
+            elif name == "style" and _HIDDEN.search(value):
+                mark = "!"
             elif name in ("class", "id") and (own := name_mark(value)) and mark != "!":
                 mark = own if own == "!" or not mark else mark
-    return tag + mark
+            if name == "class":
+                names = ".".join(sorted(set(re.sub(r"[0-9]+", "", value).split())))
+    return tag + mark, names
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: white space inside one becomes one space, references are decoded."""
     stack: list[str] = []
+    places = [("", 0)]  # the container of each open element and its number, after that of the page
+    n_containers = 0
     out: list[Block] = []
     text: list[str] = []
     linked = total = depth = at = kept = 0
@@ -118,7 +140,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, total, kept
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block("/".join(stack), joined, linked, total, kept))
+            out.append(Block("/".join(stack), joined, linked, total, kept, *places[-1]))
             kept = len(stack)
         text.clear()
         linked = total = 0
@@ -145,7 +167,8 @@ def blocks(page: str) -> list[Block]:
             names = [s.rstrip(_MARKS) for s in stack]
             if tag in names:
                 flush()
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+                i = len(names) - 1 - names[::-1].index(tag)
+                del stack[i:], places[i + 1 :]
                 kept = min(kept, len(stack))
                 depth = 0
             elif tag == "p":
@@ -156,17 +179,20 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):  # what the new element closes
                 name = stack[i].rstrip(_MARKS)
                 if name == "p" or name in _HEADINGS and tag in _HEADINGS:
-                    del stack[i:]
+                    del stack[i:], places[i + 1 :]
                     break
                 if name in _SIBLINGS.get(tag, ()):
-                    del stack[i:]
+                    del stack[i:], places[i + 1 :]
                     if not (tag == "tr" and name != "tr"):
                         break
                 elif name in _SCOPE:
                     break
             kept = min(kept, len(stack))
             if tag not in _VOID:
-                stack.append(_signature(tag, m[4] if m[4] is not None else m[5]))
+                signature, classes = _signature(tag, m[4] if m[4] is not None else m[5])
+                stack.append(signature)
+                n_containers += tag in _CONTAINERS
+                places.append((f"{places[-1][0]}/{tag}.{classes}", n_containers) if tag in _CONTAINERS else places[-1])
     add(page[at:])
     flush()
     return out
@@ -315,65 +341,94 @@ def role(path: str) -> str:
     return "content" if main else "other"
 
 
-def _navigates(path: str) -> bool:
-    """Whether a block of links at this path is navigation: an entry of a list."""
-    return any(s.rstrip(_MARKS) in ("li", "dt", "dd", "menu") for s in path.split("/"))
+def _left_out(found: list[Block], kinds: list[str], explicit: bool) -> set[int]:
+    """Places of blocks that others of their page show to be no main text.
+
+    Without a main region these are entries of lists of whose characters most are links; a link among other entries stays. With several
+    articles these are teasers: articles whose first block is a heading that is a link, where another article's is not.
+    """
+    opened: list[tuple[int, int]] = []
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, b in enumerate(found):
+        own = [s.rstrip(_MARKS) for s in b.path.split("/")] if b.path else []
+        opened = opened[: b.kept] + [(i, d) for d in range(b.kept, len(own))]  # a name for each open element
+        if explicit:
+            at = max((d for d, s in enumerate(own) if s == "article"), default=None) if kinds[i] == "content" else None
+        else:
+            item = max((d for d, s in enumerate(own) if s in ("li", "dt", "dd", "menu")), default=None)
+            at = None if item is None else max((d for d in range(item + 1) if own[d] in _LISTS), default=item)
+        if at is not None:
+            groups.setdefault(opened[at], []).append(i)
+    of_links = lambda g: 2 * sum(found[i].linked for i in g) > sum(found[i].total for i in g)
+    if not explicit:
+        return {i for g in groups.values() if of_links(g) for i in g}
+    teasers = [g for g in groups.values() if found[g[0]].path.rsplit("/", 1)[-1] in _HEADINGS and of_links(g[:1])]
+    return {i for g in teasers for i in g} if len(teasers) < len(groups) else set()
 
 
 def read(found: list[Block], roles: dict[str, str], constants: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page: the texts of its slots in the wrapper, in page order, without boilerplate and constants.
+    """The main text of a page: the texts of its slots in the wrapper, in page order, without boilerplate.
 
-    Where the page's stream takes the wrapper's main regions, only these count; elsewhere entries of lists that are mostly links do not.
+    Where the page's stream takes the wrapper's main regions, only these count; elsewhere lists that are mostly links do not. Constants of the
+    template are left out.
     """
     kinds = [roles.get(b.path, "") for b in found]
     explicit = "content" in kinds
     wanted = "content" if explicit else "other"
-    out = []
-    for b, kind in zip(found, kinds, strict=True):
-        if kind == wanted and not (not explicit and 2 * b.linked > b.total and _navigates(b.path)):
-            if not constants or _slot(explicit, b.path, b.text) not in constants:
-                out.append(b.text)
-    return " ".join(out)
+    without = _left_out(found, kinds, explicit)
+    template = {n for n, (c, t) in _containers(found, kinds, wanted).items() if _place(explicit, c, t) in constants} if constants else set()
+    return " ".join(b.text for i, b in enumerate(found) if kinds[i] == wanted and i not in without and b.instance not in template)
 
 
 def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _slot(explicit: bool, path: str, text: str) -> int:
-    """Hash of a slot's path and text; its lowest bit tells pages with a main region from the others."""
+def _containers(found: list[Block], kinds: list[str], wanted: str) -> dict[int, tuple[str, str]]:
+    """Number -> path and text of the containers of a page, of their blocks of the wanted kind beside those of other containers inside."""
+    parts: dict[int, tuple[str, list[str]]] = {}
+    for b, kind in zip(found, kinds, strict=True):
+        if kind == wanted:
+            parts.setdefault(b.instance, (b.container, []))[1].append(b.text)
+    return {n: (c, "\n".join(t)) for n, (c, t) in parts.items()}
+
+
+def _place(explicit: bool, container: str, text: str) -> int:
+    """Hash of a container and its text; its lowest bit tells pages with a main region from the others."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 2 << 1 | explicit
+    return xxhash.xxh64_intdigest(f"{container}\n{text}") >> 2 << 1 | explicit
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> rows (host, wrapper, null, null) of hosts in the batch, and (host, null, slot, core) of texts outside boilerplate.
+    """(host, html) -> rows (host, wrapper) of hosts in the batch, and rows (host, place, core, kept) of the containers outside boilerplate.
 
-    core is the hash of the page's longest other block. Copies of a page share the cores of their blocks, also where short parts
-    differ, so distinct cores count the pages that differ otherwise. Where a shared text is longer than what differs, the other shared
-    texts cannot be told from an article's and stay. A page itself is the slot -2 with a main region, else -1; its core is that of its two longest blocks.
+    kept is 1 for main regions themselves and the page's core, which are never constants: copies of an article with different surroundings keep it.
+    The core is the longest main region by the text that stands in it directly, or else the longest container. Copies of a page share it, also where short parts differ, so distinct
+    cores count the pages that differ otherwise. A page itself is the place -2 with a main region, else -1.
     """
     import xxhash
 
     digest = lambda t: xxhash.xxh64_intdigest(t) >> 1
     for batch in batches:
         wrappers: dict[str, dict] = {}
-        rows: set[tuple[str, None, int, int]] = set()
+        rows: set[tuple[str, None, int, int, int]] = set()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = blocks(page or "")
             own = stream(found)
             wrappers[host] = align(wrappers[host], own) if host in wrappers else own
             by_path = {p: role(p) for p in {b.path for b in found}}
             explicit = "content" in by_path.values()
-            texts = {(b.path, b.text) for b in found if by_path[b.path] == ("content" if explicit else "other")}
-            longest = sorted({t for _, t in texts}, key=lambda t: (-len(t), t))[:2]
-            core = {t: digest(next((x for x in longest if x != t), "")) for t in (*longest, "")}
-            rows |= {(host, None, _slot(explicit, p, t), core.get(t, core[""])) for p, t in texts} | {(host, None, -1 - explicit, digest("\n".join(longest)))}
-        out = [(h, json.dumps(w, sort_keys=True), None, None) for h, w in wrappers.items()] + list(rows)
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "wrapper", "slot", "core"])
+            parts = _containers(found, [by_path[b.path] for b in found], "content" if explicit else "other")
+            regions = {n for n, (c, _) in parts.items() if c.rsplit("/", 1)[-1].split(".")[0] in _MAIN_TAGS}
+            first = min(parts, key=lambda n: (n not in regions, -len(parts[n][1]), parts[n][1], n), default=None)
+            core = digest(parts[first][1] if parts else "")
+            rows |= {(host, None, _place(explicit, c, t), core, int(n == first or n in regions)) for n, (c, t) in parts.items()}
+            rows.add((host, None, -1 - explicit, core, 0))
+        out = [(h, json.dumps(w, sort_keys=True), None, None, None) for h, w in wrappers.items()] + list(rows)
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "wrapper", "place", "core", "kept"])
 
 
 def _merge(part: pd.DataFrame) -> pd.DataFrame:
@@ -386,13 +441,13 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """pages(host, html) -> (host, wrapper, constants): one wrapper per host as JSON, and the hashes of its template texts.
+    """pages(host, html) -> (host, wrapper, constants): one wrapper per host as JSON, and the hashes of the containers and texts that are constants of its template.
 
     Wrappers of batches are aligned in rounds: each task aligns about _FAN of a host's, until every host has one. So a hot host is
     split, however many pages it has. A wrapper grows with the variety of a host's elements, not with its pages, and constants are at most
-    twice the texts of a page.
+    twice the containers of a page.
     """
-    made = stored(pages.select("host", "html").mapInArrow(_streams, "host string, wrapper string, slot long, core long"))
+    made = stored(pages.select("host", "html").mapInArrow(_streams, "host string, wrapper string, place long, core long, kept long"))
     now = made.where("wrapper is not null").select("host", "wrapper")
     before = None
     while True:
@@ -403,10 +458,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         now = before = stored(salted.groupBy("host", "salt").applyInPandas(_merge, "host string, wrapper string"), replaces=before)
         if groups <= 1:
             break
-    counted = stored(made.where("slot is not null").groupBy("host", "slot", "core").count().groupBy("host", "slot").agg(F.count("*").alias("n")).where((F.col("n") >= _SAME_PAGES) | (F.col("slot") < 0)))
-    n_pages = counted.where("slot < 0").select("host", (-1 - F.col("slot")).alias("explicit"), F.col("n").alias("pages"))
-    same = counted.where("slot >= 0").withColumn("explicit", F.col("slot").bitwiseAND(F.lit(1))).join(n_pages, ["host", "explicit"]).where(F.col("n") >= _SAME_SHARE * F.col("pages"))
-    constants = same.groupBy("host").agg(F.collect_list("slot").alias("constants"))
+    by_core = made.where("place is not null").groupBy("host", "place", "core").agg(F.max("kept").alias("kept"))
+    counted = stored(by_core.groupBy("host", "place").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("place < 0 or (n > 1 and kept = 0)"))
+    n_pages = counted.where("place < 0").select("host", (-1 - F.col("place")).alias("explicit"), F.col("n").alias("pages"))
+    same = counted.where("place >= 0").withColumn("explicit", F.col("place").bitwiseAND(F.lit(1))).join(n_pages, ["host", "explicit"]).where(F.col("n") > _SAME_SHARE * F.col("pages"))
+    constants = same.groupBy("host").agg(F.collect_list("place").alias("constants"))
     return stored(now.join(constants, "host", "left"), replaces=before)
 
 

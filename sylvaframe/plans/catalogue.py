@@ -911,23 +911,31 @@ def results_file(spark, d):
 _RUN_LOG = "Job Wall-clock time: 00:10:00\nEnergy Consumed: 1 Joule / {wh} Watthours\nAverage node power draw: 350.5 Watt\nMemory Utilized: 512 MB"
 
 
-@query("""select * from (values ('d', 1, 7, 8, 8.0::double, 40.0::double, 0.5::double, 600.0::double, 60.0::double, 1.0::double), ('d', 4, 7, 8, 2.0, 20.0, 0.75, 600.0, 30.0, 2.0)) as
-v(dataset, n_nodes, model_seed, n_trees, trees_per_node, time_sec_training, accuracy_mean_local_test, wall_clock_sec, exp_node_power_draw, speedup_training)""")
+@query("""with o as (select (1 << (o_orderkey % 3)::int)::int as n_nodes, (o_custkey % 2)::int as r, o_custkey as k, (o_orderstatus = 'F')::int::double as f from orders),
+runs as (select n_nodes, count(*)::double as wh, sum(k)::double as t from o where n_nodes <> 2 group by 1), ranks as (select n_nodes, r, avg(f) as a from o group by 1, 2),
+local as (select n_nodes, avg(a) as a from ranks group by 1)
+select 'd' as dataset, n_nodes, 7::int as model_seed, 8::int as n_trees, 8.0::double / n_nodes as trees_per_node, t as time_sec_training, round(a, 9) as accuracy_mean_local_test,
+600.0::double as wall_clock_sec, round(wh * 6 / n_nodes, 6) as exp_node_power_draw, round((select t from runs where n_nodes = 1) / t, 9) as speedup_training from runs join local using (n_nodes)""")
 def experiment_folder_to_scaling_table(spark, d):
-    """Run folders with a log and a result file each become one scaling table; a folder without a log is left out."""
+    """Run folders with a log and a result file each become one scaling table; a folder without a log is left out. Times, energies and accuracies are sums, counts and shares of the orders."""
     root = _folder(spark)
-    for nodes, seconds, accuracies, wh in ((1, 40.0, [0.5], 10.0), (4, 20.0, [0.5, 1.0], 20.0), (2, 1.0, [0.0], None)):
-        rows = [(str(r), 8, None, a) for r, a in enumerate(accuracies)] + [("global", 8, seconds, None)]
-        run = f"{root}/n_nodes_{nodes}/0_7_12345"
-        experiments.write_results(spark.createDataFrame(rows, "comm_rank string, n_trees int, time_sec_training double, accuracy_local_test double").withColumn("dataset", F.lit("d")), f"{run}/x_results")
-        if wh is not None:
+    orders = _t(spark, d, "orders").select(F.pow(F.lit(2), F.col("o_orderkey") % 3).cast("int").alias("n_nodes"), (F.col("o_custkey") % 2).cast("string").alias("comm_rank"), "o_custkey", (F.col("o_orderstatus") == "F").cast("double").alias("f"))
+    numbers = [F.lit("d").alias("dataset"), F.lit(8).alias("n_trees")]
+    local = orders.groupBy("n_nodes", "comm_rank").agg(F.avg("f").alias("accuracy_local_test")).withColumn("time_sec_training", F.lit(None).cast("double"))
+    whole = orders.groupBy("n_nodes").agg(F.sum("o_custkey").cast("double").alias("time_sec_training"), F.count("*").alias("n"))
+    rows = local.unionByName(whole.withColumn("comm_rank", F.lit("global")).drop("n"), allowMissingColumns=True).select("*", *numbers)
+    for n_nodes, wh in whole.select("n_nodes", F.col("n").cast("double")).collect():  # three runs
+        run = f"{root}/n_nodes_{n_nodes}/0_7_12345"
+        experiments.write_results(rows.where(F.col("n_nodes") == n_nodes).drop("n_nodes"), f"{run}/x_results")
+        if n_nodes != 2:
             of, context = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext
             out = of(run).getFileSystem(context._jsc.hadoopConfiguration()).create(of(f"{run}/slurm-1.out"))
             out.write(bytearray(_RUN_LOG.format(wh=wh).encode()))
             out.close()
     table = experiments.scaling_table(experiments.run_results(spark, root), "strong")
     columns = ["dataset", "n_nodes", "model_seed", "n_trees", "trees_per_node", "time_sec_training", "accuracy_mean_local_test", "wall_clock_sec", "exp_node_power_draw", "speedup_training"]
-    return table.select(*[F.col(c).cast("int").alias(c) if c in ("n_nodes", "model_seed", "n_trees") else F.col(c) for c in columns])
+    places = {"accuracy_mean_local_test": 9, "exp_node_power_draw": 6, "speedup_training": 9}
+    return table.select(*[F.col(c).cast("int").alias(c) if c in ("n_nodes", "model_seed", "n_trees") else F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in columns])
 
 
 _FEATURES = [f"((l_orderkey * {j + 3} + l_partkey) % 97)::double" for j in range(54)]
@@ -1009,13 +1017,15 @@ def generate_and_distribute(spark, d):
     return made.groupBy("rank", "split").agg(F.count("*").cast("int").alias("cnt"))
 
 
-@query("select 'abcdef12' as uid, '0100_0_1_05_20' as folder")
+@query("""with j as (select min(o_orderkey::varchar) as job, substr(md5(o_orderstatus), 1, 8) as uid from orders group by o_orderstatus)
+select uid, job || '_0_1_05_20' as folder from j order by job limit 1""")
 def checkpoint_lookup(spark, d):
-    """The folder of the smallest job id with these parameters, and the run's uid from its results file."""
+    """A run for each order status, its job the smallest order key as a string: the folder of the smallest job id, and the run's uid from its results file."""
     base = _folder(spark)
-    for job in ("0100", "0200"):
+    jobs = _t(spark, d, "orders").groupBy("o_orderstatus").agg(F.min(F.col("o_orderkey").cast("string")).alias("job"), F.substring(F.md5("o_orderstatus"), 1, 8).alias("uid"))
+    for _, job, uid in jobs.collect():  # a row a status
         run = f"{base}/breaking_iid/n4_m2/nodes_16/{job}_0_1_05_20"
-        experiments.write_results(spark.range(1), f"{run}/2026-01-02--03-04-05-x-{'abcdef12' if job == '0100' else 'ffffffff'}_results")
-        forest.save(_stumps(spark), run, "abcdef12")
+        experiments.write_results(spark.range(1), f"{run}/2026-01-02--03-04-05-x-{uid}_results")
+        forest.save(_stumps(spark), run, uid)
     folder, uid = experiments.find_checkpoint(spark, base, 4, 2, 0.5, "2.0", 0, 1)
     return spark.createDataFrame([(uid, folder.rsplit("/", 1)[-1])], "uid string, folder string")

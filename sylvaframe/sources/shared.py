@@ -9,6 +9,7 @@ import uuid
 import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,7 @@ def stored(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     with _dropping_shuffles(spark):
         df.write.parquet(path)
     atexit.register(remove, spark, path)
-    for tables in _collecting:
+    for tables in _collecting.get():
         tables.append(path)
     if replaces is not None:
         drop(replaces)
@@ -62,22 +63,23 @@ def stored(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return out
 
 
-_collecting: list[list[str]] = []
+_collecting: ContextVar[tuple[list[str], ...]] = ContextVar("collecting", default=())
 
 
 @contextmanager
 def collected() -> Iterator[list[str]]:
-    """The paths of the tables that are stored inside the block."""
+    """The paths of the tables that this thread stores inside the block; those of other threads are theirs."""
     tables: list[str] = []
-    _collecting.append(tables)
+    before = _collecting.set((*_collecting.get(), tables))
     try:
         yield tables
     finally:
-        _collecting.remove(tables)
+        _collecting.reset(before)
 
 
 def owner_of(df: DataFrame, tables: list[str]) -> DataFrame:
     """df, with whose Python object and those derived from it tables are deleted; keep one of them until its rows are read.
+    A temporary view is not one of them: keep the frame beside it, or store it.
 
     Derived frames hand on the session object, so a copy of it that only they hold tells when the last one is gone.
     """

@@ -142,3 +142,21 @@ def test_transform_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "row int, v array<double>, c_cluster string")
     got = {r["c_cluster"]: r["v"] for r in datasets.transform_clusters(df, "row", "v", [[[1, 0], [3, 1]], [[0, 1], [1, 0]]]).collect()}
     assert got == {"a": [7.0, 2.0], "b": [2.0, 1.0], "c": None, "d": None, "e": [None, None], "f": [None, None]}
+
+
+def test_tables_are_collected_by_thread(spark):
+    """A table that another thread stores meanwhile is not put on this one's list; nested blocks both have the inner one's."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sylvaframe.sources.shared import collected, exists, owner_of, stored
+
+    with ThreadPoolExecutor(1) as pool, collected() as outer:
+        other = pool.submit(lambda: stored(spark.range(3))).result()
+        mine = stored(spark.range(5))
+        with collected() as inner:
+            last = stored(spark.range(7))
+    assert outer == [mine._stored_at, last._stored_at] and inner == [last._stored_at]
+    owner = owner_of(mine, outer)
+    assert owner.count() == 5
+    del owner
+    assert not exists(spark, mine._stored_at) and exists(spark, other._stored_at) and other.count() == 3

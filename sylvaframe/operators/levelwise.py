@@ -19,6 +19,10 @@ from .forest import PART_NODES, TREE_SCHEMA
 from .weights import rank_seeds, tree_counts
 
 _NODE = ["rank", "tree_id", "node_id"]
+#: Nodes of a level that are sent to find the nodes of the next one.
+SENT_PARENTS = 50_000
+#: Levels that are walked in one stage: the code of longer ones is not compiled by the JVM and takes twice the time.
+STAGE_LEVELS = 5
 #: Weights of a sample in a bootstrap: Poisson(1) by inversion, of which larger ones have a chance below 1e-9.
 _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898050803253, 0.9999988747974020, 0.9999998885745217, 0.9999999899522337]
 
@@ -149,37 +153,46 @@ def train_by_level(
     return nodes.select("rank", "tree_id", "node_id", F.coalesce("feature", none).alias("feature"), at_edge.alias("threshold"), F.coalesce("left", none).alias("left"), F.coalesce(F.col("left") + 1, none).alias("right"), "votes")
 
 
+def levels_of(trees: DataFrame, depth: int | None = None) -> list[tuple[DataFrame, int]]:
+    """The inner nodes (t, n, feature, threshold, left, right) of each level from the roots down, stored, with their number; one number a level reaches the driver.
+
+    Only levels of up to SENT_PARENTS nodes are sent to find those below them; Spark's own choice by size would send larger ones. depth: the levels wanted at most.
+    """
+    inner = trees.where("left >= 0").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "feature", "threshold", "left", "right")
+    at, out = stored(inner.where("n = 0")), []
+    while (depth is None or len(out) < depth) and (size := at.count()):
+        out.append((at, size))
+        below = at.select(F.col("t").alias("tree_id"), F.explode(F.array("left", "right")).alias("child"))
+        below = F.broadcast(below) if size <= SENT_PARENTS else below.hint("merge")
+        at = stored(inner.join(below, F.expr("tree_id = t and child = n"), "left_semi"))
+    return out
+
+
 def depth_of(trees: DataFrame) -> int:
-    """Steps from a root to the farthest leaf; one number a level reaches the driver."""
-    at = trees.where("node_id = 0 and left >= 0").select("tree_id", "left", "right")
-    inner = trees.where("left >= 0").select("tree_id", F.col("node_id").alias("child"), F.col("left").alias("l"), F.col("right").alias("r"))
-    depth = 0
-    while not at.isEmpty():
-        depth += 1
-        below = at.select("tree_id", F.explode(F.array("left", "right")).alias("child"))
-        at = stored(below.join(inner, ["tree_id", "child"]).select("tree_id", F.col("l").alias("left"), F.col("r").alias("right")))
-    return depth
+    """Steps from a root to the farthest leaf."""
+    return len(levels_of(trees))
 
 
 def leaves(df: DataFrame, trees: DataFrame, key: str = "sample_id", features: str = "features", depth: int | None = None) -> DataFrame:
-    """(key, rank, tree_id, node_id): the leaf of each sample in each tree, by one join with the inner nodes a level.
+    """(key, rank, tree_id, node_id): the leaf of each sample in each tree, by one join with the inner nodes of a level each.
 
-    Models of up to PART_NODES nodes are sent, so that all levels are one stage without a shuffle; larger ones are joined by (tree, node) and stored after each
-    level. A null or NaN feature goes right. depth: steps that are known to be enough.
+    A level of up to PART_NODES nodes is sent, once; up to STAGE_LEVELS levels of so many nodes together are walked in one stage without a shuffle, and the samples
+    are stored before the next ones. Larger levels are joined by (tree, node). A null or NaN feature goes right. depth: steps that are known to be enough.
     """
-    size = trees.count()
-    sent = size <= PART_NODES
-    steps = depth_of(trees) if depth is None else depth
     roots = trees.where("node_id = 0").select("rank", "tree_id")
-    inner = trees.where("left >= 0").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "feature", "threshold", "left", "right")
-    inner = F.broadcast(inner) if sent else inner
+    roots = F.broadcast(roots) if roots.count() <= PART_NODES else roots
     value = lambda: F.get(F.col("x"), F.col("feature"))
     down = F.when((value() <= F.col("threshold")) & ~F.isnan(value()), F.col("left")).otherwise(F.col("right"))
-    at = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{features}`").cast("array<double>").alias("x")).join(F.broadcast(roots) if sent else roots).withColumn("node_id", F.lit(0))
-    for _ in range(steps):
-        moved = at.join(inner, F.expr("tree_id = t and node_id = n"), "left")
+    at = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{features}`").cast("array<double>").alias("x")).join(roots).withColumn("node_id", F.lit(0))
+    before, held = None, []  # held: the sizes of the levels of the stage so far
+    for inner, size in levels_of(trees, depth):
+        sent = size <= PART_NODES
+        if held and (sum(held) + size > PART_NODES or len(held) >= STAGE_LEVELS):
+            at = before = stored(at, replaces=before)
+            held = []
+        moved = at.join(F.broadcast(inner) if sent else inner.hint("merge"), F.expr("tree_id = t and node_id = n"), "left")
         at = moved.select("key", "x", "rank", "tree_id", F.coalesce(F.when(F.col("t").isNotNull(), down), F.col("node_id")).alias("node_id"))
-        at = at if sent else stored(at)
+        held.append(size)
     return at.select(F.col("key").alias(key), "rank", "tree_id", "node_id")
 
 

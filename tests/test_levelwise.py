@@ -104,3 +104,29 @@ def test_walks_by_joins_vote_like_the_forest(spark, monkeypatch, sent):
         want = {r["sample_id"]: r["votes"] for r in forest.vote(df, trees, 3, by_rank=True, voting=voting).collect()}
         for r in levelwise.votes_by_joins(df, trees, 3, voting=voting).collect():
             assert r["votes"] == pytest.approx(want[r["sample_id"]][r["rank"]])
+
+
+@pytest.mark.parametrize("part_nodes", [1, 6, 1_000_000])
+def test_each_level_of_a_large_model_is_sent_once_or_joined(spark, monkeypatch, part_nodes):
+    rng = np.random.RandomState(5)
+    x, y = rng.rand(60, 5), rng.randint(0, 3, 60)
+    rows = [(0, t, *n) for t in range(2) for n in forest.grow_tree(x, y, 3, np.random.RandomState(t))]
+    chain = 9  # levels of one inner node each, more than a stage walks
+    rows += [(0, 2, i, 0, 1.0 - 0.1 * i, i + 1, chain + 1 + i, [1.0]) for i in range(chain)] + [(0, 2, i, -1, 0.0, -1, -1, [1.0]) for i in range(chain, 2 * chain + 1)]
+    trees = spark.createDataFrame(rows, forest.TREE_SCHEMA)
+    monkeypatch.setattr(levelwise, "PART_NODES", part_nodes)
+    monkeypatch.setattr(levelwise, "SENT_PARENTS", part_nodes)
+    levels = levelwise.levels_of(trees)
+    assert sum(n for _, n in levels) == sum(r[5] >= 0 for r in rows) and levelwise.depth_of(trees) == len(levels) >= chain
+    walked = levelwise.leaves(frame(spark, x, y), trees)
+    nodes = {(r[1], r[2]): r for r in rows}
+    for r in walked.collect():
+        at = 0
+        while (node := nodes[r["tree_id"], at])[5] >= 0:
+            at = node[5] if x[r["sample_id"], node[3]] <= node[4] else node[6]
+        assert r["node_id"] == at
+    assert walked.count() == 3 * 60
+    # a level larger than PART_NODES does not reach the driver, however small Spark takes it for
+    above = levelwise.stored(spark.createDataFrame([(0, t, i, 0, 0.5, 1 if i == 0 else -1, 2 if i == 0 else -1, [1.0]) for t in range(2) for i in range(3)], forest.TREE_SCHEMA))
+    plan = levelwise.leaves(frame(spark, x, y), above)._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (part_nodes == 1)

@@ -101,15 +101,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Model from docs and labels(doc_id, quality). Of repeated labels of one doc_id contradicting ones count as none, equal ones once; repeated rows of docs count once."""
     once = labels.select(F.col("doc_id").alias("l_id"), "quality").where("quality in (0, 1)").groupBy("l_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = own.join(once.where("quality = other").select("l_id", "quality"), F.col("doc_id") == F.col("l_id"))
-    n = labelled.count()
+    wanted = once.where("quality = other").select("l_id", "quality")
+    n = own.select("doc_id").join(wanted, F.col("doc_id") == F.col("l_id")).count()
     order = F.xxhash64("doc_id")
     if n > 2 * max_rows:  # about twice the sample lies below this hash, so tasks send no more than that
-        labelled = labelled.where(order < int(-(1 << 63) + (1 << 64) * (2 * max_rows / n)))
-    # the sample is chosen by ids and hashes, at most max_rows of them, before whole texts move; of repeated rows one is taken
-    slim = labelled.select("doc_id", F.xxhash64("text").alias("h")).orderBy(order, "doc_id", "h").limit(max_rows).distinct()
-    sent = F.broadcast(slim.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h")))
-    chosen = labelled.join(sent, (F.col("doc_id") == F.col("c_id")) & (F.xxhash64("text") == F.col("c_h")), "left_semi").dropDuplicates(["doc_id", "text"])
+        own = own.where(order < int(-(1 << 63) + (1 << 64) * (2 * max_rows / n)))
+    # the sample is chosen by ids and hashes, at most max_rows of them; whole texts move only once they are chosen; of repeated rows one is taken
+    hashes = own.select("doc_id", F.xxhash64("text").alias("h")).join(wanted, F.col("doc_id") == F.col("l_id"))
+    slim = hashes.select("doc_id", "h", "quality").orderBy(order, "doc_id", "h").limit(max_rows).distinct()
+    sent = F.broadcast(slim.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "quality"))
+    chosen = own.join(sent, (F.col("doc_id") == F.col("c_id")) & (F.xxhash64("text") == F.col("c_h"))).dropDuplicates(["doc_id", "text"])
     featured = text_features(chosen.select(F.struct("doc_id", "quality").alias("doc_id"), "text")).select("doc_id.quality", "f", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -318,3 +318,20 @@ def test_training_rows_are_chosen_once_and_bounded(spark):
     assert once.threshold == twice.threshold and once.weights.tolist() == twice.weights.tolist()
     few = bradley_terry.train(docs, labels, max_rows=10)
     assert few.weights.tolist() == bradley_terry.train(docs.unionByName(docs), labels, max_rows=20).weights.tolist()
+
+
+def test_training_moves_only_chosen_texts(spark, monkeypatch):
+    rows = [(i, f"{'good words flow on' if i % 2 else '### $$$ junk'} {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen, own = [], bradley_terry.text_features
+    monkeypatch.setattr(bradley_terry, "text_features", lambda df, *names: (seen.append(df), own(df, *names))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with labels too large to send
+    try:
+        bradley_terry.train(docs, labels, max_rows=10)
+        plan = spark._jvm.PythonSQLUtils.explainString(seen[0]._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [p for p in plan.split("\n\n") if ") Exchange\n" in p and "text#" in p.split("Arguments")[0]]
+    assert len(moved) == 1  # the one that drops repeated rows among the chosen

@@ -941,9 +941,14 @@ def experiment_folder_to_scaling_table(spark, d):
 _FEATURES = [f"((l_orderkey * {j + 3} + l_partkey) % 97)::double" for j in range(54)]
 
 
+#: Rows of a compressed CSV file.
+_CSV_ROWS = 500_000
+
+
 def _csv_of(spark, d, columns: list) -> str:
+    """Lines written as the data sets are published, in gzip files; a file cannot be split, so each holds a bounded number of rows."""
     path = _folder(spark)
-    _t(spark, d, "lineitem").select(*columns).write.csv(path)
+    _t(spark, d, "lineitem").select(*columns).write.option("maxRecordsPerFile", _CSV_ROWS).csv(path, compression="gzip")
     return path
 
 
@@ -956,7 +961,8 @@ def susy_file(spark, d):
 
 @query(f"select (l_orderkey % 7)::int as label, count(*) as n, sum({_FEATURES[0]}) as first, sum({_FEATURES[53]}) as last from lineitem group by 1")
 def cover_type_file(spark, d):
-    feature = lambda j: ((F.col("l_orderkey") * (j + 3) + F.col("l_partkey")) % 97).cast("double").alias(f"f{j}")
+    """CoverType by name; its features are whole numbers, as in the published file."""
+    feature = lambda j: ((F.col("l_orderkey") * (j + 3) + F.col("l_partkey")) % 97).alias(f"f{j}")
     path = _csv_of(spark, d, [*[feature(j) for j in range(54)], (F.col("l_orderkey") % 7 + 1).alias("y")])
     return datasets.get_dataset("cover_type", spark, path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("features")[0].cast("double")).alias("first"), F.sum(F.element_at("features", -1).cast("double")).alias("last"))
 
